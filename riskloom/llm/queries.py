@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from riskloom.llm import bpe, minhash, pii, quality, toxicity
+from riskloom.llm import bpe, minhash, pii, quality, secrets, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"), urls.LISTED + urls.WORDS)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return pii.counted(pii.find_spans(docs, pii.learn(docs)))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, similarity=0.85)
 
@@ -39,8 +47,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_urls": op1_urls,
     "op2_pii": op2_pii,
     "op4_bpe": op4_bpe,
+    "op6_secrets": op6_secrets,
     "op7_minhash": op7_minhash,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
@@ -48,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Where SQL can express a query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_urls": urls.SQL}
