@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from riskloom.llm import bpe, minhash, pii, quality, secrets, toxicity, urls
+from riskloom.llm import bpe, fingerprint, minhash, mixing, pii, quality, secrets, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +34,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.counted(pii.find_spans(docs, pii.learn(docs)))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"), repeats=4.0)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
     "op2_pii": op2_pii,
+    "op3_fingerprint": op3_fingerprint,
     "op4_bpe": op4_bpe,
+    "op5_mixing": op5_mixing,
     "op6_secrets": op6_secrets,
     "op7_minhash": op7_minhash,
     "op9_quality": op9_quality,
