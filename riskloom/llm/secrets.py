@@ -22,7 +22,10 @@ HEX = r"[0-9a-f]{32,}"
 STRING = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SPAN = "struct<start:int,kind:int,end:int>"
-NONE = F.expr(f"cast(array() as array<{SPAN}>)")
+
+
+def _none() -> Column:
+    return F.expr(f"cast(array() as array<{SPAN}>)")
 
 
 def _spans(text: Column, pattern: str, kind: int, keep: str = "true") -> Column:
@@ -36,9 +39,9 @@ def _spans(text: Column, pattern: str, kind: int, keep: str = "true") -> Column:
         one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")).cast(SPAN)
         return F.struct(end.alias("at"), F.when(_keep(piece["hit"], keep), F.concat(state["spans"], F.array(one))).otherwise(state["spans"]).alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), NONE.alias("spans"))
+    begin = F.struct(F.lit(0).alias("at"), _none().alias("spans"))
     found = F.aggregate(pieces, begin, add, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(NONE)
+    return F.when(text.rlike(pattern), found).otherwise(_none())
 
 
 def _keep(hit: Column, keep: str) -> Column:
