@@ -205,3 +205,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, do
     empty = signed.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     full = signed.where("key is not null").select("doc_id", "n_shingles", "key").join(named, "key").select("doc_id", "n_shingles", "component_id")
     return full.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that near_duplicates doesn't keep; rows of null id stay. The texts aren't shuffled if few rows go."""
+    found = near_duplicates(docs, words, similarity, doc_id, text)
+    gone = settle(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")))
+    return docs.join(_small(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
