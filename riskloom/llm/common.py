@@ -35,6 +35,20 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Narrow tables (a few numbers a row) of at most so many rows are kept in one partition or broadcast.
+SMALL_ROWS = 100_000
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """A written narrow table, in one partition if it is proven small, so that joins and groups need no exchange."""
+    return df.coalesce(1) if df.count() <= SMALL_ROWS else df
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it is proven to have few rows."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table that ``settle`` wrote; only for one that no later step reads."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import forget, settle
+from riskloom.llm.common import forget, gathered, settle
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,9 +16,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     harmless; no links give an empty table.  Labels are written to the shared folder after each round.
     """
     links = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = settle(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    written = settle(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = gathered(written)
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    alone = both is not written
     while True:
+        labels = labels.coalesce(1) if alone else labels
         told = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("told"))
         near = labels.join(told, "node").select("node", F.col("label").alias("was"), F.least("label", "told").alias("label"))
         roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
@@ -27,5 +30,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         forget(labels)
         labels = new.select("node", "label")
         if not changed:
-            forget(both)
+            forget(written)
             return labels

@@ -5,10 +5,12 @@
    least ``agree`` coordinates but for a chance of ``miss``.  Ordered by rarity, they must then meet in the
    first ``shared - agree + 1`` pairs that each shares with anyone: only this prefix is joined, and classes
    with fewer shared pairs are skipped.
-3. Within a posting list, pivots are held against all members: agreeing coordinates are counted, then the
-   full sets compared.  Members that the links so far connect are not compared again; a list is done when one
-   component remains, and pivots become more from round to round.  So no list is expanded into all its
-   pairs unless its members are all apart, and no link that joins two components is lost.
+3. In each posting list the class with the commonest coordinates (the likeliest original) is held against
+   all members: agreeing coordinates are counted, then the full sets compared.
+4. Lists whose members are then still of several components are settled exactly: prefixes of the full sets,
+   ordered by rarity, with the bound on the overlap that the place of a common shingle gives.  Only pairs of
+   different components are formed, each with an end outside the list's largest component.
+So no list is expanded into all its pairs, and no link that joins two components is lost.
 """
 
 from __future__ import annotations
@@ -20,13 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import forget, per_batch, settle, text_or_empty
+from riskloom.llm.common import broadcast_if_small, forget, gathered, per_batch, settle, text_or_empty
 from riskloom.llm.graph import components
 
 COORDINATES = 32
 KEEP_WORDS = 400_000
-#: Tables of at most so many rows (of two numbers) are broadcast.
-SMALL_ROWS = 100_000
 _MULTIPLY = np.random.default_rng(42).integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -115,63 +115,71 @@ def _sets(docs: DataFrame, classes: DataFrame, words: int, doc_id: str, text: st
     return per_batch(texts, worker, "key binary, hashes array<bigint>").join(classes.select("key", "node"), "key").dropDuplicates(["key"]).select("node", "hashes")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it is proven to have few rows."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
-
-
 def _prefixes(classes: DataFrame, agree: int) -> DataFrame:
-    """(list, node): under which of its rarest shared pairs each class is posted."""
+    """(list, node, common): under which of its rarest shared pairs each class is posted, and how common its coordinates are."""
     posted = classes.select("node", F.explode("signature").alias("list"))
     shared = posted.groupBy("list").agg(F.count("*").alias("docs")).where("docs > 1")
     of = Window.partitionBy("node")
     hits = posted.join(shared, "list").withColumn("shared", F.count("*").over(of)).withColumn("rank", F.row_number().over(of.orderBy("docs", "list")))
-    return hits.where((F.col("shared") >= agree) & (F.col("rank") <= F.col("shared") - agree + 1)).select("list", "node")
-
-
-def _alike(pairs: DataFrame, classes: DataFrame, sets: DataFrame, agree: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike, among those that agree on enough coordinates."""
-    signed = classes.select("node", "signature")
-    for end in ("a", "b"):
-        pairs = pairs.join(signed.select(F.col("node").alias(end), F.col("signature").alias(f"signature_{end}")), end)
-    same = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    close = settle(pairs.where(same >= agree).select("a", "b"))
-    ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    needed = sets.join(_small(ends), "node", "left_semi")
-    full = close
-    for end in ("a", "b"):
-        full = full.join(needed.select(F.col("node").alias(end), F.col("hashes").alias(f"hashes_{end}")), end)
-    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    union = F.size("hashes_a") + F.size("hashes_b") - F.col("common")
-    return full.withColumn("common", common).where(F.col("common") * 100 >= union * percent).select("a", "b")
-
-
-def _links(members: DataFrame, classes: DataFrame, sets: DataFrame, agree: int, percent: int) -> DataFrame | None:
+    hits = hits.withColumn("common", F.sum(F.log("docs")).over(of))
+    return hits.where((F.col("shared") >= agree) & (F.col("rank") <= F.col("shared") - agree + 1)).select("list", "node", "common")
+
+
+def _both_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pairs (a, b) with what the table holds of both nodes, as of_a and of_b; few pairs go to the table, not it to them."""
+    few = broadcast_if_small(pairs)
+    a, b = (table.select(F.col("node").alias(end), F.col("of").alias(f"of_{end}")).join(few, end) for end in ("a", "b"))
+    return a.join(b, ["a", "b"])
+
+
+def _agreeing(pairs: DataFrame, classes: DataFrame, agree: int) -> DataFrame:
+    """The pairs (a, b) that agree on enough coordinates."""
+    signed = _both_ends(pairs, classes.select("node", F.col("signature").alias("of")))
+    same = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return settle(signed.where(same >= agree).select("a", "b"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike."""
+    full = _both_ends(pairs, sets.withColumnRenamed("hashes", "of")).withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    union = F.size("of_a") + F.size("of_b") - F.col("common")
+    return settle(full.where(F.col("common") * 100 >= union * percent).select("a", "b"))
+
+
+def _apart(rows: DataFrame, by: str) -> DataFrame:
+    """The rows of those lists whose members are of several components."""
+    apart = rows.groupBy(by).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    return rows.join(apart.select(by), by, "left_semi")
+
+
+def _exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be alike, by prefixes of the full sets; none that are alike is missed."""
+    rows = sets.join(broadcast_if_small(nodes), "node").select("node", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    docs = rows.groupBy("h").agg(F.count("*").alias("docs"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("docs", "h"))
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100.0)) + 1
+    posted = settle(_apart(rows.join(docs, "h").withColumn("at", place).where((F.col("at") <= prefix) & (F.col("docs") > 1)), "h"))
+    largest = posted.groupBy("h", "component").agg(F.count("*").alias("size")).groupBy("h").agg(F.max(F.struct("size", "component"))["component"].alias("main"))
+    few = posted.join(largest, "h").where("component != main").select("h", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "at")])
+    needed = F.ceil((F.col("n") + F.col("n_x")) * F.lit(percent) / F.lit(100.0 + percent))
+    possible = (F.col("component") != F.col("component_x")) & (F.least(F.col("n") - F.col("at"), F.col("n_x") - F.col("at_x")) + 1 >= needed)
+    return few.join(posted, "h").where(possible).select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
+
+
+def _links(members: DataFrame, classes: DataFrame, sets: DataFrame, agree: int, percent: int) -> DataFrame:
     """(node, label): the components of all links within the posting lists."""
-    edges, labels, failed, pivots_a_list = None, None, None, 1
-    while True:
-        if labels is None:
-            active = members.withColumn("component", F.col("node"))
-        else:
-            active = members.join(labels, "node", "left").select("list", "node", F.coalesce("label", "node").alias("component"))
-        apart = active.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-        now = settle(active.join(apart.select("list"), "list", "left_semi"))
-        if now.isEmpty():
-            return labels
-        rank = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("node"), "node"))
-        pivots = settle(now.withColumn("rank", rank).where(F.col("rank") <= pivots_a_list).select("list", F.col("node").alias("pivot"), F.col("component").alias("of")))
-        pairs = now.join(pivots, "list").where("node != pivot and component != of").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        found = settle(_alike(pairs, classes, sets, agree, percent))
-        edges = found if edges is None else settle(edges.unionByName(found))
-        labels = components(edges)
-        missed = pairs.join(found, ["a", "b"], "left_anti")
-        failed = settle(missed if failed is None else failed.unionByName(missed))
-        members = settle(now.select("list", "node").join(pivots.select("list", F.col("pivot").alias("node")), ["list", "node"], "left_anti"))
-        forget(now)
-        pivots_a_list *= 8
+    members = gathered(members)
+    hubs = members.groupBy("list").agg(F.max(F.struct("common", "node"))["node"].alias("hub"))
+    tried = members.join(hubs, "list").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    tried = gathered(settle(tried))
+    links = _alike(gathered(_agreeing(tried, classes, agree)), sets, percent)
+    labels = gathered(components(links))
+    placed = members.join(labels, "node", "left").select("list", "node", F.coalesce("label", "node").alias("component"))
+    nodes = settle(_apart(placed, "list").select("node", "component").distinct())
+    if nodes.isEmpty():
+        return labels
+    more = settle(_exact_pairs(nodes, sets, percent).join(tried, ["a", "b"], "left_anti"))
+    return components(settle(links.unionByName(_alike(gathered(more), sets, percent))))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,10 +204,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, do
         wanted = settle(named.join(members.select("node").distinct(), "node", "left_semi"))
         sets = settle(_sets(docs, wanted, words, doc_id, text))
         labels = _links(members, classes, sets, agree, percent)
-        if labels is not None:
-            named = named.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
-            least = named.where("label is not null").groupBy("root").agg(F.min("id").alias("component_id"))
-            named = named.join(least, "root", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
+        named = named.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
+        least = named.where("label is not null").groupBy("root").agg(F.min("id").alias("component_id"))
+        named = named.join(least, "root", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
     if "component_id" not in named.columns:
         named = named.select("key", F.col("id").alias("component_id"))
     empty = signed.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -211,4 +218,4 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
     """``docs`` without the rows that near_duplicates doesn't keep; rows of null id stay. The texts aren't shuffled if few rows go."""
     found = near_duplicates(docs, words, similarity, doc_id, text)
     gone = settle(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")))
-    return docs.join(_small(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
+    return docs.join(broadcast_if_small(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
