@@ -52,7 +52,7 @@ def guarded_decimal(c: Column) -> Column:
 
 def run_duration(started: Column, finished: Column) -> Column:
     """Whole seconds, rounded."""
-    return F.round((F.unix_micros(finished) - F.unix_micros(started)) / F.lit(1e6)).cast("int")
+    return F.round((F.unix_micros(finished.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))) / F.lit(1e6)).cast("int")
 
 
 def latest_of(*cols: Column) -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from riskloom.functions import dates as D
 from riskloom.functions import text as X
 from riskloom.operators.rows import latest_by_key, require_keys
+from riskloom.sources.shared import settle
 
 DIRECT, ULTIMATE = "IS_DIRECTLY_CONSOLIDATED_BY", "IS_ULTIMATELY_CONSOLIDATED_BY"
 #: A (child, parent) table of at most so many rows is broadcast in the walk.
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 100_000
 
 
 def _c(name: str) -> Column:
@@ -72,26 +73,25 @@ def relationship_edges(master: DataFrame) -> DataFrame:
     return rows.withColumn("relationship_edge_id", X.md5_key(_c("child_lei"), _c("relationship_type"), _c("parent_lei"), null_slot=True))
 
 
-def parent_paths(master: DataFrame, max_depth: int = 10, checkpoint: bool = False) -> DataFrame:
+def parent_paths(master: DataFrame, max_depth: int = 10) -> DataFrame:
     """Every ancestor of every entity up to ``max_depth`` steps: one row each, with the way as text.
 
     A way ends at an unknown parent, at itself, or where it would return to a node it has passed.  Each step
-    is one equi-join of a frontier that only shrinks; the map of parents is broadcast if proven small.
-    ``checkpoint`` writes each frontier to the folder set in spark.checkpoint.dir, for long plans.
+    is one equi-join of a frontier that only shrinks, written before the next; the map of parents is broadcast
+    if proven small, and skewed ancestors are split by adaptive execution beyond that.
     """
-    known = master.select(_c("lei").alias("at"), _c("direct_parent_lei").alias("up"), _c("direct_parent_name").alias("up_name")).where("up is not null")
-    known = F.broadcast(known) if known.count() <= SMALL_ROWS else known
-    start = master.where("direct_parent_lei is not null and direct_parent_lei != lei").select(
+    known = settle(master.where("direct_parent_lei is not null").select("entity_candidate_id", "lei", "direct_parent_lei", "direct_parent_name"))
+    steps = known.select(_c("lei").alias("at"), _c("direct_parent_lei").alias("up"), _c("direct_parent_name").alias("up_name"))
+    steps = F.broadcast(steps) if steps.count() <= SMALL_ROWS else steps
+    frontier = known.where("direct_parent_lei != lei").select(
         "entity_candidate_id", _c("lei").alias("root_lei"), _c("direct_parent_lei").alias("ancestor_lei"), _c("direct_parent_name").alias("ancestor_name"), F.lit(1).alias("depth"), F.array("lei", "direct_parent_lei").alias("way"),
     )
-    out, frontier = start, start
+    out = frontier
     for depth in range(2, max_depth + 1):
-        step = frontier.join(known, frontier["ancestor_lei"] == known["at"]).where(~F.array_contains("way", _c("up")))
-        frontier = step.select("entity_candidate_id", "root_lei", _c("up").alias("ancestor_lei"), _c("up_name").alias("ancestor_name"), F.lit(depth).alias("depth"), F.array_append("way", _c("up")).alias("way"))
-        if checkpoint:
-            frontier = frontier.checkpoint()
-            if frontier.isEmpty():
-                break
+        step = frontier.join(steps, frontier["ancestor_lei"] == steps["at"]).where(~F.array_contains("way", _c("up")))
+        frontier = settle(step.select("entity_candidate_id", "root_lei", _c("up").alias("ancestor_lei"), _c("up_name").alias("ancestor_name"), F.lit(depth).alias("depth"), F.array_append("way", _c("up")).alias("way")))
+        if frontier.isEmpty():
+            break
         out = out.unionByName(frontier)
     return furthest_ancestor(out).select(
         "entity_candidate_id", "root_lei", "ancestor_lei", "ancestor_name", "depth", F.array_join("way", " > ").alias("path"), "is_furthest_ancestor",

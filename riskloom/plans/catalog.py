@@ -19,6 +19,7 @@ from riskloom.operators import rows as R
 from riskloom.operators import sanctions as S
 from riskloom.sources import files as I
 from riskloom.sources.fixtures import FIXTURES
+from riskloom.sources.shared import shared_folder
 
 TABLES = ("customer", "part", "orders", "lineitem", "events", "nation", "documents", "pages")
 
@@ -132,7 +133,7 @@ class Inputs:
     @cached_property
     def runs(self) -> DataFrame:
         raw = self.raw("job_runs")
-        return raw.withColumn("finished_at", F.when(c("finished_at").isNotNull(), F.timestamp_micros(F.unix_micros("finished_at") + c("seconds") * 1000000 + 600000)))
+        return raw.withColumn("finished_at", c("finished_at") + F.make_dt_interval(secs=c("seconds") + F.lit(0.6).cast("decimal(18,6)")))
 
     @cached_property
     def audit(self) -> DataFrame:
@@ -144,11 +145,8 @@ class Inputs:
 
 
 def _landed(i: Inputs, name: str) -> str:
-    """A folder for a round trip, beside the checkpoints if such a folder is set."""
-    import tempfile
-
-    shared = i.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='riskloom-')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a round trip."""
+    return f"{shared_folder(i.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _read_csv_snapshot(i: Inputs) -> DataFrame:
@@ -162,7 +160,7 @@ def _read_manifests(i: Inputs) -> DataFrame:
     path = _landed(i, "manifests")
     files = i.raw("manifest_files").groupBy("source", c("load_date").alias("day")).agg(F.collect_list(F.struct(c("file_id").cast("string").alias("source_name"), "downloaded_bytes", "status")).alias("files"))
     files.select("source", F.lit("success").alias("status"), "files", c("day").cast("string").alias("load_date")).write.partitionBy("load_date").json(path)
-    return I.read_manifests(i.spark, path).select("source", "path_load_date", "source_name", "downloaded_bytes", c("status").alias("file_status"))
+    return I.read_manifests(i.spark, path, one_a_file=False).select("source", "path_load_date", "source_name", "downloaded_bytes", c("status").alias("file_status"))
 
 
 def _write_mart(i: Inputs) -> DataFrame:
@@ -246,7 +244,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "entity_profile": lambda i: P.entity_profile(i.master, i.risk),
     "descendants_of": lambda i: H.descendants_of(i.paths, i.master, i.paths.select("ancestor_lei").distinct().where("ancestor_lei like '%7'")),
     "same_parent_entities": lambda i: H.same_parent_entities(i.master),
-    "check_relationships": lambda i: R.check_relationships(i.master, "direct_parent_lei", i.master, "lei"),
+    "check_relationships": lambda i: R.check_relationships(i.rr, "end_node_id", R.snapshot_filter(i.raw("raw_entities"), "source_load_date"), "lei"),
     # aggregations
     "fsf_subject_rollup": lambda i: S.fsf_subject_rollup(i.fsf),
     "fsf_name_rollup": lambda i: S.fsf_name_rollup(i.fsf),
@@ -293,7 +291,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "latest_manifest": lambda i: A.latest_manifest(i.manifests).select("source", "load_date", "manifest_status"),
     # sorts, limits
     "top_risk_entities": lambda i: P.top_risk_entities(i.risk),
-    "search_entities": lambda i: P.search_entities(i.master, i.risk, "Gre", k=50),
+    "search_entities": lambda i: P.search_entities(i.master, i.risk, "small", k=50),
     "entity_matches_ranked": lambda i: P.entity_matches_ranked(i.screening),
     "pressure_indicators": lambda i: M.pressure_indicators(i.pressure).select("pressure_indicator_id", "indicator_code", "ref_area", "indicator_pressure_score", "indicator_weight"),
     "latest_observations": lambda i: M.latest_observations(i.ts).select(*OBSERVED),

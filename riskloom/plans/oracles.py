@@ -221,6 +221,7 @@ STEPS: dict[str, str] = {
         cast(case {APPLIES} when 'unknown' then 0.30 when 'applicable' then 1.0 else 0.35 end as double) as macro_applicability_weight,
         case {APPLIES} {' '.join(f'when {q(k)} then {q(v)}' for k, v in REASONS.items())} end as macro_context_applicability_reason from entity_candidates""",
     "latest_all": f"select * from runs {first('job_name, target_table', 'started_at desc nulls last, job_run_id desc')}",
+    "wanted_runs": "select distinct model, job_name, trim(t) as target_table from (select model, unnest(string_split(jobs, ',')) as job_name, targets from model_sources), unnest(string_split(targets, ',')) u(t)",
     "run_history": f"""select job_name, target_table, count(*) as total_run_count, count(*) filter (where status in {GOOD}) as success_run_count, count(*) filter (where status not in {GOOD}) as failed_or_incomplete_run_count,
         max(started_at) filter (where status in {GOOD}) as last_success_at, max(started_at) filter (where status not in {GOOD}) as last_failure_at from runs group by job_name, target_table""",
     "audit": f"""select l.job_run_id, l.job_name, l.target_table, l.status, l.started_at, l.finished_at, cast(round((epoch_us(l.finished_at) - epoch_us(l.started_at)) / 1000000.0) as int) as duration_seconds, l.freshness_status,
@@ -271,7 +272,7 @@ SELECTS: dict[str, str] = {
     "entity_profile": "select entity_candidate_id, lei, legal_name, country, has_any_parent, risk_score, risk_tier, total_sanctions_match_count from risk_all",
     "descendants_of": "select p.ancestor_lei, p.root_lei, m.legal_name, m.country, p.depth, case when p.depth = 1 then 'direct_child' else 'indirect_descendant' end as relation from parent_paths p join entity_master m on m.lei = p.root_lei where p.ancestor_lei like '%7'",
     "same_parent_entities": "select a.direct_parent_lei, a.lei, b.lei as sibling_lei from entity_master a join entity_master b on b.direct_parent_lei = a.direct_parent_lei and b.entity_candidate_id <> a.entity_candidate_id",
-    "check_relationships": "select distinct direct_parent_lei as value from entity_master where direct_parent_lei is not null and direct_parent_lei not in (select lei from entity_master)",
+    "check_relationships": "select distinct end_node_id as value from stage_relationships where end_node_id not in (select lei from raw_entities where source_load_date = (select max(source_load_date) from raw_entities))",
     "string_agg_distinct": f"select subject_key, {agg('whole_name')} as names, {agg('regulation_title', ',')} as titles from stage_fsf group by subject_key",
     "risk_overview": "select count(*) as total_entities, " + ", ".join(f"count(*) filter (where risk_tier = '{t}') as {t}_count" for t in ("high", "medium", "review", "low_or_no_known_match")) + ", cast(coalesce(sum(total_sanctions_match_count), 0) as bigint) as total_matches from risk_all",
     "risk_tier_distribution": "select risk_tier, count(*) as entity_count, case risk_tier when 'high' then 1 when 'medium' then 2 when 'review' then 3 else 4 end as tier_order from risk_all group by risk_tier",
@@ -279,9 +280,8 @@ SELECTS: dict[str, str] = {
     "pipeline_metrics": """select count(*) as monitored_tables, cast(coalesce(sum(total_run_count), 0) as bigint) as total_runs, count(*) filter (where pipeline_health_status = 'healthy') as healthy_tables,
         count(*) filter (where pipeline_health_status = 'latest_failed_previous_success_available') as warning_tables, count(*) filter (where pipeline_health_status = 'not_healthy') as not_healthy_tables,
         count(*) filter (where pipeline_health_status = 'missing_run') as missing_run_tables, count(*) filter (where is_failed_or_incomplete_latest_run) as tables_with_failed_latest_run from expected_tables_status""",
-    "inherited_freshness": """with wanted as (select distinct model, job_name, trim(t) as target_table from (select model, unnest(string_split(jobs, ',')) as job_name, targets from model_sources), unnest(string_split(targets, ',')) u(t))
-        select w.model, case when count(*) filter (where l.freshness_status like 'stale%') > 0 then 'stale' when count(*) filter (where l.freshness_status is distinct from 'fresh' and coalesce(l.freshness_status, '') not like 'stale%') > 0 then 'unknown' else 'fresh' end as freshness_status,
-        max(l.snapshot_age_days) as snapshot_age_days, count(*) as source_count from wanted w left join latest_all l on l.job_name = w.job_name and l.target_table = w.target_table group by w.model""",
+    "inherited_freshness": """select w.model, case when count(*) filter (where l.freshness_status like 'stale%') > 0 then 'stale' when count(*) filter (where l.freshness_status is distinct from 'fresh' and coalesce(l.freshness_status, '') not like 'stale%') > 0 then 'unknown' else 'fresh' end as freshness_status,
+        max(l.snapshot_age_days) as snapshot_age_days, count(*) as source_count from wanted_runs w left join latest_all l on l.job_name = w.job_name and l.target_table = w.target_table group by w.model""",
     "quality_summary": "select source, count(*) filter (where check_status = 'passed') as passed_count, count(*) filter (where check_status = 'warning') as warning_count, count(*) filter (where check_status = 'error') as error_count, count(*) as total_count from manifest_files group by source",
     "table_row_counts": "select 'candidates' as table_name, count(*) as row_count from entity_candidates union all select 'subjects', count(*) from unify_subjects union all select 'names', count(*) from unify_names union all select 'edges', count(*) from relationship_edges",
     "check_unique": "select legal_name as value, count(*) as n from raw_entities where legal_name is not null group by legal_name having count(*) > 1",
@@ -304,8 +304,8 @@ SELECTS: dict[str, str] = {
     "worst_audit_per_table": "select target_table, job_name, pipeline_health_status from worst",
     "latest_manifest": f"select source, load_date, manifest_status from manifest_status where manifest_status in {GOOD} {first('source', 'load_date desc')}",
     "top_risk_entities": "select lei, legal_name, country, risk_score, risk_tier, total_sanctions_match_count from risk_all where has_sanctions_match order by risk_score desc, total_sanctions_match_count desc, legal_name, lei limit 25",
-    "search_entities": """select entity_candidate_id, lei, legal_name, country, case when lower(lei) like 'gre%' then 1 when legal_name_normalized like 'gre%' then 2 when lower(legal_name) like 'gre%' then 3 else 4 end as hit_rank, risk_score, risk_tier
-        from risk_all where lower(lei) like '%gre%' or lower(legal_name) like '%gre%' or legal_name_normalized like '%gre%' order by hit_rank, risk_score desc, legal_name, lei limit 50""",
+    "search_entities": """select entity_candidate_id, lei, legal_name, country, case when lower(lei) like 'small%' then 1 when legal_name_normalized like 'small%' then 2 when lower(legal_name) like 'small%' then 3 else 4 end as hit_rank, risk_score, risk_tier
+        from risk_all where lower(lei) like '%small%' or lower(legal_name) like '%small%' or legal_name_normalized like '%small%' order by hit_rank, risk_score desc, legal_name, lei limit 50""",
     "entity_matches_ranked": """select entity_candidate_id, entity_sanctions_match_id, sanctions_source, sanctions_name, match_quality_score, match_quality_rank,
         cast(row_number() over (partition by entity_candidate_id order by match_quality_rank, match_quality_score desc, sanctions_source, sanctions_name, entity_sanctions_match_id) as int) as match_place from screening_view""",
     "pressure_indicators": "select pressure_indicator_id, indicator_code, ref_area, indicator_pressure_score, indicator_weight from indicator_pressure",

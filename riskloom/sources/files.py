@@ -52,9 +52,9 @@ def replace_by_object(existing: DataFrame, incoming: DataFrame, key: str = "sour
     return existing.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming)
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file of each manifest; the load date comes from the path."""
-    read = spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+def read_manifests(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
+    """One row per file of each manifest; the load date comes from the path. Manifests are files, or else lines."""
+    read = spark.read.schema(MANIFEST).option("multiLine", one_a_file).option("recursiveFileLookup", True).json(path)
     dated = read.withColumn("path_load_date", F.regexp_extract(F.col("_metadata.file_path"), "load_date=([^/]+)", 1))
     return dated.select("job_name", "source", F.col("status").alias("manifest_status"), "path_load_date", F.explode("files").alias("file")).select("*", "file.*").drop("file")
 

@@ -65,7 +65,7 @@ FIXTURES: dict[str, str] = {
     "names_text": "select doc_id, replace(substring(text, 1, 60), chr(10), ' ') as name from documents",
     "job_runs": """
         select event_id as job_run_id, 'job_' || event_type as job_name, case when user_id % 12 = 11 then null else 't' || cast(user_id % 12 as string) end as target_table,
-            ts as started_at, case when event_id % 10 = 0 then null else ts end as finished_at, cast(value as bigint) as seconds,
+            ts as started_at, case when event_id % 10 = 0 then null else ts end as finished_at, cast(floor(value) as bigint) as seconds,
             case event_id % 7 when 0 then 'failed' when 1 then 'running' when 2 then 'success_with_warnings' else 'success' end as status,
             case event_id % 4 when 0 then 'fresh' when 1 then 'stale_warning' when 2 then 'fresh' else null end as freshness_status,
             cast(event_id % 9 as int) as snapshot_age_days, event_id % 1000 as rows_read from events where user_id % 3 != 2 or event_id % 7 < 2""",
