@@ -91,7 +91,7 @@ def _ratio(word: Column, ratios: list[float]) -> Column:
     return total / (F.length(word) - 1)
 
 
-def find_spans(docs: DataFrame, ratios: list[float], least: float = 0.5, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
+def find_spans(docs: DataFrame, ratios: list[float], least: float = 0.1, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
     """Adds two columns to ``docs``: the plain spans, and these with the model's, as arrays of (start, kind, end).
 
     ``kind`` is a place in ``KINDS``.  The model judges runs of 20 or more characters with letters and digits
