@@ -59,14 +59,14 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def per_batch(df: DataFrame, worker: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """Runs ``worker()`` once a task, and what it returns on each Arrow batch, as lists by column name."""
+def per_batch(df: DataFrame, worker: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, most: int = 2000) -> DataFrame:
+    """Runs ``worker()`` once a task, and what it returns on each Arrow batch, at most ``most`` rows at a time, as lists by column name."""
     parsed: StructType = _parse_datatype_string(schema)  # type: ignore[assignment]
     arrow = to_arrow_schema(parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = worker()
-        for batch in batches:
+        for batch in (whole.slice(at, most) for whole in batches for at in range(0, whole.num_rows, most)):
             out = work(dict(zip(batch.schema.names, (c.to_pylist() for c in batch.columns), strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 

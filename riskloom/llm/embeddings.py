@@ -89,7 +89,7 @@ def _cells(classes: DataFrame, tables: range) -> DataFrame:
 
         return work
 
-    coded = settle(per_batch(rows, worker, "node bigint, cell bigint, unit array<float>"))
+    coded = settle(per_batch(rows, worker, "node bigint, cell bigint, unit array<float>", most=500))
     counts = coded.groupBy("cell").agg(F.count("*").alias("rows")).where("rows > 1")
     part = F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("rows") / F.lit(MOST_CELL)))
     return coded.join(counts, "cell").select("node", "cell", part.alias("part"), "unit")

@@ -275,4 +275,5 @@ def test_toxicity_held_out(spark):
 def test_misspelling_shares_the_score():
     clean = ["the quiet house stands near the river and the road", "we walked along the road to see the house", "a river runs by the quiet town"] * 20
     model = toxicity.fit(clean + [t + " idiot" for t in clean], [0] * 60 + [1] * 60)
-    assert model.score("we saw an idiott by the river") > model.score("we saw a friend by the river")
+    assert model.score(clean[0] + " idiot") > 0.5 > model.score(clean[0])
+    assert model.word("idiott") > 0.5 * model.word("idiot") > 3 * model.word("friend")
