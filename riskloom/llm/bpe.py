@@ -41,14 +41,15 @@ class ByteBpe:
     ``keep_pairs`` bound the two memories.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep_pieces: int = 200_000, keep_pairs: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep_pieces: int = 100_000, keep_pairs: int = 300_000):
         self.ranks = {b.decode("latin-1"): i for b, i in ranks.items()}
         self.keep_pieces, self.keep_pairs = keep_pieces, keep_pairs
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.said_of = {i: str(i) for i in ranks.values()}
         cut = regex.compile(pattern).findall
         self.find_pieces = (lambda text: cut(text) if NOT_LATIN(text) else LATIN_CUTS(text)) if pattern == WELL_KNOWN else cut
-        self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.earlier: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.earlier: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
         trie = ahocorasick.Automaton()
@@ -119,25 +120,23 @@ class ByteBpe:
                 token = longest.get(rest[: reach(rest)])
         return taken
 
-    def _known(self, piece: str) -> tuple[tuple[int, ...], str]:
+    def _known(self, piece: str) -> tuple[int, ...]:
         known = self.earlier.get(piece)
         if known is None:
-            ids = tuple(map(self.ranks.__getitem__, self.encode_piece(piece.encode().decode("latin-1"))))
-            known = (ids, ",".join(map(str, ids)))
+            known = tuple(map(self.ranks.__getitem__, self.encode_piece(piece.encode().decode("latin-1"))))
         if len(self.pieces) >= self.keep_pieces:
             self.earlier, self.pieces = self.pieces, {}
         if len(piece) <= 64:
             self.pieces[piece] = known
         return known
 
-    def encode_text(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the same as decimal text joined by commas."""
+    def encode(self, text: str) -> list[int]:
         known, new = self.pieces.get, self._known
-        found = [known(piece) or new(piece) for piece in self.find_pieces(text)]
-        return list(chain.from_iterable([ids for ids, _ in found])), ",".join([said for _, said in found])
+        return list(chain.from_iterable([known(piece) or new(piece) for piece in self.find_pieces(text)]))
 
-    def encode(self, text: str) -> list[int]:
-        return self.encode_text(text)[0]
+    def said(self, ids: list[int]) -> str:
+        """The ids as decimal text joined by commas."""
+        return ",".join(map(self.said_of.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -174,9 +173,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str
         def work(columns: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {"doc_id": columns["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
             for one in columns["text"]:
-                ids, said = bpe.encode_text(one)
+                ids = bpe.encode(one)
                 out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
+                out["ids_sha256"].append(hashlib.sha256(bpe.said(ids).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 if with_ids:
                     out["ids"].append(ids)
@@ -186,4 +185,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return per_batch(docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")), worker, schema)
+    return per_batch(docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")), worker, schema, most=500)
