@@ -38,16 +38,16 @@ FIXTURES: dict[str, str] = {
             l_returnflag as programme, l_linestatus as regulation_type, cast(cast(l_quantity as int) as string) as regulation_title,
             cast(cast(l_shipdate as date) as string) as publication_date_raw,
             case when l_linenumber % 3 = 0 then null else l_linenumber end as address_logical_id, case when l_quantity > 30 then cast(l_quantity as bigint) end as birth_date_logical_id
-        from lineitem join part on p_partkey = l_partkey where l_partkey % 10 = 3""",
+        from lineitem join part on p_partkey = l_partkey""",
     "raw_targets": """
-        select p_partkey as raw_id, date '2024-05-02' as source_load_date, 'os-' || cast(p_partkey - p_partkey % 20 as string) as id,
+        select p_partkey as raw_id, date '2024-05-02' as source_load_date, 'os-' || cast(p_partkey - p_partkey % 2 as string) as id,
             case p_type when 'ECONOMY' then 'Company' when 'LARGE' then 'Organization' when 'STANDARD' then 'LegalEntity' when 'PROMO' then 'Person' when 'SMALL' then 'Vessel' else 'Company' end as schema,
             p_name || '  ' || p_brand as caption, p_name || ' ; "' || p_name || ' ' || p_type || '";' || p_name || '  ' || p_brand || ';;' as aliases,
             case when p_size % 3 = 0 then null when p_size % 3 = 1 then 'DE' else 'DE;FR' end as countries,
             case when p_partkey % 50 = 0 then 'x LEI' || lpad(cast(p_partkey as string), 17, '0') end as identifiers,
             case when p_partkey % 30 = 0 then '""' else 'listed ' || p_brand end as sanctions, p_brand as program_ids,
             case when p_partkey % 7 = 0 then 'bad' else '2023-01-0' || cast(p_partkey % 9 + 1 as string) || 'T10:00:00' end as last_change
-        from part where p_partkey % 10 = 0""",
+        from part""",
     "raw_observations": """
         select event_id as raw_id, date '2024-05-02' as source_load_date, 'DS_' || event_type as dataset_code, event_type || '.' || cast(user_id as string) as series_key,
             case event_type when 'click' then 'ECB Deposit Facility Rate' when 'view' then 'Euro Short-Term Rate' when 'purchase' then 'Cost of Borrowing Corporates'
