@@ -62,7 +62,7 @@ FIXTURES: dict[str, str] = {
             when 2 then substring(cast(cast(o_orderdate as date) as string), 1, 4) when 3 then cast(cast(o_orderdate as date) as string)
             when 4 then cast(cast(o_orderdate as date) as string) || 'T0' || cast(o_orderkey % 10 as string) || ':00:00' else 'junk ' || cast(o_orderkey as string) end as period from orders""",
     "raw_pages": "select page_id, url as source_object_key, html as content, page_id % 40 as candidate_id, date '2024-05-01' + cast(page_id % 3 as int) as source_load_date, page_id as raw_id from pages",
-    "names_text": "select doc_id, replace(substring(text, 1, 60), chr(10), ' ') as name from documents",
+    "names_text": "select doc_id, replace(text, chr(10), ' ') as name from documents",
     "job_runs": """
         select event_id as job_run_id, 'job_' || event_type as job_name, case when user_id % 12 = 11 then null else 't' || cast(user_id % 12 as string) end as target_table,
             ts as started_at, case when event_id % 10 = 0 then null else ts end as finished_at, cast(floor(value) as bigint) as seconds,
