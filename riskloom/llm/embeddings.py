@@ -7,6 +7,9 @@ nearer than what they have.  A list full of links at the threshold is saturated
 the next round.  Recall is audited against all vectors for a bounded sample of queries; while it falls short,
 more tables of cells are added.  Edges at the threshold are kept, checked in double precision.
 
+The descent may miss links between groups, so what it leaves apart is compared exactly afterwards: the components
+of a label by their middles and widest angles, and by their members where these don't rule a link out.
+
 Lists don't name every link of a large group, so links are counted after that: a component that lies within
 half the threshold's angle around its centre is linked throughout, others are multiplied block by block.
 """
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import per_batch, settle
+from riskloom.llm.common import broadcast_if_small, per_batch, settle
 from riskloom.llm.graph import components
 
 #: Rows in a cell on average, and at most (a larger cell is dealt by hash), tables of cells at first.
@@ -30,6 +33,8 @@ LIST, ROUNDS, AUDIT_QUERIES, AUDITS = 8, 2, 256, 3
 #: A node brings together neighbours that are at least so near to it.
 WANDER = 0.5
 BLOCK = 256
+#: Components in a block whose middles are compared.
+CENTRES = 8192
 SMALL_ROWS = 100_000
 
 
@@ -174,12 +179,101 @@ def _audit(classes: DataFrame, labels: DataFrame, threshold: float) -> float:
     return row["hit"] / row["n"] if row["n"] else 1.0
 
 
+def _middles(rows: DataFrame) -> DataFrame:
+    """(component, middle): the mean vector of each component."""
+    each = rows.select("component", F.posexplode("unit").alias("at", "x")).groupBy("component", "at").agg(F.avg("x").alias("x"))
+    middle = each.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("middle"))  # one value a dimension
+    return middle.select("component", F.transform("middle", lambda m: m["x"]).alias("middle"))
+
+
+def _meeting(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Of two blocks of components, the pairs that may link by their middles and widest angles; pairs of single vectors are settled."""
+    pdf = pdf.sort_values("component", ignore_index=True)
+    x, node, single, mine = np.array(pdf["middle"].tolist()), pdf["component"].to_numpy(), pdf["single"].to_numpy(), pdf["mine"].to_numpy()
+    long = np.sqrt((x * x).sum(1))
+    wide = np.where(long < 1e-6, math.pi, pdf["widest"].to_numpy())
+    x = x / np.maximum(long, 1e-6)[:, None]
+    first, second = (np.flatnonzero(mine == pdf[c].iloc[0]) for c in ("i", "j"))
+    root = list(range(len(x)))
+    out = []
+    for at in range(0, len(first), BLOCK):
+        rows = first[at : at + BLOCK]
+        s = x[rows] @ x[second].T
+        least = np.cos(np.minimum(math.pi, math.acos(threshold) + 1e-6 + wide[rows][:, None] + wide[second][None, :])) - 1e-9
+        both = single[rows][:, None] & single[second][None, :]
+        hit = np.where(both, s >= threshold - 1e-12, s >= least)
+        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+            hit &= rows[:, None] < second[None, :]
+        for a, b in np.argwhere(hit).tolist():
+            sure, a, b = bool(both[a, b]), rows[a], second[b]
+            if sure:  # as many as join these components
+                ends = []
+                for e in (a, b):
+                    while root[e] != e:
+                        root[e] = root[root[e]]
+                        e = root[e]
+                    ends.append(e)
+                if ends[0] == ends[1]:
+                    continue
+                root[ends[0]] = ends[1]
+            out.append((node[a], node[b], sure))
+    return pd.DataFrame(out, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": bool})
+
+
+def _bridges(classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the components, by their smallest node, between which there is a link that the descent missed; none is left out.
+
+    The middles of all components of a label are compared, block by block.  Where two lie within the threshold's
+    angle and both components' widest angles, the members are multiplied.
+    """
+    rows = classes.select("label", F.size("unit").alias("width"), "node", "unit").join(labels.withColumnRenamed("label", "component"), "node", "left")
+    single = rows.where("component is null").select("label", "width", F.col("node").alias("component"), F.col("unit").alias("middle"), F.lit(0.0).alias("widest"), F.lit(True).alias("single"))
+    many = rows.where("component is not null")
+    dot = F.aggregate(F.zip_with("unit", "middle", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = F.sqrt(F.aggregate("middle", F.lit(0.0), lambda s, x: s + x * x))
+    angle = F.when(norm > 1e-6, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / norm)))).otherwise(math.pi)
+    many = many.join(_middles(many), "component").groupBy("label", "width", "component").agg(F.first("middle").alias("middle"), F.max(angle).alias("widest"), F.count("*").alias("n"))
+    many = settle(many)
+    all_ = single.unionByName(many.drop("n").withColumn("single", F.lit(False)))
+    sizes = all_.groupBy("label", "width").agg(F.ceil(F.count("*") / F.lit(CENTRES)).cast("int").alias("blocks"))
+    dealt = all_.join(broadcast_if_small(sizes), ["label", "width"]).withColumn("mine", F.pmod(F.xxhash64("component"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", "width", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "component", "middle", "widest", "single")
+    found = settle(dealt.groupBy("label", "width", "i", "j").applyInPandas(lambda pdf: _meeting(pdf, threshold), "a bigint, b bigint, sure boolean").distinct())
+
+    # The larger of two components is the host, whose members the guest's members are multiplied with.
+    pairs = found.where("not sure").select("a", "b")
+    for end in ("a", "b"):
+        pairs = pairs.join(many.select(F.col("component").alias(end), F.col("n").alias(f"n_{end}")), end, "left")
+    first = F.coalesce("n_a", F.lit(1)) >= F.coalesce("n_b", F.lit(1))
+    pairs = settle(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest")))
+    members = rows.select(F.coalesce("component", "node").alias("component"), "node", "unit")
+    sides = pairs.select("host", F.col("host").alias("component")).distinct().withColumn("hosts", F.lit(True)).unionByName(pairs.select("host", F.col("guest").alias("component")).withColumn("hosts", F.lit(False)))
+    sides = sides.join(members, "component")
+    counts = sides.groupBy("host").agg(F.ceil(F.count_if("hosts") / F.lit(CENTRES)).cast("int").alias("i"), F.ceil(F.count_if(~F.col("hosts")) / F.lit(CENTRES)).cast("int").alias("j"))
+    sides = sides.join(counts, "host")
+    of = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    sides = sides.withColumn("mine", F.when(F.col("hosts"), of("i")).otherwise(of("j"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("hosts"), F.col("j")).otherwise(F.col("i")) - 1)))
+    sides = sides.select("host", "hosts", "component", "unit", F.when(F.col("hosts"), F.col("mine")).otherwise(F.col("with")).alias("i"), F.when(F.col("hosts"), F.col("with")).otherwise(F.col("mine")).alias("j"))
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        hosts, guests = pdf[pdf["hosts"]], pdf[~pdf["hosts"]]
+        hit = np.zeros(len(guests), bool)
+        if len(hosts) and len(guests):
+            x, y = np.array(hosts["unit"].tolist()), np.array(guests["unit"].tolist())
+            for at in range(0, len(x), BLOCK):
+                hit |= (x[at : at + BLOCK] @ y.T >= threshold - 1e-12).any(0)
+        b = guests["component"].to_numpy()[hit]
+        return pd.DataFrame({"a": np.full(len(b), pdf["host"].iloc[0]), "b": b}).drop_duplicates()
+
+    met = sides.groupBy("host", "i", "j").applyInPandas(linked, "a bigint, b bigint")
+    return settle(found.where("sure").select("a", "b").unionByName(met))
+
+
 def _counts(classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """(node, links): how many vectors of other classes each class links with, by comparing whole components."""
     rows = settle(classes.select("node", "copies", "unit").join(labels.withColumnRenamed("label", "component"), "node"))
-    each = rows.select("component", F.posexplode("unit").alias("at", "x")).groupBy("component", "at").agg(F.avg("x").alias("x"))
-    middle = each.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("middle"))  # one value a dimension
-    middle = middle.select("component", F.transform("middle", lambda m: m["x"]).alias("middle"))
+    middle = _middles(rows)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     angled = rows.join(middle, "component").withColumn("angle", F.acos(F.least(F.lit(1.0), dot("unit", "middle") / F.sqrt(dot("middle", "middle")))))
     sizes = settle(angled.groupBy("component").agg(F.max("angle").alias("widest"), F.sum("copies").alias("all"), F.count("*").alias("n")))
@@ -224,7 +318,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec
             lists = _round(lists, classes, threshold, longest)
             if lists.where(F.col("near") >= threshold).count() == before:
                 break
-        labels = components(_links(lists, classes, threshold))
+        links = _links(lists, classes, threshold)
+        labels = components(links)
+        bridges = _bridges(classes, labels, threshold)
+        if not bridges.isEmpty():
+            labels = components(links.unionByName(bridges))
         if _audit(classes, labels, threshold) == 1.0:
             break
         tables = range(tables.stop, 2 * tables.stop)
