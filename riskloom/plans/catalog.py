@@ -243,6 +243,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "latest_loads": lambda i: A.latest_loads(i.raw("expected_tables"), i.audit),
     "entity_profile": lambda i: P.entity_profile(i.master, i.risk),
     "descendants_of": lambda i: H.descendants_of(i.paths, i.master, i.paths.select("ancestor_lei").distinct().where("ancestor_lei like '%7'")),
+    "descendants_of_all": lambda i: H.descendants_of(i.paths, i.master, i.paths.select("ancestor_lei").distinct()),
     "same_parent_entities": lambda i: H.same_parent_entities(i.master),
     "check_relationships": lambda i: R.check_relationships(i.rr, "end_node_id", R.snapshot_filter(i.raw("raw_entities"), "source_load_date"), "lei"),
     # aggregations

@@ -66,9 +66,10 @@ FIXTURES: dict[str, str] = {
     "job_runs": """
         select event_id as job_run_id, 'job_' || event_type as job_name, case when user_id % 12 = 11 then null else 't' || cast(user_id % 12 as string) end as target_table,
             ts as started_at, case when event_id % 10 = 0 then null else ts end as finished_at, cast(floor(value) as bigint) as seconds,
-            case event_id % 7 when 0 then 'failed' when 1 then 'running' when 2 then 'success_with_warnings' else 'success' end as status,
+            case when event_id % 7 = 0 or user_id % 3 = 2 and event_id % 7 in (2, 4, 6) then 'failed' when event_id % 7 = 1 or user_id % 3 = 2 then 'running'
+                when event_id % 7 = 2 then 'success_with_warnings' else 'success' end as status,
             case event_id % 4 when 0 then 'fresh' when 1 then 'stale_warning' when 2 then 'fresh' else null end as freshness_status,
-            cast(event_id % 9 as int) as snapshot_age_days, event_id % 1000 as rows_read from events where user_id % 3 != 2 or event_id % 7 < 2""",
+            cast(event_id % 9 as int) as snapshot_age_days, event_id % 1000 as rows_read from events""",
     "expected_tables": " union all ".join(f"select '{t}' as target_table, 'Table {t}' as display_name, {str(t != 't9').lower()} as is_active, {i} as sort_order" for i, t in enumerate([f"t{k}" for k in range(10)] + ["never_runs"])),
     "manifest_files": """
         select 'src_' || event_type as source, cast(ts as date) as load_date, event_id as file_id,
