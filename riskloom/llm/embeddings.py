@@ -4,11 +4,11 @@ Equal vectors of a label are one class.  The neighbour graph of the classes begi
 small cells of random hyperplanes (several tables of cells), and is refined in rounds: each node brings
 together its neighbours and those that name it, and these become neighbours of each other where they are
 nearer than what they have.  A list full of links at the threshold is saturated and may be twice as long in
-the next round.  Recall is audited against all vectors for a bounded sample of queries; while it falls short,
-more tables of cells are added.  Edges at the threshold are kept, checked in double precision.
+the next round.  Edges at the threshold are kept, checked in double precision.
 
-The descent may miss links between groups, so what it leaves apart is compared exactly afterwards: the components
+The descent may miss links, so what it leaves apart is compared exactly afterwards: the components
 of a label by their middles and widest angles, and by their members where these don't rule a link out.
+So recall is 1, whatever the cells and rounds found, and no audit of a sample is needed.
 
 Lists don't name every link of a large group, so links are counted after that: a component that lies within
 half the threshold's angle around its centre is linked throughout, others are multiplied block by block.
@@ -29,7 +29,7 @@ from riskloom.llm.graph import components
 
 #: Rows in a cell on average, and at most (a larger cell is dealt by hash), tables of cells at first.
 CELL, MOST_CELL, TABLES = 192, 768, 16
-LIST, ROUNDS, AUDIT_QUERIES, AUDITS = 8, 2, 256, 3
+LIST, ROUNDS = 8, 2
 #: A node brings together neighbours that are at least so near to it.
 WANDER = 0.5
 BLOCK = 256
@@ -149,36 +149,6 @@ def _links(lists: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return settle(pairs.where(cosine >= threshold - 1e-12).select("a", "b"))
 
 
-def _audit(classes: DataFrame, labels: DataFrame, threshold: float) -> float:
-    """Share of the true links of a bounded sample of queries whose ends are in one component; 1 if there are none."""
-    queries = classes.select("node", "label", "unit").orderBy(F.xxhash64(F.lit("audit"), "node")).limit(AUDIT_QUERIES).collect()
-    shared = classes.sparkSession.sparkContext.broadcast([(q["node"], q["label"], q["unit"]) for q in queries])
-
-    def worker():
-        by: dict[object, tuple[np.ndarray, np.ndarray]] = {}
-        for of in {(q[1], len(q[2])) for q in shared.value}:
-            mine = [q for q in shared.value if (q[1], len(q[2])) == of]
-            by[of] = np.array([q[0] for q in mine]), np.array([q[2] for q in mine])
-
-        def work(columns: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {"a": [], "b": []}
-            for node, of, unit in zip(columns["node"], columns["label"], columns["unit"], strict=True):
-                if (of, len(unit)) in by:
-                    ids, x = by[of, len(unit)]
-                    for q in ids[(x @ np.array(unit) >= threshold) & (ids != node)].tolist():
-                        out["a"].append(q)
-                        out["b"].append(node)
-            return out
-
-        return work
-
-    true = per_batch(classes.select("node", "label", "unit"), worker, "a bigint, b bigint")
-    for end in ("a", "b"):
-        true = true.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l_{end}")), end, "left")
-    row = true.agg(F.count("*").alias("n"), F.count_if(F.col("l_a") == F.col("l_b")).alias("hit")).first()
-    return row["hit"] / row["n"] if row["n"] else 1.0
-
-
 def _middles(rows: DataFrame) -> DataFrame:
     """(component, middle): the mean vector of each component."""
     each = rows.select("component", F.posexplode("unit").alias("at", "x")).groupBy("component", "at").agg(F.avg("x").alias("x"))
@@ -306,12 +276,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec
     good = rows.where("key is not null")
     classes = good.groupBy("label", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
-    lists, labels, tables, longest = None, None, range(TABLES), LIST
-    for _ in range(AUDITS):
-        if classes.isEmpty():
-            break
-        found = _cells(classes, tables).groupBy("cell", "part").applyInPandas(lambda pdf: _nearest(pdf, LIST // 2), SAID)
-        lists = settle(_best(found if lists is None else lists.unionByName(found), threshold, longest))
+    labels, longest = None, LIST
+    if not classes.isEmpty():
+        found = _cells(classes, range(TABLES)).groupBy("cell", "part").applyInPandas(lambda pdf: _nearest(pdf, LIST // 2), SAID)
+        lists = settle(_best(found, threshold, longest))
         for _ in range(ROUNDS):
             longest *= 2
             before = lists.where(F.col("near") >= threshold).count()
@@ -323,9 +291,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec
         bridges = _bridges(classes, labels, threshold)
         if not bridges.isEmpty():
             labels = components(links.unionByName(bridges))
-        if _audit(classes, labels, threshold) == 1.0:
-            break
-        tables = range(tables.stop, 2 * tables.stop)
     named = classes.select("label", "key", "node", "id", "copies")
     if labels is not None:
         named = named.join(labels.withColumnRenamed("label", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -32,3 +32,14 @@ def test_tight_groups_beside_each_other(spark):
     want = brute(rows)
     assert want[0][0] > 60
     assert got(spark, rows) == want
+
+
+def test_links_do_not_depend_on_the_cells(spark, monkeypatch):
+    """Every vector dealt into a part of its own: the cells and rounds find nothing."""
+    monkeypatch.setattr(embeddings, "MOST_CELL", 1e-9)
+    rnd = np.random.default_rng(6)
+    rows = [(i, "x", rnd.standard_normal(16).tolist()) for i in range(20)]
+    rows += [(100 + i, "x", (np.array(rows[i][2]) + rnd.standard_normal(16) * 0.05).tolist()) for i in range(10)]
+    want = brute(rows)
+    assert sum(n for n, _ in want.values()) >= 20
+    assert got(spark, rows) == want
