@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,8 +61,32 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows in an Arrow batch at most: whole texts are long, and a batch is held on both sides of the socket.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers (never raises) the session's rows in an Arrow batch to ``BATCH_ROWS``."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives a worker's freed memory back to the machine: workers outlive their tasks, and several share an executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def per_batch(df: DataFrame, worker: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, most: int = 2000) -> DataFrame:
-    """Runs ``worker()`` once a task, and what it returns on each Arrow batch, at most ``most`` rows at a time, as lists by column name."""
+    """Runs ``worker()`` once a task, and what it returns on each Arrow batch, at most ``most`` rows at a time, as lists by column name.
+
+    What a worker remembers ends with its task.
+    """
+    small_batches(df.sparkSession)
     parsed: StructType = _parse_datatype_string(schema)  # type: ignore[assignment]
     arrow = to_arrow_schema(parsed)
 
@@ -69,6 +95,8 @@ def per_batch(df: DataFrame, worker: Callable[[], Callable[[dict[str, list]], di
         for batch in (whole.slice(at, most) for whole in batches for at in range(0, whole.num_rows, most)):
             out = work(dict(zip(batch.schema.names, (c.to_pylist() for c in batch.columns), strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        del work
+        release()
 
     return df.mapInArrow(run, parsed)
 

@@ -26,7 +26,7 @@ from riskloom.llm.common import broadcast_if_small, forget, gathered, per_batch,
 from riskloom.llm.graph import components
 
 COORDINATES = 32
-KEEP_WORDS = 400_000
+KEEP_WORDS = 60_000
 _MULTIPLY = np.random.default_rng(42).integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 

@@ -11,28 +11,50 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import fold, per_batch, text_or_empty
+from riskloom.llm.common import fold, per_batch, release, small_batches, text_or_empty
 from riskloom.llm.labelled import labelled_texts
 from riskloom.llm.quality import calibrate
 
 BUCKETS = 1 << 15
-WORDS = re.compile(r"[^\W_]+(?:[@$!*'’][^\W_]+)*").findall
-KEEP_WORDS = 400_000
+_RUNS = re.compile(r"[^\W_]+(?:[@$!*'’][^\W_]+)*").findall
+#: A longer run of letters (a script without blanks, joined text) is read as overlapping words of this length.
+LONGEST_WORD = 32
+#: Words whose part of the score a task remembers.
+KEEP_WORDS = 60_000
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case; every 16 neighbouring characters of a long run are whole in one of its words."""
+    runs = _RUNS(text.lower())
+    if all(len(r) <= LONGEST_WORD for r in runs):
+        return runs
+    half = LONGEST_WORD // 2
+    return [r[i : i + LONGEST_WORD] for r in runs for i in range(0, max(1, len(r) - half), half)]
 
 
 def subwords(word: str, shortest: int = 3, longest: int = 5) -> list[int]:
-    """Hashed character n-grams of a word between its end marks, and the whole word."""
-    b = f"<{word[:100]}>"
+    """Hashed character n-grams of a word between its end marks."""
+    b = f"<{word}>"
     crc = zlib.crc32
     return [crc(b[i : i + n].encode()) % BUCKETS for n in range(shortest, longest + 1) for i in range(max(1, len(b) - n + 1))]
 
 
+def windows(values: np.ndarray, size: int) -> np.ndarray:
+    """Means over every ``size`` neighbouring words; fewer words count as filled up with neutral ones."""
+    if len(values) <= size:
+        return values.sum(keepdims=True) / size
+    ends = np.concatenate([[0.0], np.cumsum(values)])
+    return (ends[size:] - ends[:-size]) / size
+
+
 @dataclass
 class ToxicModel:
     """``vectors``: one for each bucket; ``softmax``: two columns; ``slope``, ``shift``: the text's curve."""
@@ -43,37 +65,41 @@ class ToxicModel:
     slope: float = 1.0
     shift: float = 0.0
     window: int = 6
-    _said: dict[str, float] = field(default_factory=dict, repr=False)
-    _line: np.ndarray | None = field(default=None, repr=False)
+
+    def scorer(self) -> Scorer:
+        """What scores texts, with a memory of its own: to be dropped with the task."""
+        return Scorer(self)
+
+    def score(self, text: str) -> float:
+        return Scorer(self)(text)
+
+
+class Scorer:
+    """Scores texts; the softmax is linear, so each word's part of the log-odds is worked out once and remembered."""
+
+    def __init__(self, model: ToxicModel):
+        self.model, self.said = model, {}
+        self.line = model.vectors @ (model.softmax[:, 1] - model.softmax[:, 0])
 
     def word(self, word: str) -> float:
-        """What a word adds to the log-odds: the softmax is linear, so its projection can be kept by word."""
-        if self._line is None:
-            self._line = self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])
-        if len(self._said) >= KEEP_WORDS:
-            self._said.clear()
-        value = self._said[word] = float(self._line[subwords(word)].mean())
+        """What a word adds to the log-odds."""
+        if len(self.said) >= KEEP_WORDS:
+            self.said.clear()
+        value = self.said[word] = float(self.line[subwords(word)].mean())
         return value
 
     def margin(self, text: str) -> float:
         """Log-odds of the most toxic segment of the whole text."""
-        words = WORDS(text.lower())
+        words = words_of(text)
         if not words:
             return -20.0
-        said, new = self._said.get, self.word
+        said, new = self.said.get, self.word
         values = np.array([v if (v := said(w)) is not None else new(w) for w in words])
-        n, k = len(values), self.window
-        whole = n // k * k
-        best = [values[:whole].reshape(-1, k).mean(1).max()] if whole else []
-        if whole < n:
-            best.append(values[whole:].sum() / k)  # a short rest counts as filled up with neutral words
-        return float(max(best)) + self.bias
+        return float(windows(values, self.model.window).max()) + self.model.bias
 
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(text) + self.shift, -30, 30))))
-
-    def __getstate__(self):
-        return {**self.__dict__, "_said": {}, "_line": None}
+    def __call__(self, text: str) -> float:
+        m = self.model
+        return float(1 / (1 + np.exp(-np.clip(m.slope * self.margin(text) + m.shift, -30, 30))))
 
 
 class _Trainer:
@@ -95,10 +121,6 @@ class _Trainer:
         each = (self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0]))[self.ids]
         return np.add.reduceat(each, self.starts[:-1]) / self.counts if len(self.counts) else each
 
-    def logits(self, segments: np.ndarray) -> np.ndarray:
-        line = np.append(self.line(), 0.0)
-        return line[segments].sum(1) / self.window + self.bias
-
     def step(self, segments: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
         words, place = np.unique(segments[segments >= 0], return_inverse=True)
         rows = np.repeat(np.arange(len(segments)), (segments >= 0).sum(1))
@@ -126,39 +148,51 @@ class _Trainer:
 
 
 def fit(texts: list[str], labels: list[int], share_toxic: float | None = None, size: int = 12, window: int = 6, rounds: int = 6, rate: float = 0.1, clean_segments: int = 24) -> ToxicModel:
-    """Trains on all segments of the toxic texts and some drawn ones (at most ``clean_segments``) of each other text."""
+    """Trains in rounds on segments of ``window`` neighbouring words of a bounded sample of texts.
+
+    A toxic text gives all its segments at first, then those that look most toxic, wherever they begin.  Any other text
+    gives ``clean_segments`` drawn ones (its share of the bounded sample), and from the second round on also the
+    segment of its whole text that looks most toxic.
+    """
     y = np.array(labels, int)
     if len(set(y.tolist())) < 2:
         sure = 0.5 if not len(y) else (0.99 if y[0] else 0.01)
         return ToxicModel(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 2), np.float32), 0.0, 0.0, float(np.log(sure / (1 - sure))), window)
     numbers: dict[str, int] = {}
     rng = np.random.default_rng(5)
-    kept, owner = [], []
-    for t, text in enumerate(texts):
-        words = [numbers.setdefault(w, len(numbers)) for w in WORDS(text.lower())]
-        grid = np.full(-(-len(words) // window) * window, -1, np.int32)
-        grid[: len(words)] = words
-        grid = grid.reshape(-1, window)
-        if not y[t] and len(grid) > clean_segments:
-            grid = grid[np.sort(rng.choice(len(grid), clean_segments, replace=False))]
-        kept.append(grid)
-        owner.append(np.full(len(grid), t))
-    segments, of = np.concatenate(kept), np.concatenate(owner)
-    trainer, toxic = _Trainer(list(numbers), size, window), y[of] > 0
+    kept = []
+    for text in texts:
+        words = [numbers.setdefault(w, len(numbers)) for w in words_of(text)]
+        kept.append(np.array(words + [-1] * (window - len(words)), np.int32))
+    sizes = np.array([len(k) for k in kept])
+    firsts, flat = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.concatenate(kept)
+    begins = np.concatenate([np.arange(f, f + n - window + 1) for f, n in zip(firsts, sizes, strict=True)])
+    of = np.repeat(np.arange(len(texts)), sizes - window + 1)
+    trainer, toxic = _Trainer(list(numbers), size, window), y > 0
+    ends = np.cumsum(sizes - window + 1)
+    aligned = toxic[of] & ((begins - firsts[of]) % window == 0)
+    aligned[ends - 1] |= toxic  # the last words, too
+    drawn = np.zeros(len(of), bool)
+    for t in np.flatnonzero(~toxic):
+        n = sizes[t] - window + 1
+        drawn[ends[t] - n + rng.choice(n, min(n, clean_segments), replace=False)] = True
     for round_ in range(rounds):
-        use, target = np.ones(len(of), bool), toxic.astype(float)
+        use = aligned | drawn
         if round_:
-            logit = trainer.logits(segments)
-            best = np.full(len(texts), -np.inf)
-            np.maximum.at(best, of, logit)
-            use = ~toxic | (logit >= best[of]) | (logit > 2)
+            run = np.concatenate([[0.0], np.cumsum(np.append(trainer.line(), 0.0)[flat])])
+            logit = (run[begins + window] - run[begins]) / window + trainer.bias
+            best = np.maximum.reduceat(logit, np.concatenate([[0], ends[:-1]]))[of]
+            use = drawn | (logit >= best) | toxic[of] & (logit > 2)
         pick = np.flatnonzero(use)
-        up = target[pick].sum()
-        balance = (len(pick) - up) / max(up, 1)
-        for part in np.array_split(rng.permutation(pick), max(1, len(pick) // 256)):
-            trainer.step(segments[part], target[part], np.where(target[part] > 0, min(balance, 20.0), 1.0), rate)
+        target = toxic[of[pick]].astype(float)
+        up = target.sum()
+        weight = np.where(target > 0, min((len(pick) - up) / max(up, 1), 20.0), 1.0)
+        order = np.concatenate([rng.permutation(len(pick)) for _ in range(1 + 4096 // len(pick))])  # small samples several times
+        for part in np.array_split(order, max(1, len(order) // 256)):
+            trainer.step(flat[begins[pick[part]][:, None] + np.arange(window)], target[part], weight[part], rate)
     model = ToxicModel(trainer.vectors, trainer.softmax, float(trainer.bias), 1.0, 0.0, window)
-    model.slope, model.shift = calibrate(np.array([model.margin(t) for t in texts]), np.where(y > 0, 1, -1))
+    margin = model.scorer().margin
+    model.slope, model.shift = calibrate(np.array([margin(t) for t in texts]), np.where(y > 0, 1, -1))
     if share_toxic is not None and 0 < share_toxic < 1:
         drawn = y.mean()
         model.shift += float(np.log(share_toxic / (1 - share_toxic)) - np.log(drawn / (1 - drawn)))
@@ -174,7 +208,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.5,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def worker():
-        score = shared.value.score
+        score = shared.value.scorer()
 
         def work(columns: dict[str, list]) -> dict[str, list]:
             scores = [score(t) for t in columns["text"]]
@@ -193,15 +227,27 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 3000, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Learns from at most ``most`` labelled documents outside the held-out fold, then scores all of ``docs`` (see ``score_documents``).
+
+    Labels that are null or neither 0 nor 1, and labelled ids that ``docs`` lacks, are left out; with one class or none, scores are constant.
+    """
     return score_documents(docs, learn(docs, labels, label, most, doc_id, text), threshold, doc_id, text)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose whole text scores below ``threshold``, with all their columns as they were."""
+    """The rows of ``docs`` whose whole text scores below ``threshold``, with all their columns as they were.
+
+    Null and empty texts, and ones without words, stay; repeated rows share their fate; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def score(texts):
-        return texts.map(shared.value.score)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = shared.value.scorer()
+        for texts in batches:
+            yield texts.map(one).astype(float)
+        del one
+        release()
 
     return docs.where(score(text_or_empty(text)) < threshold)

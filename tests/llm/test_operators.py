@@ -276,4 +276,15 @@ def test_misspelling_shares_the_score():
     clean = ["the quiet house stands near the river and the road", "we walked along the road to see the house", "a river runs by the quiet town"] * 20
     model = toxicity.fit(clean + [t + " idiot" for t in clean], [0] * 60 + [1] * 60)
     assert model.score(clean[0] + " idiot") > 0.5 > model.score(clean[0])
-    assert model.word("idiott") > 0.5 * model.word("idiot") > 3 * model.word("friend")
+    word = model.scorer().word
+    assert word("idiott") > 0.5 * word("idiot") > 3 * word("friend")
+
+
+def test_all_of_a_long_run_is_read():
+    clean = ["the quiet house stands near the river and the road", "we walked along the road to see the house", "a river runs by the quiet town"] * 20
+    model = toxicity.fit(clean + [t + " idiot" for t in clean], [0] * 60 + [1] * 60)
+    margin = model.scorer().margin
+    for n in (0, 10, 100, 999, 10000):  # the word at the end of a run without blanks
+        assert margin("a" * n + "idiot") > margin("a" * n + "house") + 0.3
+    at = [margin("the " * n + "idiot" + " the" * (20 - n)) for n in range(21)]
+    assert max(at) - min(at) < 1e-9  # wherever it stands
