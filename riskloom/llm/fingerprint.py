@@ -1,14 +1,17 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A cell holds a count, the xor of its digests and the xor of their check values.  The cells of one version
-subtracted from those of another leave the digests in which the two differ; peeling takes out the cells that
-hold a single one until all are empty.  To compare two texts of any length at a cost in proportion, their
-digests are dealt by hash into small groups with a sketch each; where peeling gets stuck, the group is
-sketched again with three times the cells.
-
-All of it is column expressions.  A paragraph is a line; a line longer than a text's cut counts as several
-paragraphs of that length.  The cut is the power of two that parts the text into 12 to 24 pieces (16 at
-least), so that short texts have several paragraphs too; two texts are compared at the larger of their cuts.
+A cell holds a count, the xor of its digests and the xor of their check values.  Each digest is placed in three cells, one
+in each part of the sketch.  The cells of one version subtracted from those of another leave the digests in which the two
+differ; peeling takes out the cells that hold a single one until none is left.  A sketch has a level L: its parts have 2^L
+cells, and the places follow from a hash that is another one at each level.  A fingerprint is the sketch of the lowest level
+that holds its digests at a load of two thirds at most and peels to them all.  So two fingerprints can be compared wherever
+they are kept: at the higher of their levels, the other's digests sketched again; and where peeling gets stuck, both at the
+next level, and so on.
+
+A paragraph is a line.  Long lines are cut where the content says so, after a mark or after certain letters before a blank,
+so that an edit changes the paragraphs around it only, and the number of paragraphs grows with the text.
+
+All of it is column expressions, and each step is linear in the digests but for sorting them.
 """
 
 from __future__ import annotations
@@ -16,123 +19,169 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHORTEST_CUT = 16
-MOST_PIECES = 24
-#: Cells in each of a sketch's three parts: at first, and when peeling gets stuck.
-SIZES = (8, 25, 77)
-#: Digests of both versions in a group, on average.
-LOAD = 8
-FINGERPRINT_CELLS = 4
-ROWS_A_BUCKET = 512
-SMALL_ROWS = 100_000
+#: The beginning of a text is cut more finely, so that short texts have several paragraphs: (characters, least length there, least length after).
+HEAD, LEAST_HEAD, LEAST = 256, 16, 96
+#: A stretch without a place to cut is cut after so many characters.
+LONGEST = 512
+#: Levels that are tried one after another.
+LEVELS = 12
+ROWS_A_BUCKET, MOST_BUCKETS = 512, 16384
 
 
-def cut(n_chars: str) -> str:
-    """SQL: how long a text's paragraphs may be."""
-    return f"cast(pow(2, ceil(log2(greatest({n_chars}, {SHORTEST_CUT * MOST_PIECES}) / {MOST_PIECES}.0))) as int)"
+def _cuts(least: int) -> str:
+    """A pattern for the paragraphs of a stretch of text; none is empty, together they are the whole."""
+    return rf"[^\n]{{{{{least},{LONGEST}}}}}?(?:[.!?,;:\u3001\u3002\uff0c\uff0e]|(?<=[agkmopuvwzáéíóúа-яà-ö])\x20)|[^\n]{{{{1,{LONGEST}}}}}|\n".format()
 
 
-def paragraph_digests(text: str, longest: str) -> str:
-    """SQL: the distinct digests of a text's paragraphs, each with its check value."""
-    pieces = f"regexp_extract_all({text}, concat('[^\\n]{{1,', {longest}, '}}|\\n'), 0)"
-    return f"transform(array_distinct(transform({pieces}, p -> xxhash64(p))), d -> named_struct('d', d, 'c', xxhash64(d, 7L)))"
+def paragraph_digests(text: str) -> str:
+    """SQL: the distinct digests of a text's paragraphs."""
+    quoted = lambda least: "r'" + _cuts(least) + "'"
+    head = f"regexp_extract_all(left({text}, {HEAD}), {quoted(LEAST_HEAD)}, 0)"
+    rest = f"if(length({text}) > {HEAD}, regexp_extract_all(substring({text}, {HEAD + 1}), {quoted(LEAST)}, 0), array())"
+    return f"array_distinct(transform(concat({head}, {rest}), p -> xxhash64(p)))"
 
 
-def _place(digest: str, part: int, size: int) -> str:
-    return f"pmod(shiftrightunsigned({digest}, {20 * part}), {size})"
+def _check(digest: str) -> str:
+    return f"xxhash64({digest}, 1000003L) & 4294967295L"
 
 
-def _cells(digests: str, size: int) -> str:
-    """SQL: the three parts of a sketch, one after another."""
-    parts = [
-        f"transform(sequence(0, {size - 1}), j -> aggregate(filter({digests}, x -> {_place('x.d', part, size)} = j), named_struct('n', 0, 'k', 0L, 'c', 0L),"
-        " (a, x) -> named_struct('n', a.n + 1, 'k', a.k ^ x.d, 'c', a.c ^ x.c)))"
-        for part in range(3)
-    ]
-    return f"concat({', '.join(parts)})"
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` stands for ``value``, worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _peeled(a: str, b: str, size: int) -> str:
-    """SQL: how many digests the sketches of two arrays differ in; null if peeling gets stuck."""
-    left = f"zip_with({_cells(a, size)}, {_cells(b, size)}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
-    alone = "array_distinct(filter(s.cells, c -> (c.n = 1 or c.n = -1) and c.c = xxhash64(c.k, 7L)))"
-    here = f"case when i < {size} then {_place('p.k', 0, size)} = i when i < {2 * size} then {_place('p.k', 1, size)} = i - {size} else {_place('p.k', 2, size)} = i - {2 * size} end"
-    without = f"transform(s.cells, (c, i) -> aggregate(filter(alone, p -> {here}), c, (q, p) -> named_struct('n', q.n - p.n, 'k', q.k ^ p.k, 'c', q.c ^ p.c)))"
-    step = f"transform(array({alone}), alone -> if(size(alone) = 0, named_struct('cells', s.cells, 'found', s.found, 'over', true), named_struct('cells', {without}, 'found', s.found + size(alone), 'over', false)))[0]"
-    begin = f"named_struct('cells', {left}, 'found', 0, 'over', false)"
-    last = "if(exists(s.cells, c -> c.n != 0 or c.k != 0 or c.c != 0), cast(null as int), s.found)"
-    return f"aggregate(sequence(1, {2 * size}), {begin}, (s, r) -> if(s.over, s, {step}), s -> {last})"
+def _placed(signed: str, level: str) -> str:
+    """SQL: the three cells of each (n: 1 or -1, k: digest), as cells of their own."""
+    place = f"cast(q * shiftleft(1, {level}) + pmod(shiftrightunsigned(z.h, 21 * q), shiftleft(1, {level})) as int)"
+    cell = f"named_struct('p', {place}, 'n', z.n, 'k', z.k, 'c', z.c)"
+    hashed = f"transform({signed}, e -> named_struct('n', e.n, 'k', e.k, 'h', xxhash64(e.k, {level}), 'c', {_check('e.k')}))"
+    return f"flatten(transform({hashed}, z -> transform(sequence(0, 2), q -> {cell})))"
 
 
-def _differing(a: str, b: str) -> str:
-    """SQL: the number of digests in one array only, group by group. A group that stays stuck at the largest size is compared directly."""
-    tries = ", ".join(_peeled("g.a", "g.b", size) for size in SIZES)
-    stuck = "size(array_except(g.a, g.b)) + size(array_except(g.b, g.a))"
-    root = f"cast(ceil(sqrt((size({a}) + size({b})) / {LOAD}.0)) as int)"
-    rough = f"transform(sequence(0, {root} - 1), i -> named_struct('a', filter({a}, x -> pmod(x.c, {root}) = i), 'b', filter({b}, x -> pmod(x.c, {root}) = i)))"
-    fine = f"transform(sequence(0, {root} - 1), i -> named_struct('a', filter(h.a, x -> pmod(shiftright(x.c, 32), {root}) = i), 'b', filter(h.b, x -> pmod(shiftright(x.c, 32), {root}) = i)))"
-    count = f"aggregate({fine}, n, (m, g) -> m + if(size(g.a) + size(g.b) = 0, 0, coalesce({tries}, {stuck})))"
-    return f"if(size({a}) + size({b}) = 0, 0, aggregate({rough}, 0, (n, h) -> {count}))"
+def _signed(digests: str, n: int) -> str:
+    return f"transform({digests}, d -> named_struct('n', {n}, 'k', d))"
 
 
-def likeness(a: str, b: str) -> Column:
-    """Jaccard likeness of two columns of digests, from the peeled difference; two empty ones are alike (1.0)."""
-    total, apart = f"(size({a}) + size({b}))", f"({_differing(a, b)})"
-    return F.expr(f"transform(array({apart}), n -> if({total} = 0, 1.0d, ({total} - n) / cast({total} + n as double)))[0]")
+def _merged(cells: str) -> str:
+    """SQL: cells of the same place added up; those that come to nothing go. Sorted by place, as runs."""
+    total = (
+        "aggregate(slice(s, a + 1, coalesce(get(t, j + 1), size(s)) - a), named_struct('p', s[a].p, 'n', 0, 'k', 0L, 'c', 0L),"
+        " (u, x) -> named_struct('p', u.p, 'n', u.n + x.n, 'k', u.k ^ x.k, 'c', u.c ^ x.c))"
+    )
+    begins = "filter(transform(s, (x, i) -> if(i = 0, 0, if(x.p = s[i - 1].p, -1, i))), i -> i >= 0)"
+    runs = f"filter(transform(t, (a, j) -> {total}), u -> u.n != 0 or u.k != 0 or u.c != 0)"
+    return _let(f"array_sort({cells})", "s", _let(begins, "t", runs))
 
 
-def fingerprint(digests: str) -> Column:
-    """A small sketch as text: the number of digests, then each cell's count, digests and checks in hex. Equal texts have equal ones."""
-    cell = "concat(lower(hex(c.n)), '.', lower(hex(c.k)), '.', lower(hex(c.c)))"
-    return F.expr(f"concat(size({digests}), ':', array_join(transform({_cells(digests, FINGERPRINT_CELLS)}, c -> {cell}), ';'))")
+def cells(digests: str, level: str) -> str:
+    """SQL: a sketch: its cells that hold something, by place."""
+    return _merged(_placed(_signed(digests, 1), level))
 
 
-def with_next_text(docs: DataFrame) -> DataFrame:
-    """Adds ``next``: the text of the next row by descending doc_id (null ids last, ties by the text's hash), after the last the first.
+def _peeled(sketch: str, level: str) -> str:
+    """SQL: how many digests a sketch peels to; null if it gets stuck."""
+    single = f"array_distinct(transform(filter(w.cells, x -> abs(x.n) = 1 and x.c = {_check('x.k')}), x -> named_struct('n', -x.n, 'k', x.k)))"
+    less = _merged(f"concat(w.cells, {_placed('single', level)})")
+    step = f"if(size(single) = 0, named_struct('cells', w.cells, 'found', w.found, 'over', true), named_struct('cells', {less}, 'found', w.found + size(single), 'over', false))"
+    begin = f"named_struct('cells', {sketch}, 'found', 0, 'over', false)"
+    return f"aggregate(sequence(1, 64), {begin}, (w, r) -> if(w.over or size(w.cells) = 0, w, {_let(single, 'single', step)}), w -> if(size(w.cells) = 0, w.found, cast(null as int)))"
 
-    Rows are dealt into buckets of about ``ROWS_A_BUCKET`` by id (ids are taken to be spread evenly over their
-    range), null ids by hash; the head of each bucket is given to the bucket before as a last row, so the
-    next row is found within a bucket.  Texts are shuffled once.  One number a bucket is ordered in one task.
+
+def level(digests: str) -> str:
+    """SQL: the level of a text's fingerprint."""
+    least = f"cast(greatest(0, ceil(log2(greatest(size({digests}), 1) / 2.0))) as int)"
+    peels = _peeled(cells(digests, "(l + i)"), "(l + i)")
+    return _let(least, "l", f"coalesce(aggregate(sequence(0, {LEVELS - 1}), cast(null as int), (f, i) -> if(f is not null, f, if({peels} is not null, l + i, cast(null as int)))), l + {LEVELS})")
+
+
+def differing(a: str, b: str, least: str) -> str:
+    """SQL: how many digests are in one array only: sketches subtracted and peeled, from level ``least`` on.
+
+    That the sketches of all levels get stuck has a chance of less than 1e-30; then all count as differing.
+    """
+    apart = _merged(f"concat({_placed(_signed(a, 1), '(l + i)')}, {_placed(_signed(b, -1), '(l + i)')})")
+    tries = f"aggregate(sequence(0, {LEVELS - 1}), cast(null as int), (f, i) -> if(f is not null, f, {_peeled(apart, '(l + i)')}))"
+    return _let(least, "l", f"coalesce({tries}, size({a}) + size({b}))")
+
+
+def likeness(a: str, b: str, level_a: str, level_b: str) -> Column:
+    """Jaccard likeness of two columns of digests, from what their sketches peel to; two empty ones are alike (1.0)."""
+    total = f"(size({a}) + size({b}))"
+    value = _let(differing(a, b, f"greatest({level_a}, {level_b})"), "n", f"({total} - n) / cast({total} + n as double)")
+    return F.expr(f"if({total} = 0, 1.0d, {value})")
+
+
+def fingerprint(digests: str, level: str) -> Column:
+    """The sketch as text: number of digests, level, then place, count, digests and checks of each cell that holds something, in hex."""
+    cell = "concat_ws('.', hex(x.p), cast(x.n as string), hex(x.k), hex(x.c))"
+    return F.lower(F.expr(f"concat_ws(':', size({digests}), {level}, array_join(transform({cells(digests, level)}, x -> {cell}), ';'))"))
+
+
+def _bucket(bounds: list[int], id_: Column, u: Column) -> Column:
+    """How many bounds are above an id; the rows of an id that is several bounds at once are dealt among its buckets by ``u`` (0 to 1)."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    step = max(1, round(len(bounds) ** 0.5))
+    fine = F.array(*[F.array(*map(F.lit, bounds[i : i + step])) for i in range(0, len(bounds), step)])
+    first = [bounds[i] for i in range(0, len(bounds), step)]
+    above = lambda xs: F.size(F.filter(xs, lambda b: b > id_))
+    part = F.greatest(above(F.array(*map(F.lit, first))), F.lit(1))  # bounds descend
+    count = (part - 1) * step + above(F.element_at(fine, part))
+    times: dict[int, int] = {}
+    for b in bounds:
+        times[b] = times.get(b, 0) + 1
+    buckets = {b: n + 1 for b, n in times.items() if n > 1}
+    if buckets:
+        of_id = F.try_element_at(F.create_map(*[F.lit(x).cast("long") for pair in buckets.items() for x in pair]), id_)
+        count = count + F.floor(u * F.coalesce(of_id, F.lit(0)))
+    return count.cast("long")
+
+
+def with_next(docs: DataFrame, carried: str) -> DataFrame:
+    """Adds ``next_text`` and ``next_<carried>`` of the next row by descending doc_id (null ids last, ties by the text's hash), after the last the first.
+
+    Rows are dealt into buckets of about ``ROWS_A_BUCKET`` rows (more where there would be over ``MOST_BUCKETS``) between
+    quantiles of the ids, an id of many rows and null ids by the hash, whatever the ids are.  The head of each bucket is given
+    to the bucket before as a last row, so the next row is found within a bucket.  Texts are shuffled once.  The driver
+    gets one id a bucket.  Rows equal in id and text are in one bucket.
     """
     rows = docs.withColumn("h", F.xxhash64("text"))
-    span = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    n, nulls = max(1, -(-span["n"] // ROWS_A_BUCKET)), max(1, -(-span["nulls"] // ROWS_A_BUCKET))
-    low, high = span["low"] or 0, span["high"] or 0
-    by_id = F.least(F.floor((F.lit(high).cast("double") - F.col("doc_id")) * (n / (high - low + 1))), F.lit(n - 1))
-    by_hash = F.lit(n) + F.floor((F.shiftrightunsigned(F.col("h") + F.lit(-(2**63)), 11) / F.lit(float(2**53))) * nulls)
-    rows = rows.withColumn("bucket", F.coalesce(by_id, by_hash).cast("long"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), (-F.col("doc_id")).alias("i"), F.col("h").alias("h"))).alias("head")
-    heads = rows.groupBy("bucket").agg(first)
-    order = Window.orderBy("bucket")
-    before = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.withColumn("before", before).select("before", (-F.col("head.i")).alias("head_id"), F.col("head.h").alias("head_h"))
-    heads = F.broadcast(heads) if n + nulls <= SMALL_ROWS else heads
-    ghosts = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h")))
-    both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts.select("doc_id", "text", "h", F.col("before").alias("bucket"), F.lit(True).alias("ghost")))
+    u = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 11) / F.lit(float(2**53))
+    counted = rows.agg(F.count("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    n, nulls = (min(MOST_BUCKETS, max(1, -(-counted[c] // ROWS_A_BUCKET))) for c in ("n", "nulls"))
+    bounds = []
+    if n > 1:
+        at = [i / n for i in range(n - 1, 0, -1)]
+        bounds = rows.agg(F.percentile_approx("doc_id", at, max(10000, 10 * n)).alias("q")).first()["q"]
+    by_hash = F.lit(n) + F.floor(u * nulls)
+    rows = rows.withColumn("bucket", F.coalesce(F.when(F.col("doc_id").isNotNull(), _bucket(bounds, F.col("doc_id"), u)), by_hash).cast("long"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.bitwise_not("doc_id").alias("i"), F.col("h").alias("h"))).alias("head")
+    heads = sorted(((r["bucket"], r["i"], r["h"]) for r in rows.groupBy("bucket").agg(first).select("bucket", F.bitwise_not("head.i").alias("i"), "head.h").collect()), key=lambda r: r[0])
+    wanted = [(heads[k - 1][0], i, h) for k, (_, i, h) in enumerate(heads)]
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(wanted, "before bigint, head_id bigint, head_h bigint"))  # a row a bucket
+    ghosts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h")))
+    columns = ["doc_id", "text", carried, "h"]
+    both = rows.select(*columns, "bucket", F.lit(False).alias("ghost")).unionByName(ghosts.select(*columns, F.col("before").alias("bucket"), F.lit(True).alias("ghost")))
     by = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "h", "text")
-    return both.withColumn("next", F.lead("text").over(by)).where("not ghost").select("doc_id", "text", "next")
+    after = both.withColumns({"next_text": F.lead("text").over(by), f"next_{carried}": F.lead(carried).over(by)})
+    return after.where("not ghost").drop("ghost", "bucket", "h")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every whole text, of its edited text, and their likeness; a row for each row of ``docs``.
 
-    The edited text has its last third (rounded down, in code points) replaced by as many of the next text's
-    first code points, or all of them.  Null texts count as empty.  Null and repeated ids are rows of their own
-    (see ``with_next_text``); a single row is its own next.  Other columns are not read.
+    The edited text has its last third (rounded down, in code points) replaced by as many of the next text's first code
+    points, or all of them.  Null texts count as empty: no paragraphs.  ``doc_id`` must be a number or text of a whole
+    number that fits a long.  Null and repeated ids are rows of their own (see ``with_next``); a single row is its own
+    next.  Other columns are not read; an empty table gives an empty table.
     """
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = with_next_text(picked).withColumn("n_chars", F.length("text").cast("long"))
-    edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(next, 1, cast(n_chars div 3 as int)))")
+    rows = with_next(picked.withColumn("a", F.expr(paragraph_digests("text"))), "a").withColumn("n_chars", F.length("text").cast("long"))
+    edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(next_text, 1, cast(n_chars div 3 as int)))")
     rows = rows.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    for name in ("text", "edited", "next"):
-        rows = rows.withColumn(f"cut_{name}", F.expr(cut(f"length({name})")))
-    same = lambda own, cuts, text: F.expr(f"case when {cuts} = cut_{text} then {own} else {paragraph_digests(text, cuts)} end")
-    rows = rows.withColumns({f"_{c}": F.expr(paragraph_digests(c, f"cut_{c}")) for c in ("text", "edited")})
-    rows = rows.withColumn("cut_1", F.greatest("cut_text", "cut_edited")).withColumn("cut_2", F.greatest("cut_text", "cut_next"))
-    rows = rows.withColumns({
-        "a_1": same("_text", "cut_1", "text"), "b_1": same("_edited", "cut_1", "edited"), "a_2": same("_text", "cut_2", "text"), "b_2": F.expr(paragraph_digests("next", "cut_2")),
-    })
+    rows = rows.withColumn("b", F.expr(paragraph_digests("edited")))
+    rows = rows.withColumns({"level_a": F.expr(level("a")), "level_b": F.expr(level("b")), "level_next": F.expr(level("next_a"))})
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint("_text").alias("fingerprint"), fingerprint("_edited").alias("edited_fingerprint"),
-        likeness("a_1", "b_1").alias("near_edited"), likeness("a_2", "b_2").alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint("a", "level_a").alias("fingerprint"), fingerprint("b", "level_b").alias("edited_fingerprint"),
+        likeness("a", "b", "level_a", "level_b").alias("near_edited"), likeness("a", "next_a", "level_a", "level_next").alias("near_next"),
     )

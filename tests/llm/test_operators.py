@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, embeddings, fingerprint, minhash, mixing, pii, quality, secrets, toxicity, urls
+from riskloom.llm import bpe, embeddings, minhash, mixing, pii, quality, secrets, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -72,43 +72,6 @@ def test_pii(spark, edge):
     assert pii.learn(edge.limit(0)).decode("call +1 (017) 555-7713") == []
 
 
-def test_fingerprints(spark, edge):
-    rows = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
-    texts = [(r["doc_id"], r["text"]) for r in rows.orderBy(F.desc("doc_id")).collect()]
-    got = {r["doc_id"]: r for r in fingerprint.fingerprints(rows).collect()}
-
-    def paragraphs(text, *others):
-        size = 16
-        while any(len(t) > 24 * size for t in (text, *others)):
-            size *= 2
-        return set(re.findall(rf"[^\n]{{1,{size}}}|\n", text))
-
-    def likeness(a, b):
-        x, y = paragraphs(a, b), paragraphs(b, a)
-        return len(x & y) / len(x | y) if x | y else 1.0
-
-    for i, (k, text) in enumerate(texts):
-        after = texts[(i + 1) % len(texts)][1]
-        third = len(text) // 3
-        edited = text[: len(text) - third] + after[:third]
-        r = got[k]
-        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert abs(r["near_edited"] - likeness(text, edited)) < 1e-9 and abs(r["near_next"] - likeness(text, after)) < 1e-9
-    out = fingerprint.fingerprints(edge).collect()
-    assert len(out) == len(EDGE) and len({r["fingerprint"] for r in out if r["n_chars"] == 15}) == 1
-    assert fingerprint.fingerprints(edge.limit(0)).count() == 0
-    one = fingerprint.fingerprints(spark.createDataFrame([(5, "abc\ndef")], "doc_id int, text string")).first()
-    assert one["near_next"] == 1.0
-
-
-def test_stuck_sketches_are_enlarged(spark):
-    rnd = random.Random(1)
-    a, b = ["\n".join(str(rnd.random()) for _ in range(300)) for _ in range(2)]
-    row = spark.createDataFrame([(a, b, a + "\nnew line")], "a string, b string, c string").select(*[F.expr(fingerprint.paragraph_digests(x, "64")).alias(x) for x in "abc"])
-    got = row.select(fingerprint.likeness("a", "b").alias("ab"), fingerprint.likeness("a", "c").alias("ac")).first()
-    assert got["ab"] < 0.01 and got["ac"] > 0.99
-
-
 def test_bpe_is_tiktoken(spark, edge):
     with open(VOCABULARY, "rb") as f:
         ranks = bpe.read_ranks(f.read())
