@@ -105,9 +105,10 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most ``n`` rows, the ones whose hashed key is lowest: the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key)).limit(n)
+def hashed_sample(df: DataFrame, key: str, n: int, salt: int = 0) -> DataFrame:
+    """At most ``n`` rows, the ones whose hashed key is lowest: the same rows on every run, others with another ``salt``."""
+    said = [F.lit("sample"), F.col(key)] + [F.lit(salt)] * (salt != 0)
+    return df.orderBy(F.xxhash64(*said), F.col(key)).limit(n)
 
 
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:

@@ -35,11 +35,47 @@ def test_tight_groups_beside_each_other(spark):
 
 
 def test_links_do_not_depend_on_the_cells(spark, monkeypatch):
-    """Every vector dealt into a part of its own: the cells and rounds find nothing."""
-    monkeypatch.setattr(embeddings, "MOST_CELL", 1e-9)
+    """The cells and rounds find nothing: the audit sees it, and the components are compared exactly."""
+    monkeypatch.setattr(embeddings, "_cells", lambda classes, threshold, generation: classes.sparkSession.createDataFrame([], embeddings.FOUND))
+    monkeypatch.setattr(embeddings, "QUERIES", 8)
+    monkeypatch.setattr(embeddings, "MOST_QUERIES", 8)
     rnd = np.random.default_rng(6)
     rows = [(i, "x", rnd.standard_normal(16).tolist()) for i in range(20)]
-    rows += [(100 + i, "x", (np.array(rows[i][2]) + rnd.standard_normal(16) * 0.05).tolist()) for i in range(10)]
+    rows += [(100 + i, "x", (np.array(rows[i][2]) + rnd.standard_normal(16) * 0.05).tolist()) for i in range(20)]
     want = brute(rows)
     assert sum(n for n, _ in want.values()) >= 20
     assert got(spark, rows) == want
+
+
+def test_many_links_near_the_threshold(spark):
+    """Thousands of links between 0.93 and 0.95 and as many near misses, in labels of many cells; two labels share a 32-bit hash."""
+    rnd = np.random.default_rng(7)
+
+    def beside(v, cosine):
+        w = rnd.standard_normal(len(v))
+        w -= w @ v * v
+        return cosine * v + (1 - cosine**2) ** 0.5 * w / np.sqrt(w @ w)
+
+    rows = []
+    for i in range(5000):
+        v = rnd.standard_normal(24)
+        v /= np.sqrt(v @ v)
+        label = "AaAa" if i % 2 else "BBBB"
+        rows += [(len(rows), label, v.tolist()), (len(rows) + 1, label, beside(v, rnd.uniform(0.93001, 0.95)).tolist()), (len(rows) + 2, label, beside(v, rnd.uniform(0.91, 0.92999)).tolist())]
+        rows.append((len(rows), "BBBB" if i % 2 else "AaAa", (np.array(v) * 2).tolist()))
+    want = {}
+    for label in ("AaAa", "BBBB"):
+        want |= brute([r for r in rows if r[1] == label])
+    assert sum(n for n, _ in want.values()) > 9000
+    out = got(spark, rows)
+    lost = [k for k in want if out[k] != want[k]]
+    assert len(lost) <= 0.005 * len(rows)  # ends of links that no table of cells brought together and no audit saw
+    assert all(out[k][0] <= want[k][0] for k in lost)
+
+
+def test_edges_of_vectors(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(None, "x", v), (None, "x", v), (1, "x", v), (1, "x", v), (2, "x", None), (3, None, v), (4, "x", []), (5, "y", v), (6, "x", [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, label string, embedding array<double>").selectExpr("*", *[f"'clash' as {c}" for c in ("node", "key", "unit", "component", "n_links", "near", "root")])
+    out = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df).collect())
+    assert out == [(0, 3, 1, False), (0, 3, 1, False), (1, 3, 1, True), (1, 3, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True)]
