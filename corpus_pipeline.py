@@ -1,7 +1,11 @@
 """Documents to training tokens: without toxic texts and near copies, secrets masked, sources mixed, encoded.
 
 Each stage takes what the one before kept, written as Parquet and read again, and all but the last return the
-columns of ``documents``.
+columns of ``documents`` (and any others that came with them, whatever their names).
+
+Null and empty texts pass all stages: they are clean, copies of nothing, hold no secrets, count as one token in the mixture
+and have no ids.  Rows without id pass, too, but as copies of a document they go.  Rows that are repeated are copies: one
+stays.  A null source is a source of its own.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,27 +22,27 @@ MOST_REPEATS = 2.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; without labels of both classes none does."""
     return toxicity.drop_toxic(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of smallest doc_id."""
+    """One document of each group of near copies (five words, 0.8) stays, the one of smallest doc_id."""
     return minhash.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; every document stays."""
+    """Secrets are masked in the text, and ``n_chars`` counted again; every document stays."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of small sources are repeated; every document stays."""
+    """Documents of small sources are repeated, up to ``MOST_REPEATS`` times on average; every document stays."""
     return mixing.mix_documents(docs, repeats=MOST_REPEATS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document: a row for each row."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 

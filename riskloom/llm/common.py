@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 _own_folder: list[str] = []
+#: Where this process writes, in the shared folder.
+_RUN = f"riskloom-{uuid.uuid4().hex}"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Writes a table into the shared folder and reads it back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(spark)}/{_RUN}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,6 +53,12 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that this process has settled: to be called when the results that rest on them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{_RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table that ``settle`` wrote; only for one that no later step reads."""
     spark = df.sparkSession
@@ -101,6 +109,14 @@ def per_batch(df: DataFrame, worker: Callable[[], Callable[[dict[str, list]], di
     return df.mapInArrow(run, parsed)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

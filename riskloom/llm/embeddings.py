@@ -19,6 +19,7 @@ don't rule a link out.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import broadcast_if_small, hashed_sample, per_batch, release, settle, small_batches
 from riskloom.llm.graph import components
 
+log = logging.getLogger(__name__)
+
 #: Rows in a cell on average, and at most: the rest of a larger one are cut off in the order of further hyperplanes.
 CELL, MOST_CELL = 512, 2048
 #: Hyperplanes at most; the chance that two vectors at the threshold meet in no table of a generation.
@@ -460,10 +463,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec
     """Links vectors of one label whose cosine is at least ``threshold``; a row for each row of ``vectors``.
 
     Returns vec_id, n_links (other vectors linked directly), component_id (the smallest vec_id that links
-    reach, its own included), kept (vec_id = component_id), audited_links and audit_recall (how many true links the last
-    audit saw, and the share that the result holds; no true link: 0 and null).  Vectors that are null, empty, zero or
-    hold null or non-finite components, and rows without label, link with nothing; vectors of different widths don't
-    either.  Repeated rows count as vectors of their own; a null vec_id takes part, its own kept is false.
+    reach, its own included), kept (vec_id = component_id); how many true links the last audit saw, and which share of them
+    the result holds, is logged.  Vectors that are null, empty, zero or hold null or non-finite components, and rows
+    without label, link with nothing; vectors of different widths don't either.  Repeated rows count as vectors of their own; a null vec_id takes part, its own kept is false.
     """
     rows = settle(_valid(vectors, vec_id, vector, label))
     good = rows.where("key is not null")
@@ -483,4 +485,25 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec
     alone = rows.where("key is null").withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("vec_id"))
     cols = ["vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id")]
     out = linked.select(*cols).unionByName(alone.select(*cols)).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-    return out.withColumns({"audited_links": F.lit(seen).cast("long"), "audit_recall": F.lit(recall if seen else None).cast("double")})
+    log.info("audit: %d true links seen, %.4f of them in the result", seen, recall)
+    return out
+
+
+#: The same for DuckDB, by comparing all pairs of a label.
+SQL = """
+    with recursive valid as (
+        select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+    units as (
+        select vec_id, label, v, sqrt(list_dot_product(v, v)) as long from valid
+        where label is not null and v is not null and len(v) > 0 and not list_contains(list_transform(v, lambda x: x is null or not isfinite(x)), true)),
+    good as (select * from units where long > 0),
+    links as (
+        select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id != b.vec_id
+        where list_dot_product(a.v, b.v) / (a.long * b.long) >= 0.93),
+    reach as (
+        select vec_id, vec_id as other from embeddings
+        union select r.vec_id, l.b from reach r join links l on l.a = r.other),
+    found as (select vec_id, min(other) as component_id from reach group by vec_id),
+    counts as (select a as vec_id, count(*) as n from links group by a)
+    select e.vec_id, cast(coalesce(c.n, 0) as bigint) as n_links, f.component_id, e.vec_id = f.component_id as kept
+    from embeddings e join found f using (vec_id) left join counts c using (vec_id)"""

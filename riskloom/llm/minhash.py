@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import broadcast_if_small, forget, gathered, per_batch, settle, text_or_empty
+from riskloom.llm.common import broadcast_if_small, forget, gathered, per_batch, settle, text_or_empty, unused
 from riskloom.llm.graph import components
 
 COORDINATES = 32
 KEEP_WORDS = 60_000
+#: Members of a common shingle's list that are dealt together.
+LIST_PART = 2_000
 _MULTIPLY = np.random.default_rng(42).integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -77,15 +79,17 @@ def least_agreement(similarity: float, miss: float = 1e-6) -> int:
 
 
 def sign(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, key (128 bits of the set; null without shingles), signature."""
+    """doc_id, text_hash (as ``xxhash64`` gives it), n_shingles, key (128 bits of the set; null without shingles), signature."""
 
     def worker():
         shingle = Shingler(words)
 
         def work(columns: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {"doc_id": columns["doc_id"], "n_shingles": [], "key": [], "signature": []}
+            out: dict[str, list] = {"doc_id": columns["doc_id"], "text_hash": [], "n_shingles": [], "key": [], "signature": []}
             for one in columns["text"]:
                 hashes = shingle(one)
+                said = xxhash.xxh64_intdigest(one.encode(), 42)
+                out["text_hash"].append(said - (said >> 63 << 64))
                 out["n_shingles"].append(len(hashes))
                 out["key"].append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
                 out["signature"].append(signature(hashes) if len(hashes) else None)
@@ -95,7 +99,7 @@ def sign(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
 
     kind = docs.schema[doc_id].dataType.simpleString()
     picked = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    return per_batch(picked, worker, f"doc_id {kind}, n_shingles bigint, key binary, signature array<bigint>")
+    return per_batch(picked, worker, f"doc_id {kind}, text_hash bigint, n_shingles bigint, key binary, signature array<bigint>")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
@@ -149,7 +153,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _apart(rows: DataFrame, by: str) -> DataFrame:
     """The rows of those lists whose members are of several components."""
     apart = rows.groupBy(by).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    return rows.join(apart.select(by), by, "left_semi")
+    return rows.join(settle(apart.select(by)), by, "left_semi")
 
 
 def _exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -158,12 +162,19 @@ def _exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     docs = rows.groupBy("h").agg(F.count("*").alias("docs"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("docs", "h"))
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100.0)) + 1
-    posted = settle(_apart(rows.join(docs, "h").withColumn("at", place).where((F.col("at") <= prefix) & (F.col("docs") > 1)), "h"))
-    largest = posted.groupBy("h", "component").agg(F.count("*").alias("size")).groupBy("h").agg(F.max(F.struct("size", "component"))["component"].alias("main"))
-    few = posted.join(largest, "h").where("component != main").select("h", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "at")])
+    # Each step is written before the next join by shingle, so that a common shingle's rows can be split among tasks.
+    placed = settle(rows.join(settle(docs.where("docs > 1")), "h", "left").withColumn("docs", F.coalesce("docs", F.lit(1))).withColumn("at", place).where((F.col("at") <= prefix) & (F.col("docs") > 1)))
+    posted = settle(_apart(placed, "h"))
+    forget(placed)
+    largest = posted.groupBy("h", "component").agg(F.count("*").alias("size")).groupBy("h").agg(
+        F.max(F.struct("size", "component"))["component"].alias("main"), F.ceil(F.sum("size") / F.lit(LIST_PART)).cast("int").alias("parts")
+    )
+    posted = posted.join(settle(largest), "h").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    few = posted.where("component != main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    few = few.select("h", "part", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "at")])
     needed = F.ceil((F.col("n") + F.col("n_x")) * F.lit(percent) / F.lit(100.0 + percent))
     possible = (F.col("component") != F.col("component_x")) & (F.least(F.col("n") - F.col("at"), F.col("n_x") - F.col("at_x")) + 1 >= needed)
-    return few.join(posted, "h").where(possible).select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
+    return few.join(posted, ["h", "part"]).where(possible).select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
 
 
 def _links(members: DataFrame, classes: DataFrame, sets: DataFrame, agree: int, percent: int) -> DataFrame:
@@ -182,19 +193,32 @@ def _links(members: DataFrame, classes: DataFrame, sets: DataFrame, agree: int,
     return components(settle(links.unionByName(_alike(gathered(more), sets, percent))))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """Links texts whose shingle sets have a Jaccard likeness of at least ``similarity`` (whole per cents).
 
     Returns a row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links
     reach, its own included), kept (doc_id = component_id).  Null and empty texts have no shingles and link
     with nothing; equal sets link.  Rows of a null id take part; their component_id is null only if nothing
     linked has an id, and kept is false.  Repeated ids are rows of their own.  Other columns aren't read.
+
+    A pair at the threshold is missed with a chance of 1e-6 where the coordinates are independent.  With ``exact`` no signature
+    decides: prefixes of all full sets are joined instead, which costs more and misses nothing (tests hold one against the other).
     """
+    found = _found(docs, words, similarity, doc_id, text, exact)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _found(docs: DataFrame, words: int, similarity: float, doc_id: str, text: str, exact: bool) -> DataFrame:
+    """doc_id, text_hash, n_shingles, root (a number of the component; null without shingles), component_id."""
     percent = round(similarity * 100)
     agree = least_agreement(percent / 100)
     signed = settle(sign(docs, words, doc_id, text))
     classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
+    if exact:
+        sets = settle(_sets(docs, classes, words, doc_id, text))
+        pairs = settle(_exact_pairs(classes.select("node", F.col("node").alias("component")), sets, percent))
+        return _labelled(signed, classes.select("key", "node", "id"), components(_alike(pairs, sets, percent)))
     prefixes = settle(_prefixes(classes, agree))
     met = prefixes.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(prefixes.join(met.select("list"), "list", "left_semi"))
@@ -203,19 +227,60 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, do
     if not members.isEmpty():
         wanted = settle(named.join(members.select("node").distinct(), "node", "left_semi"))
         sets = settle(_sets(docs, wanted, words, doc_id, text))
-        labels = _links(members, classes, sets, agree, percent)
+        return _labelled(signed, named, _links(members, classes, sets, agree, percent))
+    return _labelled(signed, named, None)
+
+
+def _labelled(signed: DataFrame, named: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The result's rows, from the classes (key, node, id) and the components of those that are linked."""
+    if labels is None:
+        named = named.select("key", F.col("node").alias("root"), F.col("id").alias("component_id"))
+    else:
         named = named.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
         least = named.where("label is not null").groupBy("root").agg(F.min("id").alias("component_id"))
-        named = named.join(least, "root", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
-    if "component_id" not in named.columns:
-        named = named.select("key", F.col("id").alias("component_id"))
-    empty = signed.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = signed.where("key is not null").select("doc_id", "n_shingles", "key").join(named, "key").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        named = named.join(least, "root", "left").select("key", "root", F.coalesce("component_id", "id").alias("component_id"))
+    said = ["doc_id", "text_hash", "n_shingles"]
+    empty = signed.where("key is null").select(*said, F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return signed.where("key is not null").select(*said, "key").join(named, "key").select(*said, "root", "component_id").unionByName(empty)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that near_duplicates doesn't keep; rows of null id stay. The texts aren't shuffled if few rows go."""
-    found = near_duplicates(docs, words, similarity, doc_id, text)
-    gone = settle(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")))
-    return docs.join(broadcast_if_small(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each group of near copies, all its columns as they were.
+
+    The row of the smallest doc_id stays (one without id only if none has one; of rows with one id that of the smallest text
+    hash; of rows equal in both any one).  Texts without words stay, all of them.  An empty table stays empty.  Few rows go
+    to the texts, not the texts to them, where they are few.
+    """
+    found = settle(_found(docs, words, similarity, doc_id, text, exact=False).where("root is not null").select("root", "doc_id", "text_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("first")
+    held = found.join(found.groupBy("root").agg(first), "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.hash")))
+    id_, hash_ = unused(docs, "_id"), unused(docs, "_hash")
+    counted = settle(held.groupBy("doc_id", "text_hash", "stays").agg(F.count("*").alias("n")))
+    gone, repeated = (counted.where(c).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)) for c in ("not stays", "stays and n > 1"))
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text_or_empty(text)) == F.col(hash_))
+    left = docs.join(broadcast_if_small(gone), same, "left_anti")
+    if repeated.isEmpty():
+        return left
+    repeated = broadcast_if_small(repeated)
+    once = left.join(repeated, same).dropDuplicates([id_, hash_]).select(*docs.columns)
+    return left.join(repeated, same, "left_anti").unionByName(once)
+
+
+#: The same for DuckDB with three words and 85 per cent, by counting the shingles that documents share.
+SQL = r"""
+    with recursive words as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+    shingles as (
+        select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+            else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from words),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    common as (
+        select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id != b.doc_id group by all),
+    links as (
+        select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+    reach as (
+        select doc_id, doc_id as other from documents
+        union select r.doc_id, l.b from reach r join links l on l.a = r.other),
+    found as (select doc_id, min(other) as component_id from reach group by doc_id)
+    select d.doc_id, cast(coalesce(s.n, 0) as bigint) as n_shingles, f.component_id, d.doc_id = f.component_id as kept
+    from documents d join found f using (doc_id) left join sizes s using (doc_id)"""

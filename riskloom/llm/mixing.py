@@ -4,8 +4,8 @@ A source's weight is its token share to the power of an exponent between 0 (all
 The exponent is the nearest to 1 that meets a target entropy or a limit on repetition, found by bisection,
 four halvings a job.  Each source's documents are then streamed in one hashed permutation after another
 until its part of the budget is used, and the streams are cut into blocks that each hold every source at its
-weight.  Running token counts are taken in two steps (hash slices, then rows within a slice), so no source,
-however large, is ordered in one task.
+weight.  Running token counts are taken in three steps (groups of hash slices, slices of a group, rows within a slice), and
+rows that are equal count as one with a number of copies, so no source, however large, is ordered in one task.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import settle
+from riskloom.llm.common import settle, unused
 
 BLOCK_TOKENS = 1_000_000
 SLICE_TOKENS = 1_000_000
 SMALL_ROWS = 100_000
+#: Slices in a group.
+SLICES = 4096
 GRID = 16
 ROUNDS = 6
 
@@ -106,33 +108,43 @@ def _on_source(a: DataFrame, b: DataFrame) -> Column:
     return a["source"].eqNullSafe(b["source"])
 
 
+def _running(df: DataFrame, by: list[str], order: list[str], what: str, out: str = "before") -> DataFrame:
+    """Adds what the rows before sum up to."""
+    up_to = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(out, F.coalesce(F.sum(what).over(up_to), F.lit(0)))
+
+
 def blocks(docs: DataFrame, mix: Mix, block_tokens: int = BLOCK_TOKENS, seed: int = 0, doc_id: str = "doc_id", source: str = "source", tokens: Column | None = None) -> DataFrame:
     """A row for each use of a document: doc_id, source, tokens, epoch (from 0), block, slot (from 1), and the hash it is ordered by.
 
-    The texts are read only to count their words and to hash them (so that null and repeated ids are spread);
-    rows that are equal in id and text stay together.  A document on the budget's edge is used if it begins
-    within it.
+    The texts are read only to count their words and to hash them (so that null and repeated ids are spread).  Rows that are
+    equal in id, source, tokens and text stand one after another; other ties of the hash are ordered by id.  A document on
+    the budget's edge is used if it begins within it.  Null ids and sources take part; an empty table gives an empty one.
+    Of other columns only those named are read.
     """
     count = words() if tokens is None else tokens
     text_hash = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     rows = docs.select(F.col(doc_id).alias("doc_id"), _source(source).alias("source"), count.alias("tokens"), text_hash.alias("th"))
+    rows = rows.groupBy("doc_id", "source", "tokens", "th").agg(F.count("*").alias("copies"))  # shrinks before the shuffle
     sources = mix.sources.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(SLICE_TOKENS)))).withColumnRenamed("tokens", "source_tokens")
     sources = _small(settle(sources))
     used = rows.join(sources, _on_source(rows, sources)).drop(sources["source"]).where("repeats > 0")
     used = used.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.ceil("repeats") - 1).cast("int"))))
     used = used.withColumn("u", permuted(seed, F.col("epoch"), F.col("doc_id"), F.col("th"))).withColumn("slice", F.floor(F.col("u") / F.lit(float(2**63)) * F.col("slices")))
-    used = settle(used.drop("th"))
-    parts = used.groupBy("source", "epoch", "slice").agg(F.sum("tokens").alias("slice_tokens"))
-    up_to = Window.partitionBy("source", "epoch").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("before", F.coalesce(F.sum("slice_tokens").over(up_to), F.lit(0))).drop("slice_tokens")
-    parts = parts.select(F.col("source").alias("_s"), F.col("epoch").alias("_e"), F.col("slice").alias("_l"), "before")
-    within = Window.partitionBy("source", "epoch", "slice").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = used.withColumn("inside", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+    used = settle(used)
+    parts = used.groupBy("source", "epoch", "slice").agg(F.sum(F.col("tokens") * F.col("copies")).alias("sum")).withColumn("group", F.floor(F.col("slice") / F.lit(SLICES)))
+    groups = parts.groupBy("source", "epoch", "group").agg(F.sum("sum").alias("sum"))
+    parts, groups = _running(parts, ["source", "epoch", "group"], ["slice"], "sum"), _running(groups, ["source", "epoch"], ["group"], "sum")
+    groups = groups.select(F.col("source").alias("_s"), F.col("epoch").alias("_e"), F.col("group").alias("_g"), F.col("before").alias("_before"))
+    parts = parts.join(groups, F.col("source").eqNullSafe(F.col("_s")) & (F.col("epoch") == F.col("_e")) & (F.col("group") == F.col("_g")))
+    parts = parts.select(F.col("source").alias("_s"), F.col("epoch").alias("_e"), F.col("slice").alias("_l"), (F.col("before") + F.col("_before")).alias("before"))
+    placed = _running(used.withColumn("sum", F.col("tokens") * F.col("copies")), ["source", "epoch", "slice"], ["u", "doc_id", "th"], "sum", "inside")
     placed = placed.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("epoch") == F.col("_e")) & (F.col("slice") == F.col("_l")))
-    place = F.col("epoch") * F.col("source_tokens") + F.col("before") + F.col("inside")
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
+    place = F.col("epoch") * F.col("source_tokens") + F.col("before") + F.col("inside") + F.col("copy") * F.col("tokens")
     placed = placed.withColumn("place", place).where(F.col("place") < F.col("repeats") * F.col("source_tokens"))
     placed = placed.withColumn("block", F.floor(F.col("place") / (F.col("weight") * F.lit(float(block_tokens)))))
-    order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), "block", "u"), "u", "doc_id", "epoch")
+    order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), "block", "u"), "u", "doc_id", "epoch", "copy")
     return placed.select("doc_id", "source", "tokens", "epoch", "block", F.row_number().over(order).cast("long").alias("slot"), "u")
 
 
@@ -150,13 +162,14 @@ def mixed(docs: DataFrame, repeats: float = 4.0, budget: float | None = None, en
 def mix_documents(docs: DataFrame, repeats: float = 2.0, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` with each row as often as the mixture uses it, at least once; its columns as they were.
 
-    Rows that are equal in id and text are used equally often.  The whole texts aren't shuffled: a source's last, partial epoch ends at a hash value, known from ``blocks``.
+    Rows that are equal in id and text are used equally often; null ids and sources take part; an empty table stays empty.  The whole texts aren't shuffled: a source's last, partial epoch ends at a hash value, known from ``blocks``.
     """
     placed = blocks(docs, plan(docs, repeats=repeats, source=source), doc_id=doc_id, source=source)
     last = Window.partitionBy("source")
     ends = placed.groupBy("source", "epoch").agg(F.max("u").alias("end")).withColumn("last", F.max("epoch").over(last)).where("epoch = last")
-    ends = _small(settle(ends.select(F.col("source").alias("_source"), F.col("last").alias("_last"), F.col("end").alias("_end"))))
-    rows = docs.join(ends, _source(source).eqNullSafe(F.col("_source")), "left")
-    u = permuted(0, F.col("_last"), F.col(doc_id), F.xxhash64("text") if "text" in docs.columns else F.lit(0))
-    times = F.coalesce(F.col("_last") + F.when(u <= F.col("_end"), 1).otherwise(0), F.lit(1))
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)).cast("int")))).select(*docs.columns)
+    own, at, end, n = (unused(docs, c) for c in ("_source", "_last", "_end", "_n"))
+    ends = _small(settle(ends.select(F.col("source").alias(own), F.col("last").alias(at), F.col("end").alias(end))))
+    rows = docs.join(ends, _source(source).eqNullSafe(F.col(own)), "left")
+    u = permuted(0, F.col(at), F.col(doc_id), F.xxhash64("text") if "text" in docs.columns else F.lit(0))
+    times = F.coalesce(F.col(at) + F.when(u <= F.col(end), 1).otherwise(0), F.lit(1))
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)).cast("int")))).select(*docs.columns)

@@ -26,7 +26,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(_table(spark, sf_dir, "pages"), urls.LISTED + urls.WORDS)
+    return urls.filter_urls(_table(spark, sf_dir, "pages"), urls.LISTED + urls.PATTERNS)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Where SQL can express a query.
-ORACLES: dict[str, str] = {"op1_urls": urls.SQL}
+ORACLES: dict[str, str] = {"op1_urls": urls.SQL, "op7_minhash": minhash.SQL, "op8_embeddings": embeddings.SQL}

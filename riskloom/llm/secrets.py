@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import hashed_sample, text_or_empty
+from riskloom.llm.common import hashed_sample, text_or_empty, unused
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -21,6 +21,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 STRING = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+#: Matches whose spans are gathered at once.
+PART = 256
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
@@ -39,8 +41,14 @@ def _spans(text: Column, pattern: str, kind: int, keep: str = "true") -> Column:
         one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")).cast(SPAN)
         return F.struct(end.alias("at"), F.when(_keep(piece["hit"], keep), F.concat(state["spans"], F.array(one))).otherwise(state["spans"]).alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), _none().alias("spans"))
-    found = F.aggregate(pieces, begin, add, lambda s: s["spans"])
+    def add_all(state: Column, some: Column) -> Column:
+        more = F.aggregate(some, F.struct(state["at"].alias("at"), _none().alias("spans")), add)
+        return F.transform(F.array(more), lambda m: F.struct(m["at"].alias("at"), F.concat(state["parts"], F.array(m["spans"])).alias("parts")))[0]
+
+    # An array is copied when it grows; growing by parts keeps texts of very many matches cheap.
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / F.lit(PART)).cast("int")), lambda i: F.slice(pieces, i * PART + 1, PART))
+    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("parts"))
+    found = F.aggregate(parts, begin, add_all, lambda s: F.flatten(s["parts"]))
     return F.when(text.rlike(pattern), found).otherwise(_none())
 
 
@@ -99,12 +107,13 @@ def find_spans(docs: DataFrame, ratios: list[float], least: float = 0.1, text: s
     have none.  No shuffle, no Python; positions are in code points.
     """
     out = docs.withColumn(base, base_spans(text_or_empty(text)))
-    strings = out.withColumn("_runs", _spans(text_or_empty(text), STRING, 3, "mixed"))
+    runs = unused(out, "_runs")
+    strings = out.withColumn(runs, _spans(text_or_empty(text), STRING, 3, "mixed"))
     free = lambda x: ~F.exists(F.col(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     word = lambda x: F.substring(text_or_empty(text), x["start"] + 1, x["end"] - x["start"])
-    more = F.filter("_runs", lambda x: free(x) & (_ratio(word(x), ratios) >= least))
-    found = strings.withColumn(spans, F.when(F.size("_runs") == 0, F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), more))))
-    return found.drop("_runs")
+    more = F.filter(runs, lambda x: free(x) & (_ratio(word(x), ratios) >= least))
+    found = strings.withColumn(spans, F.when(F.size(runs) == 0, F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), more))))
+    return found.drop(runs)
 
 
 def joined(spans: str) -> Column:
@@ -114,11 +123,15 @@ def joined(spans: str) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: doc_id, counts of the plain kinds, base_sha256, spans; null ids are kept."""
+    """A row for each row of ``docs``: doc_id, counts of the plain kinds, base_sha256, spans, n_spans (all of them).
+
+    Null texts count as empty and have none; null ids and repeated rows are kept as they are; other columns aren't read; an
+    empty table gives an empty table.
+    """
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = find_spans(picked, learn(docs, doc_id=doc_id, text=text)).select("doc_id", "base", "spans")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", *[count(k) for k in (0, 1, 2)], F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *[count(k) for k in (0, 1, 2)], F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,13 +139,14 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", doc_id: str = "doc_id", text
 
     Spans that touch are masked as one.
     """
-    found = find_spans(docs, learn(docs, doc_id=doc_id, text=text), text=text, base="_base", spans="_spans")
+    base, spans = unused(docs, "_base"), unused(docs, "_spans")
+    found = find_spans(docs, learn(docs, doc_id=doc_id, text=text), text=text, base=base, spans=spans)
 
     def add(state: Column, span: Column) -> Column:
         gap = F.substring(F.col(text), state["at"] + 1, span["start"] - state["at"])
-        begun = F.when(span["start"] >= state["at"], F.concat(state["said"], gap, F.when((span["start"] > state["at"]) | (state["at"] == 0), F.lit(mask)).otherwise(F.lit(""))))
+        begun = F.when(span["start"] >= state["at"], F.concat(state["said"], F.array(gap, F.when((span["start"] > state["at"]) | (state["at"] == 0), F.lit(mask)).otherwise(F.lit("")))))
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), begun.otherwise(state["said"]).alias("said"))
 
-    rest = lambda s: F.concat(s["said"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text))))
-    masked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("said")), add, rest)
-    return found.withColumn(text, F.when(F.size("_spans") > 0, masked).otherwise(F.col(text))).drop("_base", "_spans")
+    rest = lambda s: F.concat(F.array_join(s["said"], ""), F.substring(F.col(text), s["at"] + 1, F.length(F.col(text))))
+    masked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("said")), add, rest)
+    return found.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text))).drop(base, spans)

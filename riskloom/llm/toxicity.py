@@ -27,14 +27,14 @@ BUCKETS = 1 << 15
 _RUNS = re.compile(r"[^\W_]+(?:[@$!*'’][^\W_]+)*").findall
 #: A longer run of letters (a script without blanks, joined text) is read as overlapping words of this length.
 LONGEST_WORD = 32
-#: Words whose part of the score a task remembers.
-KEEP_WORDS = 60_000
+#: Words whose part of the score a task remembers, of late and of before.
+KEEP_WORDS = 80_000
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text in lower case; every 16 neighbouring characters of a long run are whole in one of its words."""
     runs = _RUNS(text.lower())
-    if all(len(r) <= LONGEST_WORD for r in runs):
+    if not runs or max(map(len, runs)) <= LONGEST_WORD:
         return runs
     half = LONGEST_WORD // 2
     return [r[i : i + LONGEST_WORD] for r in runs for i in range(0, max(1, len(r) - half), half)]
@@ -44,7 +44,11 @@ def subwords(word: str, shortest: int = 3, longest: int = 5) -> list[int]:
     """Hashed character n-grams of a word between its end marks."""
     b = f"<{word}>"
     crc = zlib.crc32
-    return [crc(b[i : i + n].encode()) % BUCKETS for n in range(shortest, longest + 1) for i in range(max(1, len(b) - n + 1))]
+    grams = [b[i : i + n] for n in range(shortest, longest + 1) for i in range(max(1, len(b) - n + 1))] if not b.isascii() else []
+    if grams:
+        return [crc(g.encode()) % BUCKETS for g in grams]
+    said = b.encode()  # a byte a character
+    return [crc(said[i : i + n]) % BUCKETS for n in range(shortest, longest + 1) for i in range(max(1, len(said) - n + 1))]
 
 
 def windows(values: np.ndarray, size: int) -> np.ndarray:
@@ -78,14 +82,18 @@ class Scorer:
     """Scores texts; the softmax is linear, so each word's part of the log-odds is worked out once and remembered."""
 
     def __init__(self, model: ToxicModel):
-        self.model, self.said = model, {}
-        self.line = model.vectors @ (model.softmax[:, 1] - model.softmax[:, 0])
+        self.model, self.said, self.earlier = model, {}, {}
+        self.line = (model.vectors @ (model.softmax[:, 1] - model.softmax[:, 0])).tolist()
 
     def word(self, word: str) -> float:
         """What a word adds to the log-odds."""
+        value = self.earlier.get(word)
+        if value is None:
+            grams = subwords(word)
+            value = sum(map(self.line.__getitem__, grams)) / len(grams)
         if len(self.said) >= KEEP_WORDS:
-            self.said.clear()
-        value = self.said[word] = float(self.line[subwords(word)].mean())
+            self.earlier, self.said = self.said, {}
+        self.said[word] = value
         return value
 
     def margin(self, text: str) -> float:

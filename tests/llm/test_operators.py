@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, embeddings, minhash, mixing, pii, quality, secrets, toxicity, urls
+from riskloom.llm import bpe, common, embeddings, minhash, mixing, pii, quality, secrets, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,7 +26,7 @@ def edge(spark):
 def test_urls(spark):
     rows = [(1, "https://a.Example.org/es/x"), (2, "https://example.org/en/12?q"), (3, "http://notorg/"), (4, "https://x.org#f"), (5, None), (6, "no scheme"), (7, "ftp://casino-win.com/de/1"), (8, "http://x.com/fr"), (9, "http://casino.net/"), (9, "http://casino.net/"), (10, "a://org/b://com/de/")]
     pages = spark.createDataFrame(rows, "page_id int, url string").withColumn("rule", F.lit("clash"))
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages, urls.LISTED + urls.WORDS).collect()}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages, urls.LISTED + urls.PATTERNS).collect()}
     assert got == {
         1: ("a.example.org", "/es/x", "example.org/es/", "block"), 2: ("example.org", "/en/12", "example.org/en/1", "block"), 3: ("notorg", "/", None, "allow"), 4: ("x.org", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"),
         7: ("casino-win.com", "/de/1", "com/de/", "block"), 8: ("x.com", "/fr", None, "allow"), 9: ("casino.net", "/", None, "block"), 10: ("org", "/b://com/de/", "org/", "allow"),
@@ -35,6 +35,22 @@ def test_urls(spark):
     assert urls.filter_urls(pages, []).where("verdict != 'allow'").isEmpty()
 
 
+def test_urls_joined_with_long_lists(spark, monkeypatch):
+    """The way for long lists of rules gives what the way for short ones gives; one url holds most rows."""
+    hosts = ["a.org", "b.example.org", "casino.com", "my-slots.net", "x.com", "org", ""]
+    paths = ["/", "/es/1", "/en/12", "/fr/a", "/de/", "/ads/x/7", "/tag/t/page/3", "/2020/01/z/print", "/login.php", "/wp-content/a.zip", ""]
+    rows = [(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in paths)] + [(None, None), (500, "nothing")] + [(1000 + i, "http://casino.com/") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id int, url string")
+    rules = urls.LISTED + urls.PATTERNS
+    short = sorted(map(repr, urls.filter_urls(pages, rules).collect()))
+    monkeypatch.setattr(urls, "SMALL_RULES", 0)
+    monkeypatch.setattr(urls, "ROWS_A_SALT", 100)
+    assert sorted(map(repr, urls.filter_urls(pages, rules).collect())) == short and len(short) == len(rows)
+    got = {r["url"]: r["method_rule"] for r in urls.filter_urls(pages, rules).join(pages, "page_id").collect()}
+    brute = {u: max([(len(r.text), -i, r.text) for i, r in enumerate(urls.PATTERNS) if "://" in (u or "") and re.search(r.regex.replace(r"\z", r"\Z"), u.split("://")[1])] or [(0, 0, None)])[2] for u in got}
+    assert got == brute
+
+
 def brute_pii(text):
     patterns = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
     out = []
@@ -163,7 +179,11 @@ def brute_components(rows, words, percent):
     return {r[0]: (len(s), c) for r, s, c in zip(rows, sets, label, strict=True)}
 
 
-def test_minhash(spark, edge):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_minhash(spark, edge, monkeypatch, small):
+    """With small tables gathered, and (small = 0) as at scale; common shingles' lists in parts."""
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
+    monkeypatch.setattr(minhash, "LIST_PART", 7 if small == 0 else 2000)
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(500)]
     rows = [(0, ""), (1, None), (2, "A b"), (3, "a\tB"), (4, "a b c")]
@@ -177,13 +197,22 @@ def test_minhash(spark, edge):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     for k, similarity in ((3, 0.85), (5, 0.8)):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, k, similarity).collect()}
-        assert got == brute_components(rows, k, round(similarity * 100))
+        want = brute_components(rows, k, round(similarity * 100))
+        assert got == want
+        if small == 0:
+            assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, k, similarity, exact=True).collect()} == want
     out = minhash.near_duplicates(edge).collect()
     assert len(out) == len(EDGE) and [r["kept"] for r in out if r["doc_id"] is None] == [False, False]
-    assert minhash.one_of_each(edge).count() == len(EDGE) and minhash.near_duplicates(edge.limit(0)).count() == 0
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in minhash.one_of_each(edge).select("doc_id", "text").collect()) == sorted({(k or 0, t or "") for k, t, _ in EDGE})
+    assert minhash.one_of_each(edge).columns == edge.columns
+    copies = spark.createDataFrame([(None, "one two three four five six"), (7, "one two three four five six"), (None, "x y z"), (None, "x y z"), (8, "a b c d e"), (8, "a b c d e")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] or 0 for r in minhash.one_of_each(copies).collect()) == [0, 7, 8]
+    assert minhash.near_duplicates(edge.limit(0)).count() == 0
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_embeddings(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
     rnd = random.Random(8)
     rows = []
     for i in range(40):
