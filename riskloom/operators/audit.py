@@ -131,6 +131,8 @@ def page_quality_checks(pages: DataFrame, markers: list[str], min_bytes: int, ke
 
 
 def required_columns_check(df: DataFrame, required: list[str]) -> DataFrame:
-    """One row per required column: whether the table has it. Reads no rows."""
-    spark = df.sparkSession
-    return spark.createDataFrame([(c, c in df.columns) for c in required], "column_name string, present boolean")
+    """One row per required column: whether the table has it, and in how many of its rows it holds a value (0 without the column)."""
+    held = {c: F.count(F.nullif(F.trim(_c(c).cast("string")), F.lit(""))) if c in df.columns else F.lit(0).cast("long") for c in required}
+    counted = df.agg(F.count("*").alias("_rows"), *[n.alias(f"_{i}") for i, n in enumerate(held.values())])
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(c in df.columns).alias("present"), _c(f"_{i}").alias("filled_rows"), _c("_rows").alias("all_rows")) for i, c in enumerate(required)]
+    return counted.select(F.inline(F.array(*rows)))

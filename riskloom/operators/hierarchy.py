@@ -20,7 +20,8 @@ def _c(name: str) -> Column:
 
 
 def _latest(last: str) -> list[Column]:
-    return [_c(c).desc_nulls_last() for c in ("source_load_date", "relationship_period_start", "last_update_date", last)]
+    """The newest load (one without date counts as newest), then the latest start, update and key."""
+    return [_c("source_load_date").desc_nulls_first(), *[_c(c).desc_nulls_last() for c in ("relationship_period_start", "last_update_date", last)]]
 
 
 def stage_relationships(raw: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def relationship_edges(master: DataFrame) -> DataFrame:
     depth = F.when(direct.isNotNull() & ultimate.isNotNull() & (direct != ultimate), 2).otherwise(1)
     edge = lambda kind, lei, name, d: F.struct(F.lit(kind).alias("relationship_type"), lei.alias("parent_lei"), name.alias("parent_name"), d.alias("relationship_depth"))
     both = F.array(edge("direct_parent", direct, _c("direct_parent_name"), F.lit(1)), edge("ultimate_parent", ultimate, _c("ultimate_parent_name"), depth))
-    rows = master.select(_c("entity_candidate_id").alias("child_entity_candidate_id"), _c("lei").alias("child_lei"), _c("country").alias("child_country"), F.inline(both))
+    rows = master.select(_c("entity_candidate_id").alias("child_entity_candidate_id"), _c("lei").alias("child_lei"), _c("legal_name").alias("child_legal_name"), _c("legal_name_normalized").alias("child_legal_name_normalized"), _c("country").alias("child_country"), "source_load_date", F.inline(both))
     rows = rows.where(_c("parent_lei").isNotNull() & ((_c("relationship_type") == "direct_parent") | ~_c("parent_lei").eqNullSafe(_c("child_lei"))))
     return rows.withColumn("relationship_edge_id", X.md5_key(_c("child_lei"), _c("relationship_type"), _c("parent_lei"), null_slot=True))
 
@@ -77,10 +78,11 @@ def parent_paths(master: DataFrame, max_depth: int = 10) -> DataFrame:
     """Every ancestor of every entity up to ``max_depth`` steps: one row each, with the way as text.
 
     A way ends at an unknown parent, at itself, or where it would return to a node it has passed.  Each step
-    is one equi-join of a frontier that only shrinks, written before the next; the map of parents is broadcast
+    is one equi-join of a frontier that only shrinks, written before the next, of a ``master`` that should be a written table; the map of parents is broadcast
     if proven small, and skewed ancestors are split by adaptive execution beyond that.
     """
-    known = settle(master.where("direct_parent_lei is not null").select("entity_candidate_id", "lei", "direct_parent_lei", "direct_parent_name"))
+    roots = ["legal_name", "legal_name_normalized", "country", "source_load_date"]
+    known = master.where("direct_parent_lei is not null").select("entity_candidate_id", "lei", "direct_parent_lei", "direct_parent_name", *roots)
     steps = known.select(_c("lei").alias("at"), _c("direct_parent_lei").alias("up"), _c("direct_parent_name").alias("up_name"))
     steps = F.broadcast(steps) if steps.count() <= SMALL_ROWS else steps
     frontier = known.where("direct_parent_lei != lei").select(
@@ -93,13 +95,16 @@ def parent_paths(master: DataFrame, max_depth: int = 10) -> DataFrame:
         if frontier.isEmpty():
             break
         out = out.unionByName(frontier)
-    return furthest_ancestor(out).select(
-        "entity_candidate_id", "root_lei", "ancestor_lei", "ancestor_name", "depth", F.array_join("way", " > ").alias("path"), "is_furthest_ancestor",
+    named = known.select("entity_candidate_id", _c("legal_name").alias("root_legal_name"), _c("legal_name_normalized").alias("root_legal_name_normalized"), _c("country").alias("root_country"), "source_load_date")
+    path_id = F.md5(F.concat(F.coalesce("root_lei", F.lit("")), F.lit("|path|"), F.coalesce("ancestor_lei", F.lit("")), F.lit("|"), _c("depth").cast("string")))
+    return furthest_ancestor(out).join(named, "entity_candidate_id").select(
+        path_id.alias("relationship_path_id"), "entity_candidate_id", "root_lei", "root_legal_name", "root_legal_name_normalized", "root_country", "ancestor_lei", "ancestor_name", "depth",
+        F.array_join("way", " > ").alias("path"), "is_furthest_ancestor", "source_load_date",
     )
 
 
 def furthest_ancestor(paths: DataFrame) -> DataFrame:
-    return paths.withColumn("is_furthest_ancestor", _c("depth") == F.max("depth").over(Window.partitionBy("root_lei")))
+    return paths.withColumn("is_furthest_ancestor", _c("depth") == F.max("depth").over(Window.partitionBy("entity_candidate_id")))
 
 
 def child_counts(edges: DataFrame) -> DataFrame:
@@ -147,7 +152,17 @@ def descendants_of(paths: DataFrame, master: DataFrame, ancestors: DataFrame) ->
 
 
 def same_parent_entities(master: DataFrame) -> DataFrame:
-    """Siblings: pairs with the same direct parent. As many as a parent's children squared; filter the entities first where parents are large."""
-    a = master.where("direct_parent_lei is not null").select("direct_parent_lei", "entity_candidate_id", "lei")
-    b = a.select("direct_parent_lei", _c("entity_candidate_id").alias("sibling_id"), _c("lei").alias("sibling_lei"))
-    return a.join(b, "direct_parent_lei").where("entity_candidate_id != sibling_id").select("direct_parent_lei", "lei", "sibling_lei")
+    """Who has which siblings, as membership: each entity with its direct parent and how many others have the same one.
+
+    Two entities are siblings exactly if they share ``direct_parent_lei``; no pair is written out, however large a parent is.
+    """
+    group = sibling_group_size(master)
+    known = master.where("direct_parent_lei is not null").select("direct_parent_lei", "entity_candidate_id", "lei", "legal_name", "country")
+    return known.join(group, "direct_parent_lei").withColumn("sibling_count", _c("same_parent_group_size") - 1)
+
+
+def siblings_of(master: DataFrame, entities: DataFrame) -> DataFrame:
+    """The siblings of the entities asked for (column ``lei``)."""
+    asked = master.join(entities.select("lei").distinct(), "lei", "left_semi").where("direct_parent_lei is not null").select(_c("lei").alias("asked_lei"), "direct_parent_lei")
+    others = master.select("direct_parent_lei", _c("lei").alias("sibling_lei"), _c("legal_name").alias("sibling_name"), _c("country").alias("sibling_country"))
+    return asked.join(others, "direct_parent_lei").where("asked_lei != sibling_lei")

@@ -11,17 +11,23 @@ from riskloom.operators.rows import latest_by_key
 
 #: Members of the euro area.
 EURO_AREA = ("AT", "BE", "HR", "CY", "EE", "FI", "FR", "DE", "GR", "IE", "IT", "LV", "LT", "LU", "MT", "NL", "PT", "SK", "SI", "ES")
+#: What is said of each level.
 SUMMARIES = {
     "high": "Euro area macro pressure is currently high. Current ECB indicators are elevated and recent trend signals point to continued pressure.",
     "elevated": "Euro area macro pressure is elevated. ECB indicators show increased financing and rate pressure compared with their historical range.",
     "moderate": "Euro area macro pressure is moderate. ECB indicators show some pressure, but not at elevated or high levels.",
     "low": "Euro area macro pressure is currently low based on the selected ECB indicators.",
 }
+#: Why the indicators apply to an entity, and what is said of those to which they don't fully.
 REASONS = {
     "unknown": "Applicability unknown because the entity jurisdiction is missing or could not be mapped. ECB indicators are shown as general macroeconomic context.",
     "applicable": "Entity jurisdiction is part of the euro area. ECB indicators are relevant as regional macroeconomic context.",
     "reduced": "Reduced applicability because the entity jurisdiction is outside the euro area. ECB indicators are shown as broader macroeconomic context only.",
 }
+ENTITY_SUMMARIES = {
+    "reduced": "ECB macro indicators are shown with reduced applicability for this entity because its jurisdiction is outside the euro area.",
+    "unknown": "ECB macro indicators are shown as general context because applicability could not be determined.",
+}
 SERIES, GROUP = ["indicator_code", "ref_area", "series_key"], ["indicator_code", "ref_area"]
 
 
@@ -34,7 +40,7 @@ def stage_observations(raw: DataFrame) -> DataFrame:
     name = X.clean_text(_c("indicator_name"))
     rows = raw.select(
         "raw_id", "source_load_date", X.clean_text(_c("dataset_code")).alias("dataset_code"), X.clean_text(_c("series_key")).alias("series_key"), name.alias("indicator_name"),
-        X.indicator_slug(name).alias("indicator_code"), X.effective_area(_c("ref_area"), _c("dataflow")).alias("ref_area"), X.clean_text(_c("time_period")).alias("time_period"),
+        X.indicator_slug(name).alias("indicator_code"), X.effective_area(_c("ref_area"), _c("dataflow")).alias("ref_area"), X.area_name(X.effective_area(_c("ref_area"), _c("dataflow"))).alias("reference_area_name"), X.clean_text(_c("time_period")).alias("time_period"),
         D.period_to_date(_c("time_period")).alias("obs_date"), D.guarded_decimal(_c("obs_value")).cast("double").alias("obs_value"),
     )
     return latest_by_key(rows, ["dataset_code", "series_key", "time_period"], [_c("source_load_date").desc_nulls_last(), _c("raw_id").desc_nulls_last()])
@@ -45,7 +51,8 @@ def _series() -> Window:
 
 
 def series_lag(observations: DataFrame) -> DataFrame:
-    known = observations.where("obs_date is not null and obs_value is not null")
+    """Each observation of a named indicator with the one before it in its series."""
+    known = observations.where("obs_date is not null and obs_value is not null and indicator_name is not null")
     return known.withColumns({"previous_obs_value": F.lag("obs_value").over(_series()), "previous_obs_date": F.lag("obs_date").over(_series())})
 
 
@@ -137,7 +144,7 @@ def pressure(observations: DataFrame) -> DataFrame:
     """Indicator rows, each with the one overall score."""
     ts = timeseries(observations)
     indicators = indicator_pressure(level_momentum_percentile(ts), trend_slope(ts))
-    return indicators.crossJoin(F.broadcast(macro_level(weighted_macro_score(indicators))))  # one row
+    return indicators.crossJoin(F.broadcast(_one_row(macro_level(weighted_macro_score(indicators)))))
 
 
 def macro_summary(pressure_rows: DataFrame) -> DataFrame:
@@ -151,12 +158,28 @@ def macro_applicability(entities: DataFrame) -> DataFrame:
     weight, said = F.lit(None).cast("double"), F.lit(None).cast("string")
     for name, w in (("unknown", 0.30), ("applicable", 1.0), ("reduced", 0.35)):
         weight, said = F.when(kind == name, F.lit(w)).otherwise(weight), F.when(kind == name, F.lit(REASONS[name])).otherwise(said)
-    return entities.select("entity_candidate_id", "lei", "country", F.coalesce(F.upper(country).isin(*EURO_AREA), F.lit(False)).alias("is_euro_area_country"), kind.alias("macro_context_applicability"), weight.alias("macro_applicability_weight"), said.alias("macro_context_applicability_reason"))
+    return entities.select("entity_candidate_id", "lei", "legal_name", "legal_name_normalized", "country", _c("source_load_date").alias("entity_source_load_date"), F.coalesce(F.upper(country).isin(*EURO_AREA), F.lit(False)).alias("is_euro_area_country"), kind.alias("macro_context_applicability"), weight.alias("macro_applicability_weight"), said.alias("macro_context_applicability_reason"))
+
+
+def _one_row(df: DataFrame) -> DataFrame:
+    """A table that must have one row (or none): more are an error when it is read."""
+    one = df.agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in df.columns])
+    return one.where(F.when(_c("_n") > 1, F.raise_error(F.lit("one row was expected")).cast("boolean")).otherwise(_c("_n") == 1)).drop("_n")
 
 
 def macro_context(entities: DataFrame, summary: DataFrame) -> DataFrame:
-    """Every entity with the one-row score."""
-    return macro_applicability(entities).crossJoin(F.broadcast(summary.limit(1)))  # the summary is one row
+    """Every entity with the one overall score, and its own: that score times how far it applies to the entity.
+
+    Without a summary no entity has a context; a summary of several rows is an error.
+    """
+    kind = _c("macro_context_applicability")
+    out = macro_applicability(entities).crossJoin(F.broadcast(_one_row(summary)))
+    score = F.round(_c("macro_pressure_score").cast("decimal(12,2)") * _c("macro_applicability_weight").cast("decimal(4,2)"), 2).cast("double")
+    said = F.when(kind == "applicable", _c("macro_pressure_summary")).when(kind == "reduced", F.lit(ENTITY_SUMMARIES["reduced"])).otherwise(F.lit(ENTITY_SUMMARIES["unknown"]))
+    return out.withColumns({
+        "entity_macro_context_id": F.md5(F.concat(F.coalesce("entity_candidate_id", F.lit("")), F.lit("|ecb_macro_context"))),
+        "entity_macro_context_score": score, "entity_macro_context_summary": said,
+    })
 
 
 def indicator_options(ts: DataFrame) -> DataFrame:

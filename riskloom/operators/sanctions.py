@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,31 +14,61 @@ from riskloom.operators.rows import latest_by_key, require_keys, string_agg_dist
 #: Fixed values.
 ORGANIZATION_TYPES = ("enterprise", "organization", "company", "legalentity")
 NAME_TYPE_ORDER = ("primary_name", "name_alias", "alias_name")
-FSF_JSON = (
-    "entity_logical_id bigint, eu_reference_number string, subject_type string, name_alias_logical_id bigint, whole_name string, programme string,"
-    "regulation_type string, regulation_title string, publication_date_raw string, address_logical_id int, birth_date_logical_id bigint"
-)
+#: The keys of a packed row of the EU list, by kind: text as it is, in upper or lower case, numbers, dates.
+FSF_KEYS = {
+    "text": (
+        "fileGenerationDate", "Entity_DesignationDetails", "Entity_Remark", "NameAlias_FirstName", "NameAlias_MiddleName", "NameAlias_LastName", "NameAlias_WholeName", "NameAlias_Title",
+        "NameAlias_Function", "Address_Street", "Address_City", "Address_ZipCode", "Address_CountryDescription", "BirthDate_BirthDate", "BirthDate_City", "Identification_Number",
+        "Citizenship_CountryDescription", "Citizenship_Remark", "Citizenship_Regulation_NumberTitle", "Citizenship_Regulation_PublicationUrl", "Entity_Regulation_NumberTitle", "Entity_Regulation_PublicationUrl",
+    ),
+    "upper": (
+        "Entity_EU_ReferenceNumber", "Entity_UnitedNationId", "Entity_SubjectType", "NameAlias_NameLanguage", "NameAlias_Gender", "Address_CountryIso2Code", "BirthDate_CountryIso2Code",
+        "Identification_CountryIso2Code", "Citizenship_CountryIso2Code", "Citizenship_Regulation_Programme", "Entity_Regulation_Programme",
+    ),
+    "lower": ("Entity_SubjectType_ClassificationCode", "Identification_TypeDescription", "Citizenship_Regulation_Type", "Entity_Regulation_Type"),
+    "bigint": ("Entity_LogicalId", "NameAlias_LogicalId", "Address_LogicalId", "BirthDate_LogicalId", "Identification_LogicalId", "Citizenship_LogicalId"),
+    "int": ("BirthDate_Year",),
+    "date": ("Entity_Regulation_PublicationDate", "Citizenship_Regulation_PublicationDate"),
+}
 
 
 def _c(name: str) -> Column:
     return F.col(name)
 
 
-def extract_json_row(raw: DataFrame, json: str = "raw_row", schema: str = FSF_JSON) -> DataFrame:
-    """Typed columns from a row packed as JSON text: parsed once."""
+def _snake(key: str) -> str:
+    return re.sub("(?<=[a-z0-9])(?=[A-Z])", "_", key).lower()
+
+
+def extract_json_row(raw: DataFrame, json: str = "raw_row", keys: dict[str, tuple[str, ...]] = FSF_KEYS) -> DataFrame:
+    """Typed, trimmed columns from a row packed as JSON text, which is parsed once; the column of a key is its name in lower case.
+
+    Empty texts, missing keys, and numbers or dates that can't be read are null.
+    """
     others = [c for c in raw.columns if c != json]
-    return raw.withColumn("_row", F.from_json(json, schema)).select(*others, "_row.*")
+    schema = ", ".join(f"`{k}` string" for names in keys.values() for k in names)
+    row = lambda k: _c(f"_row.`{k}`")
+    read = {
+        "text": X.clean_text, "upper": lambda c: X.clean_text(c, "upper"), "lower": lambda c: X.clean_text(c, "lower"),
+        **{kind: lambda c, kind=kind: X.clean_text(c).try_cast(kind) for kind in ("bigint", "int", "date")},
+    }
+    out = [read[kind](row(k)).alias(_snake(k)) for kind, names in keys.items() for k in names]
+    return raw.withColumn("_row", F.from_json(json, schema)).select(*others, *out)
 
 
 def stage_lei(raw: DataFrame) -> DataFrame:
-    """One cleaned row per entity: the latest load, then the highest raw id."""
-    rows = require_keys(raw, ["lei", "legal_name"]).select(
+    """One cleaned row per entity, named or not: the latest load, then the highest raw id; with a hash and the row itself as JSON."""
+    rows = require_keys(raw, ["lei"]).select(
         "raw_id", "source_load_date", X.clean_text(_c("lei"), "upper").alias("lei"), X.clean_text(_c("legal_name")).alias("legal_name"), X.normalize_name(_c("legal_name")).alias("legal_name_normalized"),
         *[X.normalize_status(_c(c)).alias(c) for c in ("entity_status", "registration_status")],
         *[X.clean_text(_c(c), "upper").alias(c) for c in ("legal_jurisdiction", "legal_address_country", "headquarters_address_country")],
         D.iso_date_prefix(_c("next_renewal_date_raw")).alias("next_renewal_date"), D.iso_date_prefix(_c("last_update_date_raw")).alias("last_update_date"),
+        "next_renewal_date_raw", "last_update_date_raw", "source_object_key",
     )
-    return latest_by_key(rows, ["lei"], [_c("source_load_date").desc_nulls_first(), _c("raw_id").desc_nulls_last()])
+    latest = latest_by_key(rows, ["lei"], [_c("source_load_date").desc_nulls_first(), _c("raw_id").desc_nulls_last()])
+    content = ["lei", "legal_name", "entity_status", "registration_status", "legal_jurisdiction", "legal_address_country", "headquarters_address_country", "next_renewal_date_raw", "last_update_date_raw"]
+    row = F.to_json(F.struct("raw_id", *content, "source_object_key"), {"ignoreNullFields": "false"})
+    return latest.withColumns({"row_hash": X.row_hash_md5(*map(_c, content)), "raw_row": row}).drop("next_renewal_date_raw", "last_update_date_raw")
 
 
 def entity_candidates(lei: DataFrame) -> DataFrame:
@@ -175,13 +207,21 @@ def match_names(entities: DataFrame, names: DataFrame) -> DataFrame:
     return left.join(right, "match_key")
 
 
-def dedupe_matches(matches: DataFrame) -> DataFrame:
-    """The best name per entity, subject and key."""
+def _best_first() -> list[Column]:
     kind = F.lit(9)
     for i, t in reversed(list(enumerate(NAME_TYPE_ORDER))):
         kind = F.when(_c("source_name_type") == t, F.lit(i)).otherwise(kind)
-    order = [_c("is_primary_name").desc_nulls_last(), kind.asc(), _c("sanctions_source").asc_nulls_last(), _c("sanctions_name_id").asc_nulls_last()]
-    return latest_by_key(matches, ["entity_candidate_id", "sanction_subject_id", "match_key"], order)
+    return [_c("is_primary_name").desc_nulls_last(), kind.asc(), _c("sanctions_source").asc_nulls_last(), _c("sanctions_name_id").asc_nulls_last()]
+
+
+def dedupe_matches(matches: DataFrame) -> DataFrame:
+    """The best name per entity, subject and key."""
+    return latest_by_key(matches, ["entity_candidate_id", "sanction_subject_id", "match_key"], _best_first())
+
+
+def best_names(names: DataFrame) -> DataFrame:
+    """The best name per subject and key: what ``dedupe_matches`` keeps for every entity, chosen before the join, so that common keys multiply subjects only."""
+    return latest_by_key(names, ["sanction_subject_id", "sanctions_name_match_key"], _best_first())
 
 
 def attach_subject(matches: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -232,8 +272,8 @@ def match_reasons() -> Column:
 
 def graded_matches(entities: DataFrame, names: DataFrame, subjects: DataFrame) -> DataFrame:
     """Matches of organizations with context, grade and reasons."""
-    best = attach_subject(dedupe_matches(match_names(entities, organization_names(names))), subjects)
-    known = entities.select("entity_candidate_id", "lei", "candidate_source_id", "legal_name", "country", _c("source_load_date").alias("entity_load_date"))
+    best = attach_subject(match_names(entities, best_names(organization_names(names))), subjects)
+    known = entities.select("entity_candidate_id", "lei", "candidate_source_id", "legal_name", "legal_name_normalized", "entity_status", "registration_status", "country", _c("source_load_date").alias("entity_load_date"))
     graded = match_quality(match_flags(best.join(known, "entity_candidate_id"))).withColumn("match_quality_reasons", match_reasons())
     return graded.withColumn("source_load_date", D.latest_of(_c("source_date"), _c("entity_load_date")))
 
@@ -245,7 +285,10 @@ def screening_view(matches: DataFrame) -> DataFrame:
     return matches.select(
         X.md5_key(_c("entity_candidate_id"), _c("sanction_subject_id"), _c("match_key")).alias("entity_sanctions_match_id"), "entity_candidate_id", "lei", "legal_name", "country", "sanctions_source",
         "sanctions_entity_type", "sanction_subject_id", "source_subject_id", "sanctions_name", "source_name_type", "match_quality_score", "match_quality_tier", "match_quality_reasons", rank.alias("match_quality_rank"),
-        tier.isin("high_confidence", "medium_confidence").alias("is_potential_risk_match"), X.clean_text(F.left(_c("source_sanction_context"), F.lit(1500))).alias("sanction_context_summary"),
+        "legal_name_normalized", "entity_status", "registration_status", "sanctions_name_id", X.clean_text(_c("primary_name")).alias("sanctions_subject_primary_name"), "is_primary_name",
+        F.lit("exact_name_match_key").alias("match_type"), F.lit(100).alias("match_score"), tier.isin("high_confidence", "medium_confidence").alias("is_potential_risk_match"),
+        *[(tier == t).alias(f"is_{t}_match") for t in ("high_confidence", "medium_confidence", "review_required")],
+        "is_short_match_key", "is_generic_match_key", "has_country_overlap", "country_overlap_status", "has_identifier_overlap", X.clean_text(_c("source_countries")).alias("source_countries"), X.clean_text(F.left(_c("source_sanction_context"), F.lit(1500))).alias("sanction_context_summary"),
         X.clean_text(_c("source_programs")).alias("source_programs"), X.clean_text(F.left(_c("source_lists"), F.lit(1000))).alias("source_lists"), "source_load_date",
     )
 
@@ -257,6 +300,7 @@ def sanctions_summary(screening: DataFrame) -> DataFrame:
         F.count_if(tier == "review_required").alias("review_required_match_count"), F.size(F.collect_set("sanctions_source")).cast("long").alias("sanctions_source_count"),
         F.size(F.collect_set("sanction_subject_id")).cast("long").alias("distinct_sanction_subject_count"), string_agg_distinct(_c("sanctions_source")).alias("sanctions_sources"),
         string_agg_distinct(tier).alias("match_quality_tiers"), string_agg_distinct(_c("source_programs")).alias("sanctions_programs"), string_agg_distinct(_c("source_lists")).alias("sanctions_lists"),
+        string_agg_distinct(_c("source_subject_id")).alias("source_entity_keys"),
         F.max("match_quality_score").alias("max_match_quality_score"), F.min("match_quality_rank").alias("best_match_quality_rank"), F.max("source_load_date").alias("sanctions_source_load_date"),
     )
 
@@ -279,6 +323,6 @@ def risk_score(joined: DataFrame) -> DataFrame:
         score, tier, reason = F.when(holds, F.lit(points)).otherwise(score), F.when(holds, F.lit(said)).otherwise(tier), F.when(holds, F.lit(f"{name}_sanctions_match")).otherwise(reason)
     parts = [F.concat(F.lit(f"{label}="), _c(c).cast("string")) for label, c in zip(("total_matches", "high", "medium", "review"), COUNTS, strict=False)]
     return joined.withColumns({
-        "has_sanctions_match": _c(COUNTS[0]) > 0, "risk_score": score, "risk_tier": tier, "risk_reasons": F.concat(F.lit("highest_risk_reason="), reason),
+        "has_sanctions_match": _c(COUNTS[0]) > 0, **{f"has_{name}_match": _c(f"{name}_match_count") > 0 for name, _, _ in levels}, "risk_score": score, "risk_tier": tier, "risk_reasons": F.concat(F.lit("highest_risk_reason="), reason),
         "match_tier_summary": F.concat_ws("; ", *parts), "source_load_date": D.latest_of(_c("source_load_date"), _c("sanctions_source_load_date")),
     })

@@ -19,7 +19,7 @@ from riskloom.operators import rows as R
 from riskloom.operators import sanctions as S
 from riskloom.sources import files as I
 from riskloom.sources.fixtures import FIXTURES
-from riskloom.sources.shared import shared_folder
+from riskloom.sources.shared import settle, shared_folder
 
 TABLES = ("customer", "part", "orders", "lineitem", "events", "nation", "documents", "pages")
 
@@ -52,7 +52,7 @@ class Inputs:
 
     @cached_property
     def fsf(self) -> DataFrame:
-        return S.stage_fsf(self.raw("raw_fsf"))
+        return settle(S.stage_fsf(self.raw("raw_fsf")))  # read by the picks and rollups of subjects and of names
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -64,7 +64,7 @@ class Inputs:
 
     @cached_property
     def subjects(self) -> DataFrame:
-        return S.unify_subjects(self.fsf_subjects, self.targets)
+        return settle(S.unify_subjects(self.fsf_subjects, self.targets))  # joined to names and to matches
 
     @cached_property
     def os_names(self) -> DataFrame:
@@ -100,7 +100,7 @@ class Inputs:
 
     @cached_property
     def master(self) -> DataFrame:
-        return H.entity_master(self.candidates, self.parents)
+        return settle(H.entity_master(self.candidates, self.parents))  # two picks and four joins, read by edges, paths and context
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -175,9 +175,16 @@ def _replace_by_object(i: Inputs) -> DataFrame:
     return I.replace_by_object(pages, pages.where("page_id % 3 = 0").withColumn("version", F.lit("new")))
 
 
+#: Which columns of the derived list are packed under which key.
+PACKED = {
+    "Entity_LogicalId": "entity_logical_id", "Entity_EU_ReferenceNumber": "eu_reference_number", "Entity_SubjectType_ClassificationCode": "subject_type", "NameAlias_LogicalId": "name_alias_logical_id",
+    "NameAlias_WholeName": "whole_name", "Entity_Regulation_Programme": "programme", "Entity_Regulation_Type": "regulation_type", "Entity_Regulation_NumberTitle": "regulation_title",
+    "Entity_Regulation_PublicationDate": "publication_date_raw", "Address_LogicalId": "address_logical_id", "BirthDate_LogicalId": "birth_date_logical_id",
+}
+
+
 def _packed(i: Inputs) -> DataFrame:
-    raw = i.raw("raw_fsf")
-    return raw.select("raw_id", F.to_json(F.struct(*[x for x in raw.columns if x != "raw_id"])).alias("raw_row"))
+    return i.raw("raw_fsf").select("raw_id", F.to_json(F.struct(*[c(x).cast("string").alias(k) for k, x in PACKED.items()])).alias("raw_row"))
 
 
 def _fsf_columns(i: Inputs) -> DataFrame:
@@ -279,7 +286,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "canonical_fsf_name": lambda i: S.canonical_fsf_name(i.fsf).select("subject_key", "name_key", "raw_id"),
     "canonical_targets": lambda i: i.targets,
     "pick_parent": lambda i: H.pick_parent(i.rr, H.DIRECT),
-    "dedupe_names": lambda i: i.os_names.groupBy("target_id", "name_type").agg(F.count("*").alias("n"), F.min("position").alias("first_position")),
+    "dedupe_names": lambda i: i.os_names.select("target_id", "name_type", "name_normalized", "position", "name"),
     "dedupe_matches": lambda i: S.dedupe_matches(i.matches).select(*PAIR, "sanctions_name_id"),
     "series_lag": lambda i: M.series_lag(i.observations).select(*OBSERVED, "previous_obs_value", "previous_obs_date"),
     "series_change": lambda i: M.series_change(M.series_lag(i.observations)).select(*OBSERVED, F.round("change_abs", 6).alias("change_abs"), F.round("change_pct", 6).alias("change_pct")),
@@ -316,7 +323,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "period_to_date": lambda i: _periods(i, D.period_to_date(c("period")).alias("date")),
     "guarded_decimal": lambda i: i.raw("raw_observations").select("raw_id", D.guarded_decimal(c("obs_value")).cast("double").alias("obs_value")),
     "strip_series_prefix": lambda i: i.raw("raw_observations").select("raw_id", X.strip_series_prefix(F.when(c("raw_id") % 5 != 0, F.concat("dataflow", F.lit("."), "series_key")), c("dataflow"), c("series_key")).alias("series_key")),
-    "effective_ref_area": lambda i: i.raw("raw_observations").select("raw_id", X.effective_area(c("ref_area"), c("dataflow")).alias("ref_area")),
+    "effective_ref_area": lambda i: i.raw("raw_observations").select("raw_id", X.effective_area(c("ref_area"), c("dataflow")).alias("ref_area"), X.area_name(X.effective_area(c("ref_area"), c("dataflow"))).alias("reference_area_name")),
     "indicator_slug": lambda i: i.raw("raw_observations").select("raw_id", X.indicator_slug(F.trim("indicator_name")).alias("indicator_code")),
     "country_fallback": lambda i: _entity(i, X.country_fallback(c("legal_address_country"), c("headquarters_address_country"), c("legal_jurisdiction")).alias("country")),
     "country_overlap": lambda i: _flagged(i, "country_overlap_status", "has_country_overlap"),
@@ -343,7 +350,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     # graph
     "parent_paths": lambda i: i.paths,
     # composite jobs
-    "job_sanctions_screening": lambda i: S.risk_score(S.risk_join(i.candidates, i.summary)),
+    "job_sanctions_screening": lambda i: i.risk,
     "job_hierarchy": lambda i: H.relationship_context(i.master, i.edges, i.paths),
     "job_macro_pressure": lambda i: M.macro_context(i.candidates, M.macro_summary(i.pressure)),
     "job_audit_status": lambda i: i.audit,

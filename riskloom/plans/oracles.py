@@ -4,11 +4,33 @@ from __future__ import annotations
 
 import re
 
-from riskloom.functions.text import GENERIC_KEYS, INDICATORS
-from riskloom.operators.macro import EURO_AREA, REASONS, SUMMARIES
-from riskloom.operators.sanctions import COUNTS
 from riskloom.sources.fixtures import FIXTURES
 
+# Fixed values, written out here once more, so that the SQL doesn't follow a fault in the operators.
+GENERIC_KEYS = (
+    "llc", "ltd", "limited", "inc", "corp", "corporation", "company", "co", "bank", "group", "holding", "holdings", "investment", "invest", "capital", "finance",
+    "fund", "trust", "rt", "ana", "hcg", "isb", "clara", "jules", "kera", "zenit", "pegasus", "matsa", "homa", "vsc", "spm", "tsa",
+)
+INDICATORS = {
+    "Euro short-term rate": ("euro_short_term_rate", 0.25),
+    "Cost of borrowing for corporations": ("cost_of_borrowing_corporations", 0.35),
+    "AAA yield curve 2Y spot rate": ("aaa_yield_curve_2y_spot_rate", 0.15),
+    "AAA yield curve 10Y spot rate": ("aaa_yield_curve_10y_spot_rate", 0.25),
+}
+EURO_AREA = ("AT", "BE", "HR", "CY", "EE", "FI", "FR", "DE", "GR", "IE", "IT", "LV", "LT", "LU", "MT", "NL", "PT", "SK", "SI", "ES")
+SUMMARIES = {
+    "high": "Euro area macro pressure is currently high. Current ECB indicators are elevated and recent trend signals point to continued pressure.",
+    "elevated": "Euro area macro pressure is elevated. ECB indicators show increased financing and rate pressure compared with their historical range.",
+    "moderate": "Euro area macro pressure is moderate. ECB indicators show some pressure, but not at elevated or high levels.",
+    "low": "Euro area macro pressure is currently low based on the selected ECB indicators.",
+}
+REASONS = {
+    "unknown": "Applicability unknown because the entity jurisdiction is missing or could not be mapped. ECB indicators are shown as general macroeconomic context.",
+    "applicable": "Entity jurisdiction is part of the euro area. ECB indicators are relevant as regional macroeconomic context.",
+    "reduced": "Reduced applicability because the entity jurisdiction is outside the euro area. ECB indicators are shown as broader macroeconomic context only.",
+}
+COUNTS = ("total_sanctions_match_count", "high_confidence_match_count", "medium_confidence_match_count", "review_required_match_count", "sanctions_source_count", "distinct_sanction_subject_count")
+
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -68,7 +90,7 @@ def weight(x: str) -> str:
 
 
 FSF_ORDER = "publication_date desc nulls last, raw_id desc"
-REL_ORDER = "source_load_date desc nulls last, relationship_period_start desc nulls last, last_update_date desc nulls last"
+REL_ORDER = "source_load_date desc nulls first, relationship_period_start desc nulls last, last_update_date desc nulls last"
 GOOD = "('success', 'success_with_warnings')"
 SERIES = "indicator_code, ref_area, series_key"
 SEVERITY = "case pipeline_health_status when 'not_healthy' then 1 when 'latest_failed_previous_success_available' then 2 when 'healthy' then 3 else 4 end"
@@ -87,10 +109,13 @@ def rollup(keys: str) -> str:
 #: In order; each may use the ones before and the derived inputs.
 STEPS: dict[str, str] = {
     "runs": "select * exclude (finished_at, seconds), case when finished_at is not null then finished_at + to_microseconds(seconds * 1000000 + 600000) end as finished_at from job_runs",
-    "stage_lei": f"""select * from (select raw_id, source_load_date, upper({clean('lei')}) as lei, {clean('legal_name')} as legal_name, {norm('legal_name')} as legal_name_normalized,
+    "stage_lei": f"""select * exclude (next_renewal_date_raw, last_update_date_raw),
+        {md5('lei', 'legal_name', 'entity_status', 'registration_status', 'legal_jurisdiction', 'legal_address_country', 'headquarters_address_country', 'next_renewal_date_raw', 'last_update_date_raw', slots=True)} as row_hash,
+        cast(to_json({{raw_id: raw_id, lei: lei, legal_name: legal_name, entity_status: entity_status, registration_status: registration_status, legal_jurisdiction: legal_jurisdiction, legal_address_country: legal_address_country,
+        headquarters_address_country: headquarters_address_country, next_renewal_date_raw: next_renewal_date_raw, last_update_date_raw: last_update_date_raw, source_object_key: source_object_key}}) as varchar) as raw_row from (select raw_id, source_load_date, upper({clean('lei')}) as lei, {clean('legal_name')} as legal_name, {norm('legal_name')} as legal_name_normalized,
         {status('entity_status')} as entity_status, {status('registration_status')} as registration_status, upper({clean('legal_jurisdiction')}) as legal_jurisdiction,
         upper({clean('legal_address_country')}) as legal_address_country, upper({clean('headquarters_address_country')}) as headquarters_address_country,
-        {iso('next_renewal_date_raw')} as next_renewal_date, {iso('last_update_date_raw')} as last_update_date from raw_entities where trim(lei) <> '' and trim(legal_name) <> '')
+        {iso('next_renewal_date_raw')} as next_renewal_date, {iso('last_update_date_raw')} as last_update_date, next_renewal_date_raw, last_update_date_raw, source_object_key from raw_entities where trim(lei) <> '')
         {first('lei', 'source_load_date desc, raw_id desc')}""",
     "entity_candidates": f"""select {md5("'gleif'", 'lei')} as entity_candidate_id, 'gleif' as candidate_source, lei as candidate_source_id, lei, legal_name, legal_name_normalized, entity_status,
         registration_status, legal_jurisdiction, legal_address_country, headquarters_address_country, {COUNTRY} as country, source_load_date from stage_lei where legal_name is not null""",
@@ -126,7 +151,7 @@ STEPS: dict[str, str] = {
     "match_names": f"""select e.entity_candidate_id, e.match_key, n.sanction_subject_id, n.sanctions_source, n.source_subject_id, n.sanctions_name_id, n.source_name_type, n.is_primary_name, n.sanctions_name
         from (select entity_candidate_id, {key('legal_name')} as match_key from entity_candidates) e join organization_all n on n.sanctions_name_match_key = e.match_key where length(e.match_key) >= 2""",
     "best_matches": f"select * from match_names {first('entity_candidate_id, sanction_subject_id, match_key', NAME_ORDER)}",
-    "flagged": f"""select m.*, s.sanctions_entity_type, s.primary_name, s.source_countries, s.source_identifiers, s.source_programs, s.source_lists, s.source_sanction_context, e.lei, e.legal_name, e.country,
+    "flagged": f"""select m.*, s.sanctions_entity_type, s.primary_name, s.source_countries, s.source_identifiers, s.source_programs, s.source_lists, s.source_sanction_context, e.lei, e.legal_name, e.legal_name_normalized, e.entity_status, e.registration_status, e.country,
         greatest(s.source_date, e.source_load_date) as source_load_date, length(match_key) as match_key_length, length(match_key) <= 3 as is_short_match_key, length(match_key) <= 2 as is_very_short_match_key,
         match_key in ({', '.join(map(q, GENERIC_KEYS))}) as is_generic_match_key,
         case when e.country is null or trim(e.country) = '' then 'entity_country_missing' when s.source_countries is null or trim(s.source_countries) = '' then 'sanctions_country_missing'
@@ -145,12 +170,15 @@ STEPS: dict[str, str] = {
     "screening_view": f"""select {md5('entity_candidate_id', 'sanction_subject_id', 'match_key')} as entity_sanctions_match_id, entity_candidate_id, lei, legal_name, country, sanctions_source, sanctions_entity_type,
         sanction_subject_id, source_subject_id, sanctions_name, source_name_type, match_quality_score, match_quality_tier, match_quality_reasons,
         case match_quality_tier when 'high_confidence' then 1 when 'medium_confidence' then 2 when 'review_required' then 3 else 9 end as match_quality_rank,
+        legal_name_normalized, entity_status, registration_status, sanctions_name_id, {clean('primary_name')} as sanctions_subject_primary_name, is_primary_name, 'exact_name_match_key' as match_type, 100 as match_score,
+        match_quality_tier = 'high_confidence' as is_high_confidence_match, match_quality_tier = 'medium_confidence' as is_medium_confidence_match, match_quality_tier = 'review_required' as is_review_required_match,
+        is_short_match_key, is_generic_match_key, has_country_overlap, country_overlap_status, has_identifier_overlap, {clean('source_countries')} as source_countries,
         match_quality_tier in ('high_confidence', 'medium_confidence') as is_potential_risk_match, {clean('left(source_sanction_context, 1500)')} as sanction_context_summary, {clean('source_programs')} as source_programs,
         {clean('left(source_lists, 1000)')} as source_lists, source_load_date from graded""",
     "sanctions_summary": f"""select entity_candidate_id, count(*) as total_sanctions_match_count, count(*) filter (where match_quality_tier = 'high_confidence') as high_confidence_match_count,
         count(*) filter (where match_quality_tier = 'medium_confidence') as medium_confidence_match_count, count(*) filter (where match_quality_tier = 'review_required') as review_required_match_count,
         count(distinct sanctions_source) as sanctions_source_count, count(distinct sanction_subject_id) as distinct_sanction_subject_count, {agg('sanctions_source')} as sanctions_sources,
-        {agg('match_quality_tier')} as match_quality_tiers, {agg('source_programs')} as sanctions_programs, {agg('source_lists')} as sanctions_lists, max(match_quality_score) as max_match_quality_score,
+        {agg('match_quality_tier')} as match_quality_tiers, {agg('source_programs')} as sanctions_programs, {agg('source_lists')} as sanctions_lists, {agg('source_subject_id')} as source_entity_keys, max(match_quality_score) as max_match_quality_score,
         min(match_quality_rank) as best_match_quality_rank, max(source_load_date) as sanctions_source_load_date from screening_view group by entity_candidate_id""",
     "stage_relationships": f"""select * from (select raw_id, source_load_date, upper({clean('start_node_id')}) as start_node_id, upper({clean('end_node_id')}) as end_node_id, upper({clean('relationship_type')}) as relationship_type,
         coalesce(lower({clean('relationship_status')}), 'unknown') as relationship_status, {status('registration_status')} as registration_status, {iso('relationship_period_start_raw')} as relationship_period_start,
@@ -164,13 +192,15 @@ STEPS: dict[str, str] = {
         left join (select * from parent_of where relationship_type = 'IS_ULTIMATELY_CONSOLIDATED_BY') u on u.lei = l.lei left join stage_lei ul on ul.lei = u.parent_lei""",
     "entity_master": "select c.*, p.* exclude (lei) from entity_candidates c left join parent_summary p on p.lei = c.lei",
     "relationship_edges": f"""select *, {md5('child_lei', 'relationship_type', 'parent_lei', slots=True)} as relationship_edge_id from (
-        select entity_candidate_id as child_entity_candidate_id, lei as child_lei, country as child_country, 'direct_parent' as relationship_type, direct_parent_lei as parent_lei, direct_parent_name as parent_name, 1 as relationship_depth
-        from entity_master where direct_parent_lei is not null union all select entity_candidate_id, lei, country, 'ultimate_parent', ultimate_parent_lei, ultimate_parent_name,
+        select entity_candidate_id as child_entity_candidate_id, lei as child_lei, legal_name as child_legal_name, legal_name_normalized as child_legal_name_normalized, source_load_date, country as child_country, 'direct_parent' as relationship_type, direct_parent_lei as parent_lei, direct_parent_name as parent_name, 1 as relationship_depth
+        from entity_master where direct_parent_lei is not null union all select entity_candidate_id, lei, legal_name, legal_name_normalized, source_load_date, country, 'ultimate_parent', ultimate_parent_lei, ultimate_parent_name,
         case when direct_parent_lei <> ultimate_parent_lei then 2 else 1 end from entity_master where ultimate_parent_lei is not null and ultimate_parent_lei <> lei)""",
     "walk": """select entity_candidate_id, lei as root_lei, direct_parent_lei as ancestor_lei, direct_parent_name as ancestor_name, 1 as depth, [lei, direct_parent_lei] as way from entity_master where direct_parent_lei <> lei
         union all select w.entity_candidate_id, w.root_lei, m.direct_parent_lei, m.direct_parent_name, w.depth + 1, list_append(w.way, m.direct_parent_lei) from walk w join entity_master m on m.lei = w.ancestor_lei
         where w.depth < 10 and m.direct_parent_lei is not null and not list_contains(w.way, m.direct_parent_lei)""",
-    "parent_paths": "select entity_candidate_id, root_lei, ancestor_lei, ancestor_name, depth, array_to_string(way, ' > ') as path, depth = max(depth) over (partition by root_lei) as is_furthest_ancestor from walk",
+    "parent_paths": """select md5(coalesce(w.root_lei, '') || '|path|' || coalesce(w.ancestor_lei, '') || '|' || w.depth) as relationship_path_id, w.entity_candidate_id, w.root_lei, e.legal_name as root_legal_name,
+        e.legal_name_normalized as root_legal_name_normalized, e.country as root_country, w.ancestor_lei, w.ancestor_name, w.depth, array_to_string(w.way, ' > ') as path,
+        w.depth = max(w.depth) over (partition by w.entity_candidate_id) as is_furthest_ancestor, e.source_load_date from walk w join entity_master e on e.entity_candidate_id = w.entity_candidate_id""",
     "child_counts": "select parent_lei, count(distinct child_lei) as known_child_count from relationship_edges where relationship_type = 'direct_parent' group by parent_lei",
     "descendant_counts": "select ancestor_lei as parent_lei, count(distinct root_lei) as total_descendant_count from parent_paths group by ancestor_lei",
     "sibling_group_size": "select direct_parent_lei, count(*) as same_parent_group_size from entity_master where direct_parent_lei is not null group by direct_parent_lei",
@@ -183,7 +213,8 @@ STEPS: dict[str, str] = {
         when coalesce(d.total_descendant_count, 0) > 0 then 'Entity has known child or descendant entities but no known parent.' else 'No known parent or child relationships.' end as relationship_context_summary
         from entity_master e left join child_counts c on c.parent_lei = e.lei left join descendant_counts d on d.parent_lei = e.lei left join sibling_group_size s on s.direct_parent_lei = e.direct_parent_lei
         left join path_summary p on p.entity_candidate_id = e.entity_candidate_id""",
-    "risk_all": f"""select e.*, {', '.join(f'coalesce(s.{x}, 0) as {x}' for x in COUNTS)}, s.sanctions_sources, s.match_quality_tiers, s.sanctions_programs, s.sanctions_lists, s.max_match_quality_score, s.best_match_quality_rank,
+    "risk_all": f"""select e.*, {', '.join(f'coalesce(s.{x}, 0) as {x}' for x in COUNTS)}, s.sanctions_sources, s.match_quality_tiers, s.sanctions_programs, s.sanctions_lists, s.source_entity_keys, s.max_match_quality_score, s.best_match_quality_rank,
+        coalesce(s.high_confidence_match_count, 0) > 0 as has_high_confidence_match, coalesce(s.medium_confidence_match_count, 0) > 0 as has_medium_confidence_match, coalesce(s.review_required_match_count, 0) > 0 as has_review_required_match,
         s.sanctions_source_load_date, coalesce(s.total_sanctions_match_count, 0) > 0 as has_sanctions_match,
         case when s.high_confidence_match_count > 0 then 100 when s.medium_confidence_match_count > 0 then 60 when s.review_required_match_count > 0 then 20 else 0 end as risk_score,
         case when s.high_confidence_match_count > 0 then 'high' when s.medium_confidence_match_count > 0 then 'medium' when s.review_required_match_count > 0 then 'review' else 'low_or_no_known_match' end as risk_tier,
@@ -192,14 +223,15 @@ STEPS: dict[str, str] = {
         'total_matches=' || coalesce(s.total_sanctions_match_count, 0) || '; high=' || coalesce(s.high_confidence_match_count, 0) || '; medium=' || coalesce(s.medium_confidence_match_count, 0) || '; review=' || coalesce(s.review_required_match_count, 0) as match_tier_summary,
         greatest(e.source_load_date, coalesce(s.sanctions_source_load_date, e.source_load_date)) as risk_load_date from entity_master e left join sanctions_summary s on s.entity_candidate_id = e.entity_candidate_id""",
     "stage_observations": f"""select raw_id, source_load_date, {clean('dataset_code')} as dataset_code, {clean('series_key')} as series_key, {clean('indicator_name')} as indicator_name, {slug(clean('indicator_name'))} as indicator_code,
-        coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) as ref_area, {clean('time_period')} as time_period, {period('time_period')} as obs_date,
+        coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) as ref_area,
+        case coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) when 'U2' then 'Euro area' else coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) end as reference_area_name, {clean('time_period')} as time_period, {period('time_period')} as obs_date,
         case when regexp_matches(trim(obs_value), '^-?\\d+(\\.\\d+)?$') then cast(trim(obs_value) as double) end as obs_value from raw_observations
         {first('dataset_code, series_key, time_period', 'source_load_date desc nulls last, raw_id desc')}""",
     "ts": f"""select *, obs_value - previous_obs_value as change_abs, case when previous_obs_value <> 0 then (obs_value - previous_obs_value) / abs(previous_obs_value) end as change_pct, recency_rank = 1 as is_latest_observation from (
         select *, lag(obs_value) over w as previous_obs_value, lag(obs_date) over w as previous_obs_date, avg(obs_value) over (w rows between 2 preceding and current row) as rolling_avg_3_obs,
         avg(obs_value) over (w rows between 5 preceding and current row) as rolling_avg_6_obs, avg(obs_value) over (w rows between 11 preceding and current row) as rolling_avg_12_obs,
         row_number() over (partition by {SERIES} order by obs_date desc) as recency_rank, count(*) over (partition by {SERIES}) as observation_count
-        from stage_observations where obs_date is not null and obs_value is not null window w as (partition by {SERIES} order by obs_date))""",
+        from stage_observations where obs_date is not null and obs_value is not null and indicator_name is not null window w as (partition by {SERIES} order by obs_date))""",
     "percentiles": """select *, cume_dist() over (partition by indicator_code, ref_area order by obs_value) as current_level_percentile,
         cume_dist() over (partition by indicator_code, ref_area order by coalesce(change_abs, 0)) as momentum_percentile from ts""",
     "trends": """select indicator_code, ref_area, case when count(*) > 1 then regr_slope(obs_value, epoch(cast(obs_date as timestamp))) end as raw_trend_slope, count(*) as trend_observation_count from (
@@ -217,9 +249,14 @@ STEPS: dict[str, str] = {
         case when macro_pressure_score >= 75 then 'high' when macro_pressure_score >= 50 then 'elevated' when macro_pressure_score >= 25 then 'moderate' else 'low' end as macro_pressure_level,
         case when weighted_trend_signal > 0.15 then 'upward' when weighted_trend_signal < -0.15 then 'downward' else 'stable' end as macro_trend_direction from weighted_macro_score)""",
     "macro_summary": "select m.*, i.latest_obs_date from macro_level m, (select max(latest_obs_date) as latest_obs_date, count(*) as n from indicator_pressure) i where i.n > 0",
-    "macro_applicability": f"""select entity_candidate_id, lei, country, coalesce({EURO}, false) as is_euro_area_country, {APPLIES} as macro_context_applicability,
+    "macro_applicability": f"""select entity_candidate_id, lei, legal_name, legal_name_normalized, country, source_load_date as entity_source_load_date, coalesce({EURO}, false) as is_euro_area_country, {APPLIES} as macro_context_applicability,
         cast(case {APPLIES} when 'unknown' then 0.30 when 'applicable' then 1.0 else 0.35 end as double) as macro_applicability_weight,
         case {APPLIES} {' '.join(f'when {q(k)} then {q(v)}' for k, v in REASONS.items())} end as macro_context_applicability_reason from entity_candidates""",
+    "entity_macro": """select a.*, s.*, md5(coalesce(a.entity_candidate_id, '') || '|ecb_macro_context') as entity_macro_context_id,
+        cast(round(cast(s.macro_pressure_score as decimal(12, 2)) * cast(a.macro_applicability_weight as decimal(4, 2)), 2) as double) as entity_macro_context_score,
+        case a.macro_context_applicability when 'applicable' then s.macro_pressure_summary
+        when 'reduced' then 'ECB macro indicators are shown with reduced applicability for this entity because its jurisdiction is outside the euro area.'
+        else 'ECB macro indicators are shown as general context because applicability could not be determined.' end as entity_macro_context_summary from macro_applicability a, macro_summary s""",
     "latest_all": f"select * from runs {first('job_name, target_table', 'started_at desc nulls last, job_run_id desc')}",
     "wanted_runs": "select distinct model, job_name, trim(t) as target_table from (select model, unnest(string_split(jobs, ',')) as job_name, targets from model_sources), unnest(string_split(targets, ',')) u(t)",
     "run_history": f"""select job_name, target_table, count(*) as total_run_count, count(*) filter (where status in {GOOD}) as success_run_count, count(*) filter (where status not in {GOOD}) as failed_or_incomplete_run_count,
@@ -238,6 +275,21 @@ STEPS: dict[str, str] = {
         from manifest_files group by source, load_date""",
 }
 
+#: The packed row's columns that the derived list fills, and those that it leaves empty.
+FSF_ROW = {
+    "entity_logical_id": "entity_logical_id", "entity_eu_reference_number": "upper(eu_reference_number)", "entity_subject_type_classification_code": "lower(subject_type)",
+    "name_alias_logical_id": "name_alias_logical_id", "name_alias_whole_name": "trim(whole_name)", "entity_regulation_programme": "upper(programme)", "entity_regulation_type": "lower(regulation_type)",
+    "entity_regulation_number_title": "regulation_title", "entity_regulation_publication_date": "try_cast(publication_date_raw as date)", "address_logical_id": "cast(address_logical_id as bigint)",
+    "birth_date_logical_id": "birth_date_logical_id",
+    **{x: "cast(null as varchar)" for x in (
+        "file_generation_date", "entity_designation_details", "entity_remark", "name_alias_first_name", "name_alias_middle_name", "name_alias_last_name", "name_alias_title", "name_alias_function",
+        "address_street", "address_city", "address_zip_code", "address_country_description", "birth_date_birth_date", "birth_date_city", "identification_number", "citizenship_country_description",
+        "citizenship_remark", "citizenship_regulation_number_title", "citizenship_regulation_publication_url", "entity_regulation_publication_url", "entity_united_nation_id", "entity_subject_type",
+        "name_alias_name_language", "name_alias_gender", "address_country_iso2_code", "birth_date_country_iso2_code", "identification_country_iso2_code", "citizenship_country_iso2_code",
+        "citizenship_regulation_programme", "identification_type_description", "citizenship_regulation_type",
+    )},
+    "identification_logical_id": "cast(null as bigint)", "citizenship_logical_id": "cast(null as bigint)", "birth_date_year": "cast(null as int)", "citizenship_regulation_publication_date": "cast(null as date)",
+}
 MATCH = "entity_candidate_id, sanction_subject_id, match_key"
 OBS = "indicator_code, ref_area, series_key, obs_date, obs_value"
 RISK = "entity_candidate_id, risk_score, risk_tier, risk_reasons, match_tier_summary, risk_load_date as source_load_date"
@@ -266,12 +318,12 @@ SELECTS: dict[str, str] = {
     "attach_subject": f"select {MATCH}, primary_name, source_countries, source_programs from flagged",
     "unify_name_subject": "select sanctions_name_id, sanction_subject_id, sanctions_entity_type from unify_names",
     "risk_join": f"select entity_candidate_id, {', '.join(COUNTS)}, max_match_quality_score from risk_all",
-    "macro_context": "select a.*, s.* from macro_applicability a, macro_summary s",
+    "macro_context": "select * from entity_macro",
     "audit_history_join": "select job_run_id, job_name, target_table, total_run_count, last_success_at from audit",
     "latest_loads": "select a.*, e.display_name, e.sort_order from audit a join expected_tables e on e.target_table = a.target_table and e.is_active",
     "entity_profile": "select entity_candidate_id, lei, legal_name, country, has_any_parent, risk_score, risk_tier, total_sanctions_match_count from risk_all",
     "descendants_of": "select p.ancestor_lei, p.root_lei, m.legal_name, m.country, p.depth, case when p.depth = 1 then 'direct_child' else 'indirect_descendant' end as relation from parent_paths p join entity_master m on m.lei = p.root_lei where p.ancestor_lei like '%7'",
-    "same_parent_entities": "select a.direct_parent_lei, a.lei, b.lei as sibling_lei from entity_master a join entity_master b on b.direct_parent_lei = a.direct_parent_lei and b.entity_candidate_id <> a.entity_candidate_id",
+    "same_parent_entities": "select direct_parent_lei, entity_candidate_id, lei, legal_name, country, count(*) over (partition by direct_parent_lei) as same_parent_group_size, count(*) over (partition by direct_parent_lei) - 1 as sibling_count from entity_master where direct_parent_lei is not null",
     "check_relationships": "select distinct end_node_id as value from stage_relationships where end_node_id not in (select lei from raw_entities where source_load_date = (select max(source_load_date) from raw_entities))",
     "string_agg_distinct": f"select subject_key, {agg('whole_name')} as names, {agg('regulation_title', ',')} as titles from stage_fsf group by subject_key",
     "risk_overview": "select count(*) as total_entities, " + ", ".join(f"count(*) filter (where risk_tier = '{t}') as {t}_count" for t in ("high", "medium", "review", "low_or_no_known_match")) + ", cast(coalesce(sum(total_sanctions_match_count), 0) as bigint) as total_matches from risk_all",
@@ -292,7 +344,8 @@ SELECTS: dict[str, str] = {
     "canonical_fsf_subject": "select subject_key, raw_id, whole_name from fsf_subject_one",
     "canonical_fsf_name": "select subject_key, name_key, raw_id from fsf_name_one",
     "pick_parent": "select lei, parent_lei from parent_of where relationship_type = 'IS_DIRECTLY_CONSOLIDATED_BY'",
-    "dedupe_names": "select target_id, name_type, count(*) as n, min(position) as first_position from opensanctions_names group by target_id, name_type",
+    "dedupe_names": "select target_id, name_type, name_normalized, position, name from opensanctions_names",
+    "required_columns_check": "select 'lei' as column_name, true as present, count(nullif(trim(lei), '')) as filled_rows, count(*) as all_rows from raw_entities union all select 'legal_name', true, count(nullif(trim(legal_name), '')), count(*) from raw_entities union all select 'no_such_column', false, 0, count(*) from raw_entities",
     "dedupe_matches": f"select {MATCH}, sanctions_name_id from best_matches",
     "series_lag": f"select {OBS}, previous_obs_value, previous_obs_date from ts",
     "series_change": f"select {OBS}, {_r('change_abs')}, {_r('change_pct')} from ts",
@@ -326,7 +379,7 @@ SELECTS: dict[str, str] = {
     "period_to_date": f"select raw_id, {period('period')} as date from raw_periods",
     "guarded_decimal": r"select raw_id, case when regexp_matches(trim(obs_value), '^-?\d+(\.\d+)?$') then cast(trim(obs_value) as double) end as obs_value from raw_observations",
     "strip_series_prefix": "select raw_id, series_key from raw_observations",
-    "effective_ref_area": f"select raw_id, coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) as ref_area from raw_observations",
+    "effective_ref_area": f"select raw_id, coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) as ref_area, case coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) when 'U2' then 'Euro area' else coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) end as reference_area_name from raw_observations",
     "indicator_slug": f"select raw_id, {slug('trim(indicator_name)')} as indicator_code from raw_observations",
     "country_fallback": f"select raw_id, {COUNTRY} as country from raw_entities",
     "country_overlap": f"select {MATCH}, country_overlap_status, has_country_overlap from graded",
@@ -340,7 +393,7 @@ SELECTS: dict[str, str] = {
     "latest_of": "select lei, greatest(next_renewal_date, last_update_date, source_load_date) as latest from stage_lei",
     "md5_key": f"select raw_id, {md5('lei', 'legal_address_country', 'headquarters_address_country')} as skipping, {md5('lei', 'legal_address_country', 'headquarters_address_country', slots=True)} as slotted from raw_entities",
     "row_hash_md5": f"select raw_id, {md5('entity_logical_id', 'whole_name', 'programme', 'publication_date_raw', 'eu_reference_number', slots=True)} as row_hash from raw_fsf",
-    "extract_json_row": "select * from raw_fsf",
+    "extract_json_row": "select raw_id, " + ", ".join(f"{sql} as {name}" for name, sql in FSF_ROW.items()) + " from raw_fsf",
     "fallback_name_key": "select raw_id, name_key from stage_fsf",
     "object_key_safe": "select page_id, trim(regexp_replace(regexp_replace(source_object_key, '[^A-Za-z0-9_-]', '_', 'g'), '_+', '_', 'g'), '_') as object_key from raw_pages",
     "snapshot_freshness": "select page_id, cast(date_diff('day', source_load_date, date '2024-05-04') as int) as age_days, case when date_diff('day', source_load_date, date '2024-05-04') <= 2 then 'fresh' else 'stale_warning' end as freshness_status from raw_pages",
@@ -350,11 +403,11 @@ SELECTS: dict[str, str] = {
         union all select page_id, 'marker:<title>', contains(content, '<title>') from raw_pages union all select page_id, 'marker:&amp;', contains(content, '&amp;') from raw_pages union all select page_id, 'utf8', content is not null from raw_pages)""",
     "job_sanctions_screening": f"select {{columns}} from risk_all",
     "job_hierarchy": "select * from relationship_context",
-    "job_macro_pressure": "select a.*, s.* from macro_applicability a, macro_summary s",
+    "job_macro_pressure": "select * from entity_macro",
     "job_audit_status": "select * from audit",
 }
 SELECTS["job_sanctions_screening"] = (
-    "select * exclude (direct_parent_lei, direct_parent_name, ultimate_parent_lei, ultimate_parent_name, has_direct_parent, has_ultimate_parent, has_any_parent, source_load_date, risk_load_date), risk_load_date as source_load_date from risk_all"
+    "select * exclude (source_load_date, risk_load_date), risk_load_date as source_load_date from risk_all"
 )
 for _name in ("stage_fsf", "stage_targets", "entity_candidates", "screening_view", "macro_applicability", "match_names", "canonical_plus_rollup", "parent_summary", "entity_master", "relationship_context",
               "expected_tables_status", "fsf_subject_rollup", "fsf_name_rollup", "sanctions_summary", "child_counts", "descendant_counts", "sibling_group_size", "path_summary", "weighted_macro_score", "macro_summary",

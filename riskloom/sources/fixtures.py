@@ -7,14 +7,15 @@ COUNTRIES = "DEFRITESGBUSCHNLPLCZATBEHRCYEEFIGRIELVLTLUMTNOSE"
 _ENTITY = f"""
     select c.c_custkey * 2 + {{snapshot}} as raw_id, date '{{day}}' as source_load_date,
         'LEI' || lpad(cast(c.c_custkey as string), 17, '0') as lei,
-        case when c.c_custkey % 5 = 0 then upper(p.p_name) || ',  ' || p.p_brand || ' ' when c.c_custkey % 97 = 1 then 'Bank' else p.p_name || ', ' || p.p_brand end as legal_name,
+        case when c.c_custkey % 89 = 5 and {{snapshot}} = 1 then ' ' when c.c_custkey % 5 = 0 then upper(p.p_name) || ',  ' || p.p_brand || ' ' when c.c_custkey % 97 = 1 then 'Bank' else p.p_name || ', ' || p.p_brand end as legal_name,
         case when c.c_mktsegment = 'BUILDING' then 'N/A' when c.c_mktsegment = 'FURNITURE' then '' when c.c_mktsegment = 'MACHINERY' then 'INACTIVE' else 'Active ' end as entity_status,
         case when c.c_custkey % 7 = 0 then 'LAPSED' else 'ISSUED' end as registration_status,
         case when c.c_custkey % 3 = 0 then substring('{COUNTRIES}', cast(c.c_nationkey % 24 * 2 + 1 as int), 2) || '-XX' else substring('{COUNTRIES}', cast(c.c_nationkey % 24 * 2 + 1 as int), 2) end as legal_jurisdiction,
         case when c.c_nationkey % 6 = 0 then null else substring('{COUNTRIES}', cast(c.c_nationkey % 24 * 2 + 1 as int), 2) end as legal_address_country,
         case when c.c_nationkey % 4 = 0 then null else substring('{COUNTRIES}', cast((c.c_nationkey + 1) % 24 * 2 + 1 as int), 2) end as headquarters_address_country,
         case when c.c_custkey % 11 = 0 then 'soon' else '2025-0' || cast(c.c_custkey % 9 + 1 as string) || '-15T00:00:00Z' end as next_renewal_date_raw,
-        '2024-0' || cast(c.c_custkey % 9 + 1 as string) || '-0{{snapshot}}' as last_update_date_raw
+        '2024-0' || cast(c.c_custkey % 9 + 1 as string) || '-0{{snapshot}}' as last_update_date_raw,
+        'gleif/load_date={{day}}/lei.csv' as source_object_key
     from customer c join part p on p.p_partkey = c.c_custkey where c.c_custkey % 13 != {{skipped}}"""
 
 #: In order: each may name tables and the ones before.
@@ -25,11 +26,11 @@ FIXTURES: dict[str, str] = {
             'LEI' || lpad(cast(o_custkey as string), 17, '0') as start_node_id,
             'LEI' || lpad(cast((o_orderkey * 7 + 3) % n.n as string), 17, '0') as end_node_id,
             case when o_orderkey % 2 = 0 then 'IS_DIRECTLY_CONSOLIDATED_BY' else 'IS_ULTIMATELY_CONSOLIDATED_BY' end as relationship_type,
-            case o_orderstatus when 'O' then 'ACTIVE' when 'P' then '' else 'INACTIVE' end as relationship_status,
+            case when o_custkey % 5 = 0 then 'INACTIVE' when o_orderstatus = 'O' then 'ACTIVE' when o_orderstatus = 'P' then '' else 'INACTIVE' end as relationship_status,
             case when o_orderpriority = '5-LOW' then 'RETIRED' else 'PUBLISHED' end as registration_status,
             case when o_orderkey % 9 = 0 then null else cast(cast(o_orderdate as date) as string) end as relationship_period_start_raw,
             cast(cast(o_orderdate as date) as string) as last_update_date_raw
-        from orders, (select count(*) as n from customer) n where o_custkey % 5 != 0""",
+        from orders, (select count(*) as n from customer) n""",
     "raw_fsf": """
         select ((l_orderkey * 8 + l_linenumber) * 200003 + l_partkey) * 10007 + l_suppkey as raw_id,
             cast(l_suppkey as bigint) as entity_logical_id, case when l_suppkey % 3 = 0 then 'EU.' || cast(l_suppkey as string) end as eu_reference_number,
@@ -49,13 +50,13 @@ FIXTURES: dict[str, str] = {
             case when p_partkey % 7 = 0 then 'bad' else '2023-01-0' || cast(p_partkey % 9 + 1 as string) || 'T10:00:00' end as last_change
         from part""",
     "raw_observations": """
-        select event_id as raw_id, date '2024-05-02' as source_load_date, 'DS_' || event_type as dataset_code, event_type || '.' || cast(user_id as string) as series_key,
-            case event_type when 'click' then 'ECB Deposit Facility Rate' when 'view' then 'Euro Short-Term Rate' when 'purchase' then 'Cost of Borrowing Corporates'
-                when 'signup' then 'HICP Inflation' else ' Other Indicator (x) ' end as indicator_name,
+        select event_id as raw_id, case when event_id % 3 = 0 then date '2024-05-01' else date '2024-05-02' end as source_load_date, 'DS_' || event_type as dataset_code, event_type || '.' || cast(user_id as string) as series_key,
+            case event_type when 'click' then 'Cost of borrowing for corporations' when 'view' then 'Euro short-term rate' when 'purchase' then ' AAA yield curve 10Y spot rate'
+                when 'signup' then 'AAA yield curve 2Y spot rate' else case when user_id % 50 = 7 then ' ' else ' Other Indicator (x) ' end end as indicator_name,
             case when event_type = 'view' then 'EST' else 'FM' end as dataflow,
             case when user_id = 0 then 'U2' when user_id = 1 then null else 'A' || cast(user_id as string) end as ref_area,
             cast(cast(ts as date) as string) as time_period, case when event_id % 97 = 0 then 'n/a' else cast(cast(value as decimal(18, 6)) as string) end as obs_value
-        from (select *, row_number() over (partition by event_type, user_id, cast(ts as date) order by ts desc, event_id desc) as latest from events) e where latest = 1""",
+        from events""",
     "raw_periods": """
         select o_orderkey as raw_id, case o_orderkey % 6 when 0 then substring(cast(cast(o_orderdate as date) as string), 1, 7)
             when 1 then substring(cast(cast(o_orderdate as date) as string), 1, 4) || '-Q' || cast(o_orderkey % 4 + 1 as string)

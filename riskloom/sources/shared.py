@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
+#: Where this process writes, in the shared folder.
+_RUN = f"riskloom-{uuid.uuid4().hex}"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Written once and read back: lost executors cost no recomputation, and later plans begin here."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(df.sparkSession)}/{_RUN}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that this process has settled: to be called when the results that rest on them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{_RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -33,7 +33,9 @@ def test_parent_paths_cycles_and_depth(spark):
     leis = sorted({p[0] for p in chain} | {"c12"})
     up = dict(chain)
     master = spark.createDataFrame([(f"id-{x}", x, up.get(x), None) for x in leis], "entity_candidate_id string, lei string, direct_parent_lei string, direct_parent_name string")
+    master = master.withColumns({"legal_name": F.concat(F.lit("Name "), "lei"), "legal_name_normalized": F.concat(F.lit("name "), "lei"), "country": F.lit("DE"), "source_load_date": F.lit("2024-05-01").cast("date")})
     paths = H.parent_paths(master).collect()
+    assert len({r["relationship_path_id"] for r in paths}) == len(paths) and all(r["root_legal_name"] == f"Name {r['root_lei']}" for r in paths)
     of = lambda root: sorted((r["depth"], r["ancestor_lei"]) for r in paths if r["root_lei"] == root)
     assert len(of("c0")) == 10 and of("c0")[-1] == (10, "c10")
     assert of("a") == [(1, "b")] and of("s") == [] and of("x") == [(1, "unknown")]
@@ -52,8 +54,8 @@ def test_relationship_picks(spark):
 
 def test_series_edges(spark):
     day = lambda d: datetime.date(2024, 1, d)
-    rows = [("i", "A", "s", day(1), 0.0), ("i", "A", "s", day(2), 5.0), ("i", "A", "one", day(1), 3.0), ("k", None, "n", day(1), 1.0), ("k", None, "n", day(2), 1.0)]
-    ts = M.timeseries(spark.createDataFrame(rows, "indicator_code string, ref_area string, series_key string, obs_date date, obs_value double"))
+    rows = [("x", "A", "", day(1), 9.0), ("i", "A", "s", day(1), 0.0), ("i", "A", "s", day(2), 5.0), ("i", "A", "one", day(1), 3.0), ("k", None, "n", day(1), 1.0), ("k", None, "n", day(2), 1.0)]
+    ts = M.timeseries(spark.createDataFrame(rows, "indicator_code string, ref_area string, series_key string, obs_date date, obs_value double").withColumn("indicator_name", F.when(F.col("series_key") != "", "named")))
     got = {(r["series_key"], r["obs_date"].day): r for r in ts.collect()}
     assert got["s", 2]["change_abs"] == 5 and got["s", 2]["change_pct"] is None and got["one", 1]["previous_obs_value"] is None
     slopes = {r["ref_area"]: r["raw_trend_slope"] for r in M.trend_slope(ts).collect()}
@@ -87,3 +89,62 @@ def test_checks_and_files(spark, tmp_path):
     (tmp_path / "x.csv").write_text('\ufeffid;name\n1;"a;b"\n2;\n', encoding="utf-8")
     rows = I.read_csv_snapshot(spark, str(tmp_path), "id string, name string", ";").collect()
     assert [(r["id"], r["name"]) for r in rows] == [("1", "a;b"), ("2", None)]
+
+
+def test_indicators_and_the_entity_score(spark):
+    """The four weighted indicators by name, and each entity's score: the overall one times how far it applies."""
+    names = ["Euro short-term rate", "Cost of borrowing for corporations", "AAA yield curve 2Y spot rate", "AAA yield curve 10Y spot rate", "Some other (rate)"]
+    df = spark.createDataFrame([(n,) for n in names], "name string").withColumn("code", X.indicator_slug(F.col("name"))).withColumn("weight", X.indicator_weight(F.col("code")))
+    assert [(r["code"], r["weight"]) for r in df.collect()] == [
+        ("euro_short_term_rate", 0.25), ("cost_of_borrowing_corporations", 0.35), ("aaa_yield_curve_2y_spot_rate", 0.15), ("aaa_yield_curve_10y_spot_rate", 0.25), ("some_other_rate", 0.0),
+    ]
+    entities = spark.createDataFrame([("1", "DE"), ("2", "US"), ("3", None)], "entity_candidate_id string, country string").withColumns({c: F.lit("x") for c in ("lei", "legal_name", "legal_name_normalized", "source_load_date")})
+    summary = spark.createDataFrame([(53.35, "elevated", "said")], "macro_pressure_score double, macro_pressure_level string, macro_pressure_summary string")
+    got = {r["country"]: (r["entity_macro_context_score"], r["entity_macro_context_summary"].split(" for ")[0]) for r in M.macro_context(entities, summary).collect()}
+    assert got["DE"] == (53.35, "said") and got["US"][0] == 18.67 and got[None][0] == 16.01 and got["US"][1].endswith("reduced applicability")
+    assert M.macro_context(entities, summary.limit(0)).count() == 0
+    try:
+        M.macro_context(entities, summary.unionByName(summary)).collect()
+    except Exception as wrong:
+        assert "one row was expected" in str(wrong)
+    else:
+        raise AssertionError
+
+
+def test_a_newest_row_without_name_is_kept(spark):
+    rows = [(1, "2024-05-01", "L1", "Old name"), (2, "2024-05-02", "L1", None), (3, "2024-05-02", " ", "No key")]
+    raw = spark.createDataFrame(rows, "raw_id int, source_load_date string, lei string, legal_name string").withColumns({c: F.lit(None).cast("string") for c in (
+        "entity_status", "registration_status", "legal_jurisdiction", "legal_address_country", "headquarters_address_country", "next_renewal_date_raw", "last_update_date_raw", "source_object_key")})
+    staged = S.stage_lei(raw.withColumn("source_load_date", F.to_date("source_load_date"))).collect()
+    assert [(r["raw_id"], r["legal_name"]) for r in staged] == [(2, None)] and '"legal_name":null' in staged[0]["raw_row"]
+
+
+def test_siblings(spark):
+    master = spark.createDataFrame([("e1", "a", "p"), ("e2", "b", "p"), ("e3", "c", None), ("e4", "d", "q")], "entity_candidate_id string, lei string, direct_parent_lei string").withColumns({c: F.lit("x") for c in ("legal_name", "country")})
+    assert {(r["lei"], r["sibling_count"]) for r in H.same_parent_entities(master).collect()} == {("a", 1), ("b", 1), ("d", 0)}
+    asked = spark.createDataFrame([("a",), ("c",), ("d",)], "lei string")
+    assert [(r["asked_lei"], r["sibling_lei"]) for r in H.siblings_of(master, asked).collect()] == [("a", "b")]
+
+
+def test_packed_rows(spark):
+    row = '{"Entity_LogicalId": " 12 ", "Entity_EU_ReferenceNumber": "eu.1", "BirthDate_Year": "19x", "Address_CountryIso2Code": "de", "Entity_Regulation_PublicationDate": "2024-02-30", "NameAlias_WholeName": "  A b ", "Identification_TypeDescription": "PASS"}'
+    r = S.extract_json_row(spark.createDataFrame([(1, row), (2, None)], "raw_id int, raw_row string")).orderBy("raw_id").collect()
+    assert (r[0]["entity_logical_id"], r[0]["entity_eu_reference_number"], r[0]["birth_date_year"], r[0]["address_country_iso2_code"], r[0]["entity_regulation_publication_date"]) == (12, "EU.1", None, "DE", None)
+    assert (r[0]["name_alias_whole_name"], r[0]["identification_type_description"], r[0]["entity_remark"]) == ("A b", "pass", None) and r[1]["entity_logical_id"] is None and len(r[0]) == 47
+
+
+def test_display_names(spark):
+    names = ["Ünïted Äöß Łódź", "ﬁne ½ Ǆ", "e\u0301te\u0301", "Ελλάς", "中文", None, ""]
+    import unicodedata
+
+    want = [None if n is None else "".join(x for x in unicodedata.normalize("NFKD", n) if not unicodedata.combining(x)) for n in names]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    assert [r["d"] for r in df.select("i", X.latin_display(F.col("n")).alias("d")).orderBy("i").collect()] == want
+
+
+def test_best_names_are_what_dedupe_keeps(spark):
+    names = [(k, f"s{i % 3}", "eu_fsf" if i % 2 else "opensanctions", f"n{i}", ("primary_name", "alias_name", "name_alias")[i % 3], i % 4 == 0) for i, k in enumerate(["acme", "acme", "bank", "bank", "bank", "acme"] * 3)]
+    df = spark.createDataFrame(names, "sanctions_name_match_key string, sanction_subject_id string, sanctions_source string, sanctions_name_id string, source_name_type string, is_primary_name boolean").withColumns({"source_subject_id": F.lit("x"), "sanctions_name": F.lit("y")})
+    entities = spark.createDataFrame([("e1", "Acme"), ("e2", "Bank"), ("e3", "ACME.")], "entity_candidate_id string, legal_name string")
+    rows = lambda d: sorted(map(str, d.select("entity_candidate_id", "match_key", "sanction_subject_id", "sanctions_name_id").collect()))
+    assert rows(S.match_names(entities, S.best_names(df))) == rows(S.dedupe_matches(S.match_names(entities, df)))
