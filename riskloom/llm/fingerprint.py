@@ -4,9 +4,9 @@ A cell holds a count, the xor of its digests and the xor of their check values.
 in each part of the sketch.  The cells of one version subtracted from those of another leave the digests in which the two
 differ; peeling takes out the cells that hold a single one until none is left.  A sketch has a level L: its parts have 2^L
 cells, and the places follow from a hash that is another one at each level.  A fingerprint is the sketch of the lowest level
-that holds its digests at a load of two thirds at most and peels to them all.  So two fingerprints can be compared wherever
-they are kept: at the higher of their levels, the other's digests sketched again; and where peeling gets stuck, both at the
-next level, and so on.
+with two places in each part for every digest, so it peels to all its digests.  So two fingerprints can be compared wherever
+they are kept: at the higher of their levels, where the other's digests are sketched again; and where peeling gets stuck, both
+at the next level, and so on.
 
 A paragraph is a line.  Long lines are cut where the content says so, after a mark or after certain letters before a blank,
 so that an edit changes the paragraphs around it only, and the number of paragraphs grows with the text.
@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The beginning of a text is cut more finely, so that short texts have several paragraphs: (characters, least length there, least length after).
-HEAD, LEAST_HEAD, LEAST = 256, 16, 96
+HEAD, LEAST_HEAD, LEAST = 256, 16, 256
 #: A stretch without a place to cut is cut after so many characters.
-LONGEST = 512
+LONGEST = 1024
 #: Levels that are tried one after another.
 LEVELS = 12
 ROWS_A_BUCKET, MOST_BUCKETS = 512, 16384
@@ -70,7 +70,7 @@ def _merged(cells: str) -> str:
     )
     begins = "filter(transform(s, (x, i) -> if(i = 0, 0, if(x.p = s[i - 1].p, -1, i))), i -> i >= 0)"
     runs = f"filter(transform(t, (a, j) -> {total}), u -> u.n != 0 or u.k != 0 or u.c != 0)"
-    return _let(f"array_sort({cells})", "s", _let(begins, "t", runs))
+    return _let(f"sort_array({cells})", "s", _let(begins, "t", runs))
 
 
 def cells(digests: str, level: str) -> str:
@@ -80,7 +80,8 @@ def cells(digests: str, level: str) -> str:
 
 def _peeled(sketch: str, level: str) -> str:
     """SQL: how many digests a sketch peels to; null if it gets stuck."""
-    single = f"array_distinct(transform(filter(w.cells, x -> abs(x.n) = 1 and x.c = {_check('x.k')}), x -> named_struct('n', -x.n, 'k', x.k)))"
+    of_sign = lambda n: f"array_distinct(transform(filter(w.cells, x -> x.n = {n} and x.c = {_check('x.k')}), x -> x.k))"
+    single = f"concat({_signed(of_sign(1), -1)}, {_signed(of_sign(-1), 1)})"
     less = _merged(f"concat(w.cells, {_placed('single', level)})")
     step = f"if(size(single) = 0, named_struct('cells', w.cells, 'found', w.found, 'over', true), named_struct('cells', {less}, 'found', w.found + size(single), 'over', false))"
     begin = f"named_struct('cells', {sketch}, 'found', 0, 'over', false)"
@@ -88,33 +89,52 @@ def _peeled(sketch: str, level: str) -> str:
 
 
 def level(digests: str) -> str:
-    """SQL: the level of a text's fingerprint."""
-    least = f"cast(greatest(0, ceil(log2(greatest(size({digests}), 1) / 2.0))) as int)"
-    peels = _peeled(cells(digests, "(l + i)"), "(l + i)")
-    return _let(least, "l", f"coalesce(aggregate(sequence(0, {LEVELS - 1}), cast(null as int), (f, i) -> if(f is not null, f, if({peels} is not null, l + i, cast(null as int)))), l + {LEVELS})")
+    """SQL: the level of a text's fingerprint: the lowest with two places in each part for a digest, where no two have the same three."""
+    least = f"cast(ceil(log2(greatest(size({digests}), 2) * 2.0)) as int)"
+    bits = "(l + i) & 31"
+    places = " | ".join(f"shiftleft(pmod(shiftrightunsigned(h, {21 * q}), shiftleft(1L, {bits})), {21 * q})" for q in range(3))
+    apart = f"size(array_distinct(transform(transform({digests}, d -> xxhash64(d, l + i)), h -> {places}))) = size({digests})"
+    return _let(least, "l", f"aggregate(sequence(0, {LEVELS - 1}), cast(null as int), (f, i) -> if(f is not null, f, if({apart}, l + i, cast(null as int))), f -> coalesce(f, l))")
 
 
-def differing(a: str, b: str, least: str) -> str:
-    """SQL: how many digests are in one array only: sketches subtracted and peeled, from level ``least`` on.
+def _side(own: str, own_level: str, digests: str, n: int) -> str:
+    """SQL: a sketch at the level of this try, added (n = 1) or subtracted: the fingerprint's own, or placed anew."""
+    signed = own if n == 1 else f"transform({own}, x -> named_struct('p', x.p, 'n', -x.n, 'k', x.k, 'c', x.c))"
+    return f"if(i = 0 and {own_level} = l, {signed}, {_placed(_signed(digests, n), '(l + i)')})"
+
+
+def differing(a: str, b: str) -> str:
+    """SQL: how many digests are in one of two fingerprints only, given by the prefix of their columns: sketches subtracted and peeled.
 
     That the sketches of all levels get stuck has a chance of less than 1e-30; then all count as differing.
     """
-    apart = _merged(f"concat({_placed(_signed(a, 1), '(l + i)')}, {_placed(_signed(b, -1), '(l + i)')})")
+    sides = [_side(f"{x}_cells", f"{x}_level", x, n) for x, n in ((a, 1), (b, -1))]
+    apart = _merged(f"concat({', '.join(sides)})")
     tries = f"aggregate(sequence(0, {LEVELS - 1}), cast(null as int), (f, i) -> if(f is not null, f, {_peeled(apart, '(l + i)')}))"
-    return _let(least, "l", f"coalesce({tries}, size({a}) + size({b}))")
+    return _let(f"greatest({a}_level, {b}_level)", "l", f"coalesce({tries}, size({a}) + size({b}))")
 
 
-def likeness(a: str, b: str, level_a: str, level_b: str) -> Column:
-    """Jaccard likeness of two columns of digests, from what their sketches peel to; two empty ones are alike (1.0)."""
+def likeness(a: str, b: str) -> Column:
+    """Jaccard likeness of two fingerprints, from what their sketches peel to; two empty ones are alike (1.0)."""
     total = f"(size({a}) + size({b}))"
-    value = _let(differing(a, b, f"greatest({level_a}, {level_b})"), "n", f"({total} - n) / cast({total} + n as double)")
-    return F.expr(f"if({total} = 0, 1.0d, {value})")
+    return F.expr(f"if({total} = 0, 1.0d, {_let(differing(a, b), 'n', f'({total} - n) / cast({total} + n as double)')})")
+
+
+def sketched(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds a fingerprint's parts: the digests (column ``out``), ``out_level`` and ``out_cells``."""
+    docs = docs.withColumn(out, F.expr(paragraph_digests(text)))
+    return _celled(docs, out)
+
+
+def _celled(docs: DataFrame, out: str) -> DataFrame:
+    docs = docs.withColumn(f"{out}_level", F.expr(level(out)))
+    return docs.withColumn(f"{out}_cells", F.expr(cells(out, f"{out}_level")))
 
 
-def fingerprint(digests: str, level: str) -> Column:
+def fingerprint(out: str) -> Column:
     """The sketch as text: number of digests, level, then place, count, digests and checks of each cell that holds something, in hex."""
     cell = "concat_ws('.', hex(x.p), cast(x.n as string), hex(x.k), hex(x.c))"
-    return F.lower(F.expr(f"concat_ws(':', size({digests}), {level}, array_join(transform({cells(digests, level)}, x -> {cell}), ';'))"))
+    return F.lower(F.expr(f"concat_ws(':', size({out}), {out}_level, array_join(transform({out}_cells, x -> {cell}), ';'))"))
 
 
 def _bucket(bounds: list[int], id_: Column, u: Column) -> Column:
@@ -179,9 +199,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = with_next(picked.withColumn("a", F.expr(paragraph_digests("text"))), "a").withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(next_text, 1, cast(n_chars div 3 as int)))")
     rows = rows.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    rows = rows.withColumn("b", F.expr(paragraph_digests("edited")))
-    rows = rows.withColumns({"level_a": F.expr(level("a")), "level_b": F.expr(level("b")), "level_next": F.expr(level("next_a"))})
+    rows = sketched(_celled(_celled(rows, "a"), "next_a"), "edited", "b")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint("a", "level_a").alias("fingerprint"), fingerprint("b", "level_b").alias("edited_fingerprint"),
-        likeness("a", "b", "level_a", "level_b").alias("near_edited"), likeness("a", "next_a", "level_a", "level_next").alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint("a").alias("fingerprint"), fingerprint("b").alias("edited_fingerprint"),
+        likeness("a", "b").alias("near_edited"), likeness("a", "next_a").alias("near_next"),
     )

@@ -139,7 +139,7 @@ def test_order_whatever_the_ids(spark, ids, monkeypatch):
 
 def test_edges(spark):
     rows = [(1, "some words here"), (1, "some words here"), (None, None), (2, ""), (3, "word " * 20000), (None, "other words there")]
-    edge = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in ("h", "a", "b", "bucket", "ghost", "next_text", "n_chars", "s", "l")})
+    edge = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in ("h", "a", "b", "bucket", "ghost", "next_text", "n_chars", "s", "l", "a_cells", "b_level", "next_a")})
     out = fp.fingerprints(edge).collect()
     assert len(out) == len(rows) and len({r["fingerprint"] for r in out if r["n_chars"] == 15}) == 1
     assert fp.fingerprints(edge.limit(0)).count() == 0
