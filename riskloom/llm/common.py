@@ -118,6 +118,7 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def text_or_empty(text: str = "text") -> Column:
+    """The text column, null as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 

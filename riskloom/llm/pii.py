@@ -42,6 +42,7 @@ Span = tuple[str, int, int]
 
 
 def luhn(digits: list[str] | str) -> bool:
+    """Whether the digits pass the checksum of card numbers."""
     total = 0
     for i, d in enumerate(reversed(digits)):
         n = int(d) * (1 + i % 2)
@@ -265,6 +266,7 @@ def fit(texts: list[str], most_zones: int = 1500, epochs: int = 4, rate: float =
 
 
 def joined(spans: list[Span]) -> str:
+    """kind:start:end, joined by commas."""
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
