@@ -61,6 +61,7 @@ def latest_of(*cols: Column) -> Column:
 
 
 def snapshot_age(load_date: Column, today: Column) -> Column:
+    """Days from a snapshot to the given day."""
     return F.datediff(today, load_date)
 
 

@@ -21,6 +21,7 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def run_history(runs: DataFrame) -> DataFrame:
+    """Counts of good and other runs per job and target, and when the last of each began."""
     good = _c("status").isin(*GOOD)
     return runs.groupBy("job_name", "target_table").agg(
         F.count("*").alias("total_run_count"), F.count_if(good).alias("success_run_count"), F.count_if(~good).alias("failed_or_incomplete_run_count"),
@@ -35,10 +36,12 @@ def audit_history_join(latest: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def pipeline_health(status: Column, last_success: Column) -> Column:
+    """Healthy, or failed after a success, or never successful."""
     return F.when(status.isin(*GOOD), F.lit("healthy")).when(last_success.isNotNull(), F.lit("latest_failed_previous_success_available")).otherwise(F.lit("not_healthy"))
 
 
 def audit_status(runs: DataFrame) -> DataFrame:
+    """The latest run of each job and target with its history, duration and health."""
     joined = audit_history_join(latest_runs(runs), run_history(runs))
     good = _c("status").isin(*GOOD)
     return joined.select(
@@ -68,6 +71,7 @@ def expected_tables_status(expected: DataFrame, audit: DataFrame) -> DataFrame:
 
 
 def pipeline_metrics(status: DataFrame) -> DataFrame:
+    """One row: how many expected tables are in which state."""
     health = _c("pipeline_health_status")
     return status.agg(
         F.count("*").alias("monitored_tables"), F.coalesce(F.sum("total_run_count"), F.lit(0)).alias("total_runs"), F.count_if(health == "healthy").alias("healthy_tables"),
@@ -107,6 +111,7 @@ def manifest_status(files: DataFrame) -> DataFrame:
 
 
 def quality_summary(checks: DataFrame, by: str = "source") -> DataFrame:
+    """Passed, warning and failed checks per source."""
     kinds = ("passed", "warning", "error")
     return checks.groupBy(by).agg(*[F.count_if(_c("check_status") == k).alias(f"{k}_count") for k in kinds], F.count("*").alias("total_count"))
 

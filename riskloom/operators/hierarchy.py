@@ -36,6 +36,7 @@ def stage_relationships(raw: DataFrame) -> DataFrame:
 
 
 def active_relationships(rr: DataFrame, relationship_type: str) -> DataFrame:
+    """Relations of a type that are active or unknown and not withdrawn."""
     status, registration = _c("relationship_status"), _c("registration_status")
     return rr.where(
         (_c("relationship_type") == relationship_type) & (status.isNull() | status.isin("active", "unknown")) & (registration.isNull() | ~registration.isin("annulled", "rejected", "retired"))
@@ -59,6 +60,7 @@ def parent_summary(lei: DataFrame, rr: DataFrame) -> DataFrame:
 
 
 def entity_master(candidates: DataFrame, parents: DataFrame) -> DataFrame:
+    """Every entity with its parents; without any the flags are false."""
     out = candidates.join(parents, "lei", "left")
     return out.withColumns({f"has_{k}_parent": F.coalesce(_c(f"has_{k}_parent"), F.lit(False)) for k in ("direct", "ultimate", "any")})
 
@@ -104,10 +106,12 @@ def parent_paths(master: DataFrame, max_depth: int = 10) -> DataFrame:
 
 
 def furthest_ancestor(paths: DataFrame) -> DataFrame:
+    """Marks the paths that go furthest up from their entity."""
     return paths.withColumn("is_furthest_ancestor", _c("depth") == F.max("depth").over(Window.partitionBy("entity_candidate_id")))
 
 
 def child_counts(edges: DataFrame) -> DataFrame:
+    """Direct children per parent."""
     return edges.where("relationship_type = 'direct_parent'").groupBy("parent_lei").agg(F.count_distinct("child_lei").alias("known_child_count"))
 
 
@@ -117,10 +121,12 @@ def descendant_counts(paths: DataFrame) -> DataFrame:
 
 
 def sibling_group_size(master: DataFrame) -> DataFrame:
+    """Entities per direct parent."""
     return master.where("direct_parent_lei is not null").groupBy("direct_parent_lei").agg(F.count("*").alias("same_parent_group_size"))
 
 
 def path_summary(paths: DataFrame) -> DataFrame:
+    """How far up an entity's chain goes, and where it ends."""
     far = lambda c: F.max(F.when(_c("is_furthest_ancestor"), _c(c)))
     return paths.groupBy("entity_candidate_id").agg(
         F.max("depth").alias("parent_chain_depth"), F.count("*").alias("parent_path_count"), far("ancestor_lei").alias("furthest_known_ancestor_lei"), far("ancestor_name").alias("furthest_known_ancestor_name")
@@ -128,6 +134,7 @@ def path_summary(paths: DataFrame) -> DataFrame:
 
 
 def relationship_context(master: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """Every entity with its children, descendants, siblings and chain, and a sentence about them."""
     out = master.join(child_counts(edges).withColumnRenamed("parent_lei", "lei"), "lei", "left").join(descendant_counts(paths).withColumnRenamed("parent_lei", "lei"), "lei", "left")
     out = out.join(sibling_group_size(master), "direct_parent_lei", "left").join(path_summary(paths), "entity_candidate_id", "left")
     zero = {c: F.coalesce(_c(c), F.lit(0)) for c in ("known_child_count", "total_descendant_count", "parent_chain_depth", "parent_path_count")}

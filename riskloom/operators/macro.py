@@ -68,12 +68,14 @@ def rolling_averages(ts: DataFrame) -> DataFrame:
 
 
 def series_rank_latest(ts: DataFrame) -> DataFrame:
+    """Place from the newest observation of a series, and how many it has."""
     newest = F.row_number().over(Window.partitionBy(*SERIES).orderBy(_c("obs_date").desc_nulls_last()))
     ranked = ts.withColumns({"recency_rank": newest, "observation_count": F.count("*").over(Window.partitionBy(*SERIES))})
     return ranked.withColumn("is_latest_observation", _c("recency_rank") == 1)
 
 
 def timeseries(observations: DataFrame) -> DataFrame:
+    """Observations with all that is worked out along their series."""
     return series_rank_latest(rolling_averages(series_change(series_lag(observations))))
 
 
@@ -131,6 +133,7 @@ def weighted_macro_score(indicators: DataFrame) -> DataFrame:
 
 
 def macro_level(score: DataFrame) -> DataFrame:
+    """Level, direction and sentence that follow from score and signal."""
     points, signal = _c("macro_pressure_score"), _c("weighted_trend_signal")
     level = F.when(points >= 75, "high").when(points >= 50, "elevated").when(points >= 25, "moderate").otherwise("low")
     trend = F.when(signal > 0.15, "upward").when(signal < -0.15, "downward").otherwise("stable")
@@ -148,11 +151,13 @@ def pressure(observations: DataFrame) -> DataFrame:
 
 
 def macro_summary(pressure_rows: DataFrame) -> DataFrame:
+    """The overall score with the newest observation behind it."""
     keys = ["macro_pressure_score", "macro_pressure_level", "macro_trend_direction", "weighted_trend_signal", "macro_pressure_summary"]
     return pressure_rows.groupBy(*keys).agg(F.max("latest_obs_date").alias("latest_obs_date"))
 
 
 def macro_applicability(entities: DataFrame) -> DataFrame:
+    """How far the indicators apply to each entity, by its country, and why."""
     country = _c("country")
     kind = F.when(country.isNull() | (F.trim(country) == ""), "unknown").when(F.upper(country).isin(*EURO_AREA), "applicable").otherwise("reduced")
     weight, said = F.lit(None).cast("double"), F.lit(None).cast("string")
@@ -183,17 +188,21 @@ def macro_context(entities: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def indicator_options(ts: DataFrame) -> DataFrame:
+    """The indicators there are."""
     return ts.select("indicator_code", "indicator_name").distinct()
 
 
 def filter_series(ts: DataFrame, indicator_code: str | None = None) -> DataFrame:
+    """The observations of one indicator, or of all, in order."""
     chosen = ts if indicator_code is None else ts.where(_c("indicator_code") == indicator_code)
     return chosen.orderBy("indicator_code", "ref_area", "series_key", "obs_date")
 
 
 def latest_observations(ts: DataFrame) -> DataFrame:
+    """The newest observation of each series."""
     return ts.where("is_latest_observation")
 
 
 def pressure_indicators(pressure_rows: DataFrame) -> DataFrame:
+    """The indicators behind the score, heaviest first."""
     return pressure_rows.orderBy(_c("indicator_weight").desc(), "indicator_code", "ref_area")

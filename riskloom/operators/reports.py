@@ -14,10 +14,12 @@ TIERS = ("high", "medium", "review", "low_or_no_known_match")
 
 
 def risk_overview(risk: DataFrame) -> DataFrame:
+    """One row: entities per tier and matches in all."""
     return risk.agg(F.count("*").alias("total_entities"), *[F.count_if(_c("risk_tier") == t).alias(f"{t}_count") for t in TIERS], F.coalesce(F.sum("total_sanctions_match_count"), F.lit(0)).alias("total_matches"))
 
 
 def risk_tier_distribution(risk: DataFrame) -> DataFrame:
+    """Entities per tier, worst first."""
     order = F.element_at(F.map_from_arrays(F.array(*map(F.lit, TIERS)), F.array(*map(F.lit, range(1, 5)))), _c("risk_tier"))
     return risk.groupBy("risk_tier").agg(F.count("*").alias("entity_count")).withColumn("tier_order", order).orderBy("tier_order")
 
@@ -31,8 +33,8 @@ def top_risk_entities(risk: DataFrame, k: int = 25) -> DataFrame:
 def search_entities(master: DataFrame, risk: DataFrame, term: str, k: int = 50) -> DataFrame:
     """Entities whose lei or name holds the term in any case; hits at the beginning come first. Terms under 2 characters find nothing."""
     said = term.strip().lower()
-    like = lambda c: F.lower(c).like(f"%{said}%")
-    starts = lambda c: F.lower(c).like(f"{said}%")
+    like = lambda c: F.contains(F.lower(c), F.lit(said))
+    starts = lambda c: F.startswith(F.lower(c), F.lit(said))
     rank = F.when(starts(_c("lei")), 1).when(starts(_c("legal_name_normalized")), 2).when(starts(_c("legal_name")), 3).otherwise(4)
     hits = master.where(F.lit(len(said) >= 2) & (like(_c("lei")) | like(_c("legal_name")) | like(_c("legal_name_normalized"))))
     out = hits.select("entity_candidate_id", "lei", "legal_name", "country", rank.alias("hit_rank")).join(risk.select("entity_candidate_id", "risk_score", "risk_tier"), "entity_candidate_id", "left")

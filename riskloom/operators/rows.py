@@ -20,6 +20,7 @@ def string_agg_distinct(c: Column, sep: str = ";") -> Column:
 
 
 def require_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are all there and not blank."""
     return df.where(reduce(lambda a, b: a & b, [F.trim(F.col(k)) != "" for k in keys]))
 
 
@@ -53,5 +54,6 @@ def check_relationships(child: DataFrame, child_column: str, parent: DataFrame,
 
 
 def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each table by name."""
     parts = [df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count") for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)

@@ -72,6 +72,7 @@ def stage_lei(raw: DataFrame) -> DataFrame:
 
 
 def entity_candidates(lei: DataFrame) -> DataFrame:
+    """Named entities with a key and the country to compare."""
     country = X.country_fallback(_c("legal_address_country"), _c("headquarters_address_country"), _c("legal_jurisdiction"))
     return lei.where("legal_name is not null").select(
         X.md5_key(F.lit("gleif"), _c("lei")).alias("entity_candidate_id"), F.lit("gleif").alias("candidate_source"), _c("lei").alias("candidate_source_id"), "lei", "legal_name", "legal_name_normalized",
@@ -101,10 +102,12 @@ def _fsf_latest() -> list[Column]:
 
 
 def canonical_fsf_subject(fsf: DataFrame) -> DataFrame:
+    """The latest row of each subject."""
     return latest_by_key(fsf, ["subject_key"], _fsf_latest())
 
 
 def canonical_fsf_name(fsf: DataFrame) -> DataFrame:
+    """The latest row of each name of a subject."""
     return latest_by_key(fsf.where("name_normalized is not null"), ["subject_key", "name_key"], _fsf_latest())
 
 
@@ -119,10 +122,12 @@ def _rollup(fsf: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fsf_subject_rollup(fsf: DataFrame) -> DataFrame:
+    """Programmes, lists, dates and counts per subject."""
     return _rollup(fsf, ["subject_key"])
 
 
 def fsf_name_rollup(fsf: DataFrame) -> DataFrame:
+    """The same per name of a subject."""
     return _rollup(fsf.where("name_normalized is not null"), ["subject_key", "name_key"])
 
 
@@ -142,6 +147,7 @@ def stage_targets(raw: DataFrame) -> DataFrame:
 
 
 def canonical_targets(targets: DataFrame) -> DataFrame:
+    """The latest row of each target: by load, then change, then raw id."""
     return latest_by_key(targets, ["target_id"], [_c("source_load_date").desc_nulls_first(), _c("last_change").desc_nulls_last(), _c("raw_id").desc_nulls_last()])
 
 
@@ -161,6 +167,7 @@ def opensanctions_names(targets: DataFrame) -> DataFrame:
 
 
 def dedupe_names(names: DataFrame) -> DataFrame:
+    """Each name of a target and type once: the first place, then the first spelling."""
     return latest_by_key(names, ["target_id", "name_type", "name_normalized"], [_c("position").asc_nulls_last(), _c("name").asc_nulls_last()])
 
 
@@ -184,6 +191,7 @@ def unify_subjects(fsf: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def unify_name_subject(names: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Names with their subject's key and type."""
     return names.join(subjects.select("sanctions_source", "source_subject_id", "sanction_subject_id", "sanctions_entity_type"), ["sanctions_source", "source_subject_id"], "left")
 
 
@@ -197,6 +205,7 @@ def unify_names(fsf_names: DataFrame, os_names: DataFrame, subjects: DataFrame)
 
 
 def organization_names(names: DataFrame) -> DataFrame:
+    """Names of organizations of any kind."""
     return names.where(_c("sanctions_entity_type").isin(*ORGANIZATION_TYPES))
 
 
@@ -225,11 +234,13 @@ def best_names(names: DataFrame) -> DataFrame:
 
 
 def attach_subject(matches: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Matches with what is known of the subject."""
     context = ["sanction_subject_id", "sanctions_entity_type", "primary_name", "source_countries", "source_identifiers", "source_programs", "source_lists", "source_sanction_context", "source_date"]
     return matches.join(subjects.select(*context), "sanction_subject_id", "left")
 
 
 def key_quality_flags(df: DataFrame, key: str = "match_key") -> DataFrame:
+    """Length of a key, and whether it is short, very short or generic."""
     k = _c(key)
     return df.withColumns({"match_key_length": F.length(k), "is_short_match_key": X.is_short(k), "is_very_short_match_key": X.is_short(k, 2), "is_generic_match_key": X.is_generic(k)})
 
@@ -294,6 +305,7 @@ def screening_view(matches: DataFrame) -> DataFrame:
 
 
 def sanctions_summary(screening: DataFrame) -> DataFrame:
+    """Matches of each entity: counts, sources, tiers, programmes, lists, subjects, best score and newest load."""
     tier = _c("match_quality_tier")
     return screening.groupBy("entity_candidate_id").agg(
         F.count("*").alias("total_sanctions_match_count"), F.count_if(tier == "high_confidence").alias("high_confidence_match_count"), F.count_if(tier == "medium_confidence").alias("medium_confidence_match_count"),

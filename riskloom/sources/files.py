@@ -39,6 +39,7 @@ def with_lineage(df: DataFrame, object_key: Column, load_date: Column, order: li
 
 
 def row_to_json(*cols: str) -> Column:
+    """The columns as one JSON text, nulls written out."""
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
