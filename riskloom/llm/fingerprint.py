@@ -20,24 +20,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The beginning of a text is cut more finely, so that short texts have several paragraphs: (characters, least length there, least length after).
-HEAD, LEAST_HEAD, LEAST = 256, 16, 256
+HEAD, LEAST_HEAD, LEAST = 256, 16, 192
 #: A stretch without a place to cut is cut after so many characters.
 LONGEST = 1024
+#: Where a long line may be cut: after a mark, or a blank that follows one of these letters. Later on places are rare beside
+#: the least length, so that cuts fall into step again soon after an edit.
+OFTEN = r"[.!?,;:\u3001\u3002\uff0c\uff0e]|(?<=[agkmopuvwzáéíóúа-яà-ö])\x20"
+SELDOM = r"[.!?\u3002\uff0e]|(?<=[kpwzàа-г])\x20"
 #: Levels that are tried one after another.
 LEVELS = 12
 ROWS_A_BUCKET, MOST_BUCKETS = 512, 16384
 
 
-def _cuts(least: int) -> str:
+def _cuts(least: int, places: str) -> str:
     """A pattern for the paragraphs of a stretch of text; none is empty, together they are the whole."""
-    return rf"[^\n]{{{{{least},{LONGEST}}}}}?(?:[.!?,;:\u3001\u3002\uff0c\uff0e]|(?<=[agkmopuvwzáéíóúа-яà-ö])\x20)|[^\n]{{{{1,{LONGEST}}}}}|\n".format()
+    return rf"[^\n]{{{least},{LONGEST}}}?(?:{places})|[^\n]{{1,{LONGEST}}}|\n"
 
 
 def paragraph_digests(text: str) -> str:
     """SQL: the distinct digests of a text's paragraphs."""
-    quoted = lambda least: "r'" + _cuts(least) + "'"
-    head = f"regexp_extract_all(left({text}, {HEAD}), {quoted(LEAST_HEAD)}, 0)"
-    rest = f"if(length({text}) > {HEAD}, regexp_extract_all(substring({text}, {HEAD + 1}), {quoted(LEAST)}, 0), array())"
+    head = f"regexp_extract_all(left({text}, {HEAD}), r'{_cuts(LEAST_HEAD, OFTEN)}', 0)"
+    rest = f"if(length({text}) > {HEAD}, regexp_extract_all(substring({text}, {HEAD + 1}), r'{_cuts(LEAST, SELDOM)}', 0), array())"
     return f"array_distinct(transform(concat({head}, {rest}), p -> xxhash64(p)))"
 
 
