@@ -4,7 +4,7 @@ Equal vectors of a label are one class.  The neighbour graph of the classes begi
 random hyperplanes, in as many tables of cells as make any two vectors at the threshold meet but for a chance of ``MISS``.
 It is refined in rounds: each node brings together its neighbours and those that name it, and these become neighbours of
 each other where they are nearer than what they have.  A list full of links at the threshold is saturated and may be twice
-as long in the next round, up to ``MOST_LIST``.  Rounds end when they find no more links.  Edges at the threshold are kept, checked in double
+as long in the next round, up to ``MOST_LIST``.  Rounds end when they add next to no links.  Edges at the threshold are kept, checked in double
 precision on rows of one label.
 
 Lists don't name every link of a large group.  So each cell also gives a spanning forest of its links, and links are
@@ -39,7 +39,7 @@ log = logging.getLogger(__name__)
 CELL, MOST_CELL = 512, 2048
 #: Hyperplanes at most; the chance that two vectors at the threshold meet in no table of a generation.
 PLANES, MISS, GENERATIONS = 40, 1e-3, 3
-LIST, MOST_LIST, MOST_ROUNDS = 8, 32, 10
+LIST, MOST_LIST, MOST_ROUNDS, FEW = 8, 16, 10, 0.01
 #: A node brings together neighbours that are at least so near to it.
 WANDER = 0.5
 #: Vectors of a sample that are compared with all rows, at first and at most, and how many true links are enough.
@@ -257,7 +257,7 @@ def _round(lists: DataFrame, classes: DataFrame, threshold: float, longest: int)
 
 
 def _descend(lists: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Rounds until they find no more links (``MOST_ROUNDS`` at most).
+    """Rounds until they add no more than a share of ``FEW`` to the links (``MOST_ROUNDS`` at most).
 
     A saturated list grows to ``MOST_LIST``, which joins its group many times over; that longer lists would name all pairs of
     a group isn't needed, as cells give forests of their links and links are counted within components.
@@ -267,7 +267,7 @@ def _descend(lists: DataFrame, classes: DataFrame, threshold: float) -> DataFram
         longest = min(2 * longest, MOST_LIST)
         lists = _round(lists, classes, threshold, longest)
         before, linked = linked, lists.where(F.col("near") >= threshold).select(F.least("node", "other"), F.greatest("node", "other")).distinct().count()
-        if linked == before:
+        if linked <= before * (1 + FEW):
             break
     return lists
 
