@@ -326,6 +326,7 @@ SELECTS: dict[str, str] = {
     "latest_loads": "select a.*, e.display_name, e.sort_order from audit a join expected_tables e on e.target_table = a.target_table and e.is_active",
     "entity_profile": "select entity_candidate_id, lei, legal_name, country, has_any_parent, risk_score, risk_tier, total_sanctions_match_count from risk_all",
     "descendants_of": "select p.ancestor_lei, p.root_lei, m.legal_name, m.country, p.depth, case when p.depth = 1 then 'direct_child' else 'indirect_descendant' end as relation from parent_paths p join entity_master m on m.lei = p.root_lei where p.ancestor_lei like '%7'",
+    "descendants_of_all": "select p.ancestor_lei, p.root_lei, m.legal_name, m.country, p.depth, case when p.depth = 1 then 'direct_child' else 'indirect_descendant' end as relation from parent_paths p join entity_master m on m.lei = p.root_lei",
     "same_parent_entities": "select direct_parent_lei, entity_candidate_id, lei, legal_name, country, count(*) over (partition by direct_parent_lei) as same_parent_group_size, count(*) over (partition by direct_parent_lei) - 1 as sibling_count from entity_master where direct_parent_lei is not null",
     "check_relationships": "select distinct end_node_id as value from stage_relationships where end_node_id not in (select lei from raw_entities where source_load_date = (select max(source_load_date) from raw_entities))",
     "string_agg_distinct": f"select subject_key, {agg('whole_name')} as names, {agg('regulation_title', ',')} as titles from stage_fsf group by subject_key",
