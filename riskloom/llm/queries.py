@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from riskloom.llm import bpe, embeddings, fingerprint, minhash, mixing, pii, quality, secrets, toxicity, urls
+from riskloom.llm import bpe, embeddings, fingerprint, minhash, mixing, pii, quality, repeats, secrets, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that lie in a string of 200 bytes which starts twice."""
+    return repeats.without_repeats(_table(spark, sf_dir, "documents"), length=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
     "op2_pii": op2_pii,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_repeats": op11_repeats,
     "pipeline": corpus_pipeline.run,
 }
 
