@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from riskloom.llm import bpe, embeddings, fingerprint, minhash, mixing, pii, quality, repeats, secrets, toxicity, urls
+from riskloom.llm import bpe, embeddings, fingerprint, minhash, mixing, pii, quality, repeats, secrets, toxicity, turntrie, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(_table(spark, sf_dir, "documents"), length=200)
 
 
+def op12_turntrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, with shared beginnings."""
+    return turntrie.shared_turns(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
     "op2_pii": op2_pii,
@@ -75,8 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op11_repeats": op11_repeats,
+    "op12_turntrie": op12_turntrie,
     "pipeline": corpus_pipeline.run,
 }
 
 #: Where SQL can express a query.
-ORACLES: dict[str, str] = {"op1_urls": urls.SQL, "op7_minhash": minhash.SQL, "op8_embeddings": embeddings.SQL}
+ORACLES: dict[str, str] = {"op1_urls": urls.SQL, "op7_minhash": minhash.SQL, "op8_embeddings": embeddings.SQL, "op12_turntrie": turntrie.SQL}
