@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from riskloom.llm import bpe, embeddings, fingerprint, minhash, mixing, pii, quality, repeats, secrets, toxicity, turntrie, urls
+from riskloom.llm import bpe, embeddings, fingerprint, lexical, minhash, mixing, pii, quality, repeats, secrets, toxicity, turntrie, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op12_turntrie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turntrie.shared_turns(_table(spark, sf_dir, "conversations"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of highest score for each benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
     "op2_pii": op2_pii,
@@ -81,8 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_repeats": op11_repeats,
     "op12_turntrie": op12_turntrie,
+    "op13_lexical": op13_lexical,
     "pipeline": corpus_pipeline.run,
 }
 
 #: Where SQL can express a query.
-ORACLES: dict[str, str] = {"op1_urls": urls.SQL, "op7_minhash": minhash.SQL, "op8_embeddings": embeddings.SQL, "op12_turntrie": turntrie.SQL}
+ORACLES: dict[str, str] = {"op1_urls": urls.SQL, "op7_minhash": minhash.SQL, "op8_embeddings": embeddings.SQL, "op12_turntrie": turntrie.SQL, "op13_lexical": lexical.SQL}
