@@ -329,8 +329,10 @@ def prefix_trie(keys: DataFrame, most: int = CHUNK) -> DataFrame:
     """The trie's nodes, from (key, n, least, ends), a row for each different key of whole turn ids.
 
     Nodes: conv_id (least id), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
-    ``most`` is the number of rows of a chunk; the result is the same with any from 3 on.
+    ``most`` is the number of rows of a chunk (8 at least, so that each round leaves fewer rows); the result doesn't depend on it.
     """
+    if most < 8:
+        raise ValueError("a chunk has 8 rows at least")
     spark = keys.sparkSession
     small_batches(spark)
     one = lambda c, kind="bigint": F.array(c).cast(f"array<{kind}>")
