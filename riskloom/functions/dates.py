@@ -13,10 +13,9 @@ def iso_date_prefix(c: Column) -> Column:
 
 
 def flexible_date(c: Column) -> tuple[Column, Column]:
-    """Year, and date with a missing month or day as 01, of YYYY, YYYY-MM or YYYY-MM-DD."""
-    said = F.trim(c)
-    year = F.when(said.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$"), F.left(said, F.lit(4)).cast("int"))
-    full = F.when(said.rlike(r"^\d{4}$"), F.concat(said, F.lit("-01-01"))).when(said.rlike(r"^\d{4}-\d{2}$"), F.concat(said, F.lit("-01"))).when(said.rlike(r"^\d{4}-\d{2}-\d{2}$"), said)
+    """The year of any text that begins with four digits, and the date of one that begins with YYYY-MM-DD or is YYYY-MM or YYYY (then with 01 for what is missing)."""
+    year = F.when(c.rlike(r"^\d{4}"), F.left(c, F.lit(4)).cast("int"))
+    full = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.left(c, F.lit(10))).when(c.rlike(r"^\d{4}-\d{2}$"), F.concat(c, F.lit("-01"))).when(c.rlike(r"^\d{4}$"), F.concat(c, F.lit("-01-01")))
     return year, F.try_to_date(full, "yyyy-MM-dd")
 
 
@@ -31,15 +30,15 @@ def strict_iso_timestamp(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), c.try_cast("timestamp_ntz"))
 
 
-def period_to_date(period: Column) -> Column:
-    """First day of a day, month, quarter (YYYY-Qn) or year."""
+def period_to_date(period: Column, frequency: Column) -> Column:
+    """First day of a day or quarter (YYYY-Qn), of a month only where the frequency is M, and of a year only where it is A."""
     p = F.trim(period)
     quarter = F.concat(F.left(p, F.lit(4)), F.lit("-"), F.lpad(((F.right(p, F.lit(1)).cast("int") - 1) * 3 + 1).cast("string"), 2, "0"), F.lit("-01"))
     text = (
         F.when(p.rlike(r"^\d{4}-\d{2}-\d{2}$"), p)
-        .when(p.rlike(r"^\d{4}-\d{2}$"), F.concat(p, F.lit("-01")))
+        .when((frequency == "M") & p.rlike(r"^\d{4}-\d{2}$"), F.concat(p, F.lit("-01")))
         .when(p.rlike(r"^\d{4}-Q[1-4]$"), quarter)
-        .when(p.rlike(r"^\d{4}$"), F.concat(p, F.lit("-01-01")))
+        .when((frequency == "A") & p.rlike(r"^\d{4}$"), F.concat(p, F.lit("-01-01")))
     )
     return F.try_to_date(text, "yyyy-MM-dd")
 

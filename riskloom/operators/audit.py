@@ -17,15 +17,16 @@ def _c(name: str) -> Column:
 
 def latest_runs(runs: DataFrame) -> DataFrame:
     """The newest run per job and target; runs without target are one group."""
-    return latest_by_key(runs, ["job_name", "target_table"], [_c("started_at").desc_nulls_last(), _c("job_run_id").desc_nulls_last()])
+    return latest_by_key(runs, ["job_name", "target_table"], [_c("started_at").desc_nulls_first(), _c("job_run_id").desc_nulls_first()])
 
 
 def run_history(runs: DataFrame) -> DataFrame:
-    """Counts of good and other runs per job and target, and when the last of each began."""
+    """Counts of good and other runs per job and target, when the last of each ended (null where none has), and when the last began and ended."""
     good = _c("status").isin(*GOOD)
     return runs.groupBy("job_name", "target_table").agg(
         F.count("*").alias("total_run_count"), F.count_if(good).alias("success_run_count"), F.count_if(~good).alias("failed_or_incomplete_run_count"),
-        F.max(F.when(good, _c("started_at"))).alias("last_success_at"), F.max(F.when(~good, _c("started_at"))).alias("last_failure_at"),
+        F.max(F.when(good, _c("finished_at"))).alias("last_success_at"), F.max(F.when(~good, _c("finished_at"))).alias("last_failure_at"),
+        F.max("started_at").alias("last_started_at"), F.max("finished_at").alias("last_finished_at"),
     )
 
 
@@ -45,8 +46,9 @@ def audit_status(runs: DataFrame) -> DataFrame:
     joined = audit_history_join(latest_runs(runs), run_history(runs))
     good = _c("status").isin(*GOOD)
     return joined.select(
-        "job_run_id", "job_name", "target_table", "status", "started_at", "finished_at", D.run_duration(_c("started_at"), _c("finished_at")).alias("duration_seconds"), "freshness_status", "snapshot_age_days",
-        "total_run_count", "success_run_count", "failed_or_incomplete_run_count", "last_success_at", "last_failure_at", good.alias("is_successful_latest_run"), (~good).alias("is_failed_or_incomplete_latest_run"),
+        "job_run_id", "job_name", "target_table", "status", "started_at", "finished_at", D.run_duration(_c("started_at"), _c("finished_at")).alias("duration_seconds"), "effective_load_date",
+        F.coalesce("freshness_status", F.lit("unknown")).alias("freshness_status"), "snapshot_age_days", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows_read", "rows_inserted")], "error_message",
+        "total_run_count", "success_run_count", "failed_or_incomplete_run_count", "last_success_at", "last_failure_at", "last_started_at", "last_finished_at", _c("last_success_at").isNotNull().alias("has_successful_run"), good.alias("is_successful_latest_run"), (~good).alias("is_failed_or_incomplete_latest_run"),
         pipeline_health(_c("status"), _c("last_success_at")).alias("pipeline_health_status"),
     )
 
@@ -87,33 +89,45 @@ def latest_loads(expected: DataFrame, audit: DataFrame) -> DataFrame:
 
 
 def inherited_freshness(model_sources: DataFrame, runs: DataFrame) -> DataFrame:
-    """A model is as fresh as the latest runs of its jobs and targets (both comma-separated lists).
+    """A model is as fresh as the newest successful runs of its sources, which are targets in comma-separated lists, as are a run's own.
 
-    Any stale one makes it stale, else any unknown or missing one unknown.
+    Any stale one makes it stale, else any unknown or missing one unknown; it is fresh only if all are.
     """
-    split = lambda c, name: F.explode(F.split(F.trim(c), r"\s*,\s*")).alias(name)
-    wanted = model_sources.distinct().select("model", "targets", split("jobs", "job_name")).select("model", "job_name", split("targets", "target_table"))
-    newest = latest_runs(runs).select("job_name", "target_table", "freshness_status", "snapshot_age_days", F.lit(True).alias("ran"))
-    each = wanted.distinct().join(newest, ["job_name", "target_table"], "left")
-    stale, fresh = F.coalesce(F.startswith("freshness_status", F.lit("stale")), F.lit(False)), F.coalesce(_c("freshness_status") == "fresh", F.lit(False))
-    status = F.when(F.count_if(stale) > 0, "stale").when(F.count_if(~fresh & ~stale) > 0, "unknown").otherwise("fresh")
+    split = lambda c: F.explode(F.split(F.trim(c), r"\s*,\s*")).alias("target_table")
+    wanted = model_sources.select("model", split("targets")).where("target_table != ''").distinct()
+    done = runs.where(_c("status").isin(*GOOD)).select(split("target_table"), "freshness_status", "snapshot_age_days", "finished_at", "started_at", "job_run_id")
+    newest = latest_by_key(done, ["target_table"], [_c("finished_at").desc_nulls_last(), _c("started_at").desc_nulls_last(), _c("job_run_id").desc_nulls_first()])
+    each = wanted.join(newest, "target_table", "left")
+    said = F.coalesce("freshness_status", F.lit("unknown"))
+    status = F.when(F.count_if(said == "stale") > 0, "stale").when(F.count_if(said != "fresh") > 0, "unknown").otherwise("fresh")
     return each.groupBy("model").agg(status.alias("freshness_status"), F.max("snapshot_age_days").alias("snapshot_age_days"), F.count("*").alias("source_count"))
 
 
-def manifest_status(files: DataFrame) -> DataFrame:
-    """Per source and load date: files that failed or not, warnings, errors, bytes, and the status that follows."""
-    failed, good = F.count_if(_c("status") == "failed"), F.count_if(_c("status") == "success")
-    warnings, errors = F.count_if(_c("check_status") == "warning"), F.count_if(_c("check_status") == "error")
-    status = F.when(good == 0, "failed").when((failed > 0) | (warnings > 0) | (errors > 0), "success_with_warnings").otherwise("success")
-    return files.groupBy("source", "load_date").agg(
-        F.count("*").alias("file_count"), good.alias("success_count"), failed.alias("failed_count"), warnings.alias("warning_count"), errors.alias("error_count"), F.sum("downloaded_bytes").alias("downloaded_bytes"), status.alias("manifest_status")
-    )
+def quality_summary(checks: DataFrame, by: str = "file_id") -> DataFrame:
+    """Checks of each file: passed, failed with severity warning, and failed otherwise."""
+    passed = F.coalesce(_c("status") == "passed", F.lit(False))
+    warning = ~passed & F.coalesce(_c("severity") == "warning", F.lit(False))
+    return checks.groupBy(by).agg(F.count_if(passed).alias("passed_count"), F.count_if(warning).alias("warning_count"), F.count_if(~passed & ~warning).alias("error_count"), F.count("*").alias("total_count"))
+
 
+def manifest_status(files: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
+    """Per source and load date: files that failed and all others, warnings and errors of their quality summaries, bytes, and the status that follows.
 
-def quality_summary(checks: DataFrame, by: str = "source") -> DataFrame:
-    """Passed, warning and failed checks per source."""
-    kinds = ("passed", "warning", "error")
-    return checks.groupBy(by).agg(*[F.count_if(_c("check_status") == k).alias(f"{k}_count") for k in kinds], F.count("*").alias("total_count"))
+    Failed files or errors leave a manifest with successes at success_with_warnings, others at failed; warnings alone at success_with_warnings.
+    ``manifests`` (source, load_date) adds those without files, which are a success.
+    """
+    key = ["source", "load_date"]
+    failed = F.coalesce(_c("status") == "failed", F.lit(False))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = files.groupBy(*key).agg(
+        F.count("*").alias("file_count"), F.count_if(~failed).alias("success_count"), F.count_if(failed).alias("failed_count"), total("warning_count").alias("warning_count"), total("error_count").alias("error_count"),
+        total("downloaded_bytes").alias("downloaded_bytes"),
+    )
+    if manifests is not None:
+        out = manifests.select(*key).distinct().join(out, key, "full").na.fill(0)
+    bad = (_c("failed_count") > 0) | (_c("error_count") > 0)
+    status = F.when(bad & (_c("success_count") > 0), "success_with_warnings").when(bad, "failed").when(_c("warning_count") > 0, "success_with_warnings").otherwise("success")
+    return out.withColumn("manifest_status", status)
 
 
 def latest_manifest(manifests: DataFrame) -> DataFrame:

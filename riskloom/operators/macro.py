@@ -36,12 +36,18 @@ def _c(name: str) -> Column:
 
 
 def stage_observations(raw: DataFrame) -> DataFrame:
-    """One cleaned row per dataset, series and period: the latest snapshot."""
-    name = X.clean_text(_c("indicator_name"))
+    """One cleaned row per dataset, series and period: the latest snapshot.
+
+    The flow stands for the dataset where there is one; codes, keys and areas are in upper case; a series is named by its full key without
+    the flow, else by its own; what a period means depends on the frequency.
+    """
+    name, upper = X.clean_text(_c("indicator_name")), lambda c: X.clean_text(_c(c), "upper")
+    flow, frequency = F.coalesce(upper("dataflow"), upper("dataset_code")), F.coalesce(upper("freq"), upper("frequency"))
+    area = X.effective_area(_c("ref_area"), flow)
     rows = raw.select(
-        "raw_id", "source_load_date", X.clean_text(_c("dataset_code")).alias("dataset_code"), X.clean_text(_c("series_key")).alias("series_key"), name.alias("indicator_name"),
-        X.indicator_slug(name).alias("indicator_code"), X.effective_area(_c("ref_area"), _c("dataflow")).alias("ref_area"), X.area_name(X.effective_area(_c("ref_area"), _c("dataflow"))).alias("reference_area_name"), X.clean_text(_c("time_period")).alias("time_period"),
-        D.period_to_date(_c("time_period")).alias("obs_date"), D.guarded_decimal(_c("obs_value")).cast("double").alias("obs_value"),
+        "raw_id", "source_load_date", flow.alias("dataset_code"), X.strip_series_prefix(X.clean_text(_c("ecb_key")), flow, upper("series_key")).alias("series_key"), name.alias("indicator_name"),
+        X.indicator_slug(name).alias("indicator_code"), frequency.alias("frequency"), upper("unit").alias("unit"), area.alias("ref_area"), X.area_name(area).alias("reference_area_name"), X.clean_text(_c("time_period")).alias("time_period"),
+        D.period_to_date(_c("time_period"), frequency).alias("obs_date"), D.guarded_decimal(_c("obs_value")).cast("double").alias("obs_value"),
     )
     return latest_by_key(rows, ["dataset_code", "series_key", "time_period"], [_c("source_load_date").desc_nulls_last(), _c("raw_id").desc_nulls_last()])
 

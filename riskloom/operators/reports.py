@@ -10,6 +10,7 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
+TIER_COUNTS = ("total_sanctions_match_count", "high_confidence_match_count", "medium_confidence_match_count", "review_required_match_count")
 TIERS = ("high", "medium", "review", "low_or_no_known_match")
 
 
@@ -26,8 +27,8 @@ def risk_tier_distribution(risk: DataFrame) -> DataFrame:
 
 def top_risk_entities(risk: DataFrame, k: int = 25) -> DataFrame:
     """The matched entities of highest score; each task keeps k, nothing is sorted whole."""
-    shown = risk.where("has_sanctions_match").select("lei", "legal_name", "country", "risk_score", "risk_tier", "total_sanctions_match_count")
-    return shown.orderBy(_c("risk_score").desc(), _c("total_sanctions_match_count").desc(), "legal_name", "lei").limit(k)
+    shown = risk.where("risk_tier != 'low_or_no_known_match'").select("lei", "legal_name_normalized", "country", "entity_status", "registration_status", "risk_score", "risk_tier", *TIER_COUNTS, "source_entity_keys")
+    return shown.orderBy(_c("risk_score").desc(), _c("total_sanctions_match_count").desc(), _c("legal_name_normalized").asc_nulls_last(), "lei").limit(k)
 
 
 def search_entities(master: DataFrame, risk: DataFrame, term: str, k: int = 50) -> DataFrame:
@@ -37,9 +38,10 @@ def search_entities(master: DataFrame, risk: DataFrame, term: str, k: int = 50)
     starts = lambda c: F.startswith(F.lower(c), F.lit(said))
     rank = F.when(starts(_c("lei")), 1).when(starts(_c("legal_name_normalized")), 2).when(starts(_c("legal_name")), 3).otherwise(4)
     hits = master.where(F.lit(len(said) >= 2) & (like(_c("lei")) | like(_c("legal_name")) | like(_c("legal_name_normalized"))))
-    out = hits.select("entity_candidate_id", "lei", "legal_name", "country", rank.alias("hit_rank")).join(risk.select("entity_candidate_id", "risk_score", "risk_tier"), "entity_candidate_id", "left")
-    out = out.withColumn("risk_score", F.coalesce("risk_score", F.lit(0)))
-    return out.orderBy("hit_rank", _c("risk_score").desc(), "legal_name", "lei").limit(k)
+    shown = ["entity_candidate_id", "lei", "legal_name_normalized", "country", "entity_status", "registration_status", "legal_jurisdiction"]
+    out = hits.select(*shown, rank.alias("hit_rank")).join(risk.select("entity_candidate_id", "risk_score", "risk_tier", *TIER_COUNTS), "entity_candidate_id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit("low_or_no_known_match" if c == "risk_tier" else 0)) for c in ("risk_score", "risk_tier", *TIER_COUNTS)})
+    return out.orderBy("hit_rank", _c("risk_score").desc(), _c("total_sanctions_match_count").desc(), _c("legal_name_normalized").asc_nulls_last(), "lei").limit(k)
 
 
 def entity_profile(master: DataFrame, risk: DataFrame) -> DataFrame:

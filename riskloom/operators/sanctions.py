@@ -80,25 +80,30 @@ def entity_candidates(lei: DataFrame) -> DataFrame:
     )
 
 
-def fallback_name_key(name_id: Column, subject_key: Column, normalized: Column) -> Column:
-    """The list's own name id, else a hash of subject and name."""
-    return F.coalesce(name_id.cast("string"), X.md5_key(subject_key, normalized, null_slot=True))
-
-
-def stage_fsf(raw: DataFrame) -> DataFrame:
-    """Cleaned rows of the EU list; a subject has as many as it has names, addresses and so on."""
-    normalized = X.normalize_name(_c("whole_name"))
-    subject = F.concat(F.lit("fsf-"), _c("entity_logical_id").cast("string"))
-    return raw.where("entity_logical_id is not null").select(
-        "raw_id", "entity_logical_id", subject.alias("subject_key"), X.normalize_identifier(_c("eu_reference_number")).alias("eu_reference_number"), X.clean_text(_c("subject_type"), "lower").alias("subject_type"),
-        "name_alias_logical_id", X.clean_text(_c("whole_name")).alias("whole_name"), normalized.alias("name_normalized"), fallback_name_key(_c("name_alias_logical_id"), subject, normalized).alias("name_key"),
-        X.clean_text(_c("programme"), "upper").alias("programme"), X.clean_text(_c("regulation_type")).alias("regulation_type"), X.clean_text(_c("regulation_title")).alias("regulation_title"),
-        D.iso_date_prefix(_c("publication_date_raw")).alias("publication_date"), "address_logical_id", "birth_date_logical_id",
-    )
+def fallback_name_key(name_id: Column, reference: Column, entity: Column, normalized: Column) -> Column:
+    """The list's own name id, else a hash of the subject's reference, its number and the name, as far as they are there."""
+    return F.coalesce(name_id.cast("string"), X.md5_key(reference, entity, normalized))
+
+
+#: What columns of a packed row are called afterwards; the others keep their names.
+FSF_NAMES = {
+    "entity_eu_reference_number": "eu_reference_number", "entity_subject_type_classification_code": "subject_type", "name_alias_whole_name": "whole_name", "entity_regulation_programme": "programme",
+    "entity_regulation_type": "regulation_type", "entity_regulation_number_title": "regulation_title", "entity_regulation_publication_date": "publication_date", "entity_regulation_publication_url": "regulation_url",
+}
+
+
+def stage_fsf(raw: DataFrame, json: str = "raw_row") -> DataFrame:
+    """Typed columns of the EU list's packed rows; a subject has as many rows as it has names, addresses and so on.
+
+    A subject is known by its EU reference, else by its number.
+    """
+    rows = extract_json_row(raw, json).withColumnsRenamed(FSF_NAMES).where("entity_logical_id is not null")
+    reference, entity, normalized = _c("eu_reference_number"), _c("entity_logical_id").cast("string"), X.normalize_name(_c("whole_name"))
+    return rows.withColumns({"subject_key": F.coalesce(reference, entity), "name_normalized": normalized, "name_key": fallback_name_key(_c("name_alias_logical_id"), reference, entity, normalized)})
 
 
 def _fsf_latest() -> list[Column]:
-    return [_c("publication_date").desc_nulls_last(), _c("raw_id").desc_nulls_last()]
+    return [_c("source_load_date").desc_nulls_first(), _c("publication_date").desc_nulls_last(), _c("raw_id").desc_nulls_first()]
 
 
 def canonical_fsf_subject(fsf: DataFrame) -> DataFrame:
@@ -111,24 +116,28 @@ def canonical_fsf_name(fsf: DataFrame) -> DataFrame:
     return latest_by_key(fsf.where("name_normalized is not null"), ["subject_key", "name_key"], _fsf_latest())
 
 
-def _rollup(fsf: DataFrame, keys: list[str]) -> DataFrame:
+def _rollup(fsf: DataFrame, keys: list[str], counted: dict[str, str]) -> DataFrame:
     # Sets, which are small here, instead of several distinct counts, for which Spark would multiply the rows.
     distinct = lambda c: F.size(F.collect_set(c)).cast("long")
     return fsf.groupBy(*keys).agg(
         string_agg_distinct(_c("programme")).alias("programmes"), string_agg_distinct(_c("regulation_type")).alias("regulation_types"), string_agg_distinct(_c("regulation_title")).alias("regulation_titles"),
         F.min("publication_date").alias("first_publication_date"), F.max("publication_date").alias("last_publication_date"), F.count("*").alias("source_row_count"),
-        distinct("name_key").alias("name_count"), distinct("address_logical_id").alias("address_count"), distinct("birth_date_logical_id").alias("birth_date_count"),
+        *[distinct(c).alias(name) for name, c in counted.items()],
     )
 
 
+#: What is counted of a subject.
+FSF_COUNTS = {f"{c}_count": f"{c}_logical_id" for c in ("name_alias", "address", "birth_date", "identification", "citizenship")}
+
+
 def fsf_subject_rollup(fsf: DataFrame) -> DataFrame:
-    """Programmes, lists, dates and counts per subject."""
-    return _rollup(fsf, ["subject_key"])
+    """Programmes, lists, dates and five counts per subject."""
+    return _rollup(fsf, ["subject_key"], FSF_COUNTS)
 
 
 def fsf_name_rollup(fsf: DataFrame) -> DataFrame:
-    """The same per name of a subject."""
-    return _rollup(fsf.where("name_normalized is not null"), ["subject_key", "name_key"])
+    """Programmes, lists and dates per name of a subject."""
+    return _rollup(fsf.where("name_normalized is not null"), ["subject_key", "name_key"], {})
 
 
 def canonical_plus_rollup(canonical: DataFrame, rollup: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,24 +146,27 @@ def canonical_plus_rollup(canonical: DataFrame, rollup: DataFrame, keys: list[st
 
 
 def stage_targets(raw: DataFrame) -> DataFrame:
-    """Cleaned rows of the second list."""
-    cleaned = ["caption", "aliases", "countries", "identifiers", "sanctions", "program_ids"]
+    """Cleaned rows of the second list: countries and programmes in upper case, mail and datasets in lower; sanctions that are quotes alone are none."""
+    text = ("caption", "aliases", "birth_date", "addresses", "identifiers", "phones")
+    content = ("id", "schema", "caption", "aliases", "birth_date", "countries", "addresses", "identifiers", "sanctions", "phones", "emails", "program_ids", "datasets", "first_seen", "last_seen", "last_change")
     return raw.where(F.trim("id") != "").select(
-        "raw_id", "source_load_date", X.clean_text(_c("id")).alias("target_id"), X.clean_text(_c("schema"), "lower").alias("schema"),
-        *[X.quote_only_to_null(X.clean_text(_c(c))).alias(c) for c in cleaned], X.normalize_name(_c("caption")).alias("caption_normalized"),
-        D.strict_iso_timestamp(_c("last_change")).alias("last_change"), X.row_hash_md5(*map(_c, cleaned)).alias("row_hash"),
+        "raw_id", "source_load_date", X.clean_text(_c("id")).alias("target_id"), X.clean_text(_c("schema"), "lower").alias("schema"), *[X.clean_text(_c(c)).alias(c) for c in text],
+        *[X.clean_text(_c(c), "upper").alias(c) for c in ("countries", "program_ids")], *[X.clean_text(_c(c), "lower").alias(c) for c in ("emails", "datasets")],
+        X.quote_only_to_null(X.clean_text(_c("sanctions"))).alias("sanctions"), X.normalize_name(_c("caption")).alias("caption_normalized"), X.normalize_name(_c("aliases")).alias("aliases_normalized"),
+        X.normalize_identifier(_c("identifiers")).alias("identifiers_normalized"), *[D.strict_iso_timestamp(F.trim(c)).alias(c) for c in ("first_seen", "last_seen", "last_change")],
+        X.row_hash_md5(*[F.trim(c) for c in content]).alias("row_hash"),
     )
 
 
 def canonical_targets(targets: DataFrame) -> DataFrame:
-    """The latest row of each target: by load, then change, then raw id."""
-    return latest_by_key(targets, ["target_id"], [_c("source_load_date").desc_nulls_first(), _c("last_change").desc_nulls_last(), _c("raw_id").desc_nulls_last()])
+    """The latest row of each target that has a caption: by load, then change, then raw id."""
+    return latest_by_key(targets.where("caption is not null"), ["target_id"], [_c("source_load_date").desc_nulls_first(), _c("last_change").desc_nulls_last(), _c("raw_id").desc_nulls_last()])
 
 
 def explode_aliases(df: DataFrame, column: str = "aliases") -> DataFrame:
-    """One row per alias of a ``;``-list: its place from 1, without quotes; blanks left out."""
+    """One row per alias of a ``;``-list: its place from 1, without any quotes; blanks left out."""
     out = df.select("*", F.posexplode(F.split(column, r"\s*;\s*")).alias("_at", "_alias")).withColumn("alias_position", _c("_at") + 1)
-    out = out.withColumn("alias_name", X.clean_text(F.btrim(_c("_alias"), F.lit('" ')))).withColumn("alias_normalized", X.normalize_name(_c("alias_name")))
+    out = out.withColumn("alias_name", X.clean_text(F.replace(_c("_alias"), F.lit('"'), F.lit("")))).withColumn("alias_normalized", X.normalize_name(_c("alias_name")))
     return out.where("alias_normalized is not null").drop("_at", "_alias")
 
 
@@ -178,13 +190,13 @@ def _null(kind: str = "string") -> Column:
 def unify_subjects(fsf: DataFrame, targets: DataFrame) -> DataFrame:
     """Subjects of both lists in one shape; ``fsf`` is canonical_plus_rollup of the subjects."""
     left = fsf.select(
-        F.lit("eu_fsf").alias("sanctions_source"), _c("subject_key").alias("source_subject_id"), _c("subject_type").alias("sanctions_entity_type"), _c("whole_name").alias("primary_name"),
+        F.lit("eu_fsf").alias("sanctions_source"), _c("subject_key").alias("source_subject_id"), _c("subject_type").alias("sanctions_entity_type"), _null().alias("primary_name"),
         _null().alias("source_countries"), _c("eu_reference_number").alias("source_identifiers"), _c("programmes").alias("source_programs"), _c("regulation_types").alias("source_lists"),
-        _c("regulation_titles").alias("source_sanction_context"), _c("last_publication_date").alias("source_date"),
+        _c("regulation_titles").alias("source_sanction_context"), _c("source_load_date").alias("source_date"),
     )
     right = targets.select(
         F.lit("opensanctions").alias("sanctions_source"), _c("target_id").alias("source_subject_id"), _c("schema").alias("sanctions_entity_type"), _c("caption").alias("primary_name"),
-        _c("countries").alias("source_countries"), _c("identifiers").alias("source_identifiers"), _c("program_ids").alias("source_programs"), _null().alias("source_lists"),
+        _c("countries").alias("source_countries"), _c("identifiers").alias("source_identifiers"), _c("program_ids").alias("source_programs"), _c("datasets").alias("source_lists"),
         _c("sanctions").alias("source_sanction_context"), _c("source_load_date").alias("source_date"),
     )
     return left.unionByName(right).withColumn("sanction_subject_id", X.md5_key(_c("sanctions_source"), _c("source_subject_id")))

@@ -52,7 +52,7 @@ class Inputs:
 
     @cached_property
     def fsf(self) -> DataFrame:
-        return settle(S.stage_fsf(self.raw("raw_fsf")))  # read by the picks and rollups of subjects and of names
+        return settle(S.stage_fsf(_packed(self)))  # parsed once, read by the picks and rollups of subjects and of names
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -141,7 +141,8 @@ class Inputs:
 
     @cached_property
     def manifests(self) -> DataFrame:
-        return A.manifest_status(self.raw("manifest_files"))
+        files = self.raw("manifest_files")
+        return A.manifest_status(files.join(A.quality_summary(self.raw("manifest_checks")), "file_id", "left"))
 
 
 def _landed(i: Inputs, name: str) -> str:
@@ -180,15 +181,16 @@ PACKED = {
     "Entity_LogicalId": "entity_logical_id", "Entity_EU_ReferenceNumber": "eu_reference_number", "Entity_SubjectType_ClassificationCode": "subject_type", "NameAlias_LogicalId": "name_alias_logical_id",
     "NameAlias_WholeName": "whole_name", "Entity_Regulation_Programme": "programme", "Entity_Regulation_Type": "regulation_type", "Entity_Regulation_NumberTitle": "regulation_title",
     "Entity_Regulation_PublicationDate": "publication_date_raw", "Address_LogicalId": "address_logical_id", "BirthDate_LogicalId": "birth_date_logical_id",
+    "Identification_LogicalId": "identification_logical_id", "Citizenship_LogicalId": "citizenship_logical_id", "Address_CountryIso2Code": "address_country", "Address_City": "address_city",
 }
 
 
 def _packed(i: Inputs) -> DataFrame:
-    return i.raw("raw_fsf").select("raw_id", F.to_json(F.struct(*[c(x).cast("string").alias(k) for k, x in PACKED.items()])).alias("raw_row"))
+    return i.raw("raw_fsf").select("raw_id", "source_load_date", F.to_json(F.struct(*[c(x).cast("string").alias(k) for k, x in PACKED.items()])).alias("raw_row"))
 
 
 def _fsf_columns(i: Inputs) -> DataFrame:
-    return S.extract_json_row(_packed(i))
+    return S.extract_json_row(_packed(i).drop("source_load_date"))
 
 
 def _periods(i: Inputs, *cols) -> DataFrame:
@@ -245,7 +247,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "risk_join": lambda i: S.risk_join(i.master, i.summary).select("entity_candidate_id", *S.COUNTS, "max_match_quality_score"),
     "relationship_context": lambda i: H.relationship_context(i.master, i.edges, i.paths),
     "macro_context": lambda i: M.macro_context(i.candidates, M.macro_summary(i.pressure)),
-    "audit_history_join": lambda i: A.audit_history_join(A.latest_runs(i.runs), A.run_history(i.runs)).select("job_run_id", "job_name", "target_table", "total_run_count", "last_success_at"),
+    "audit_history_join": lambda i: A.audit_history_join(A.latest_runs(i.runs), A.run_history(i.runs)).select("job_run_id", "job_name", "target_table", "total_run_count", "last_success_at", "last_failure_at", "last_started_at", "last_finished_at"),
     "expected_tables_status": lambda i: A.expected_tables_status(i.raw("expected_tables"), i.audit),
     "latest_loads": lambda i: A.latest_loads(i.raw("expected_tables"), i.audit),
     "entity_profile": lambda i: P.entity_profile(i.master, i.risk),
@@ -271,7 +273,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "pipeline_metrics": lambda i: A.pipeline_metrics(A.expected_tables_status(i.raw("expected_tables"), i.audit)),
     "inherited_freshness": lambda i: A.inherited_freshness(i.raw("model_sources"), i.runs),
     "manifest_status": lambda i: i.manifests,
-    "quality_summary": lambda i: A.quality_summary(i.raw("manifest_files")),
+    "quality_summary": lambda i: A.quality_summary(i.raw("manifest_checks")),
     "table_row_counts": lambda i: R.table_row_counts({"candidates": i.candidates, "subjects": i.subjects, "names": i.names, "edges": i.edges}),
     "check_unique": lambda i: R.check_unique(i.raw("raw_entities"), "legal_name"),
     "check_not_null": lambda i: R.check_not_null(i.master, ["lei", "country", "direct_parent_lei", "direct_parent_name"]),
@@ -320,10 +322,10 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "flexible_date": lambda i: _periods(i, D.flexible_date(c("period"))[0].alias("year"), D.flexible_date(c("period"))[1].alias("date")),
     "safe_timestamp": lambda i: _periods(i, D.safe_timestamp(c("period")).alias("ts")),
     "strict_iso_timestamp": lambda i: _periods(i, D.strict_iso_timestamp(c("period")).alias("ts")),
-    "period_to_date": lambda i: _periods(i, D.period_to_date(c("period")).alias("date")),
+    "period_to_date": lambda i: _periods(i, D.period_to_date(c("period"), c("frequency")).alias("date")),
     "guarded_decimal": lambda i: i.raw("raw_observations").select("raw_id", D.guarded_decimal(c("obs_value")).cast("double").alias("obs_value")),
-    "strip_series_prefix": lambda i: i.raw("raw_observations").select("raw_id", X.strip_series_prefix(F.when(c("raw_id") % 5 != 0, F.concat("dataflow", F.lit("."), "series_key")), c("dataflow"), c("series_key")).alias("series_key")),
-    "effective_ref_area": lambda i: i.raw("raw_observations").select("raw_id", X.effective_area(c("ref_area"), c("dataflow")).alias("ref_area"), X.area_name(X.effective_area(c("ref_area"), c("dataflow"))).alias("reference_area_name")),
+    "strip_series_prefix": lambda i: i.raw("raw_observations").select("raw_id", X.strip_series_prefix(c("ecb_key"), F.upper("dataflow"), F.upper("series_key")).alias("series_key")),
+    "effective_ref_area": lambda i: i.raw("raw_observations").select("raw_id", X.effective_area(c("ref_area"), F.upper("dataflow")).alias("ref_area"), X.area_name(X.effective_area(c("ref_area"), F.upper("dataflow"))).alias("reference_area_name")),
     "indicator_slug": lambda i: i.raw("raw_observations").select("raw_id", X.indicator_slug(F.trim("indicator_name")).alias("indicator_code")),
     "country_fallback": lambda i: _entity(i, X.country_fallback(c("legal_address_country"), c("headquarters_address_country"), c("legal_jurisdiction")).alias("country")),
     "country_overlap": lambda i: _flagged(i, "country_overlap_status", "has_country_overlap"),

@@ -74,10 +74,18 @@ def first(keys: str, order: str) -> str:
     return f"qualify row_number() over (partition by {keys} order by {order}) = 1"
 
 
-def period(x: str) -> str:
+def period(x: str, frequency: str) -> str:
     p = f"trim({x})"
-    return rf"""case when regexp_matches({p}, '^\d{{4}}-\d{{2}}-\d{{2}}$') then try_cast({p} as date) when regexp_matches({p}, '^\d{{4}}-\d{{2}}$') then try_cast({p} || '-01' as date)
-        when regexp_matches({p}, '^\d{{4}}-Q[1-4]$') then make_date(cast(left({p}, 4) as int), (cast(right({p}, 1) as int) - 1) * 3 + 1, 1) when regexp_matches({p}, '^\d{{4}}$') then make_date(cast({p} as int), 1, 1) end"""
+    return rf"""case when {frequency} = 'M' and regexp_matches({p}, '^[0-9]{{4}}-[0-9]{{2}}$') then try_cast({p} || '-01' as date) when regexp_matches({p}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') then try_cast({p} as date)
+        when {frequency} = 'A' and regexp_matches({p}, '^[0-9]{{4}}$') then make_date(cast({p} as int), 1, 1) when regexp_matches({p}, '^[0-9]{{4}}-Q[1-4]$') then make_date(cast(left({p}, 4) as int), 3 * cast(right({p}, 1) as int) - 2, 1) end"""
+
+
+def upper(x: str) -> str:
+    return f"upper({clean(x)})"
+
+
+def lower(x: str) -> str:
+    return f"lower({clean(x)})"
 
 
 def slug(x: str) -> str:
@@ -89,7 +97,7 @@ def weight(x: str) -> str:
     return f"case {x} " + " ".join(f"when {q(code)} then {w}" for code, w in INDICATORS.values()) + " else 0 end"
 
 
-FSF_ORDER = "publication_date desc nulls last, raw_id desc"
+FSF_ORDER = "source_load_date desc, publication_date desc nulls last, raw_id desc"
 REL_ORDER = "source_load_date desc nulls first, relationship_period_start desc nulls last, last_update_date desc nulls last"
 GOOD = "('success', 'success_with_warnings')"
 SERIES = "indicator_code, ref_area, series_key"
@@ -100,10 +108,39 @@ NAME_ORDER = "is_primary_name desc, case source_name_type when 'primary_name' th
 APPLIES = f"case when country is null or trim(country) = '' then 'unknown' when {EURO} then 'applicable' else 'reduced' end"
 
 
-def rollup(keys: str) -> str:
+def rollup(keys: str, *counted: str) -> str:
+    counts = "".join(f", count(distinct {x}_logical_id) as {x}_count" for x in counted)
     return f"""select {keys}, {agg('programme')} as programmes, {agg('regulation_type')} as regulation_types, {agg('regulation_title')} as regulation_titles,
-        min(publication_date) as first_publication_date, max(publication_date) as last_publication_date, count(*) as source_row_count, count(distinct name_key) as name_count,
-        count(distinct address_logical_id) as address_count, count(distinct birth_date_logical_id) as birth_date_count from stage_fsf"""
+        min(publication_date) as first_publication_date, max(publication_date) as last_publication_date, count(*) as source_row_count{counts} from stage_fsf"""
+
+
+TARGET_CONTENT = ("id", "schema", "caption", "aliases", "birth_date", "countries", "addresses", "identifiers", "sanctions", "phones", "emails", "program_ids", "datasets", "first_seen", "last_seen", "last_change")
+
+
+def stamp(x: str) -> str:
+    return rf"case when regexp_matches(trim({x}), '^\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}$') then try_cast(trim({x}) as timestamp) end as {x}"
+
+
+#: The packed row's columns that the derived list fills, and those that it leaves empty.
+FSF_ROW = {
+    "entity_logical_id": "entity_logical_id", "entity_eu_reference_number": upper("eu_reference_number"), "entity_subject_type_classification_code": "lower(subject_type)",
+    "name_alias_logical_id": "name_alias_logical_id", "name_alias_whole_name": "trim(whole_name)", "entity_regulation_programme": "upper(programme)", "entity_regulation_type": "lower(regulation_type)",
+    "entity_regulation_number_title": "regulation_title", "entity_regulation_publication_date": "try_cast(publication_date_raw as date)", "address_logical_id": "cast(address_logical_id as bigint)",
+    "birth_date_logical_id": "birth_date_logical_id", "identification_logical_id": "identification_logical_id", "citizenship_logical_id": "citizenship_logical_id",
+    "address_country_iso2_code": upper("address_country"), "address_city": clean("address_city"),
+    **{x: "cast(null as varchar)" for x in (
+        "file_generation_date", "entity_designation_details", "entity_remark", "name_alias_first_name", "name_alias_middle_name", "name_alias_last_name", "name_alias_title", "name_alias_function",
+        "address_street", "address_zip_code", "address_country_description", "birth_date_birth_date", "birth_date_city", "identification_number", "citizenship_country_description",
+        "citizenship_remark", "citizenship_regulation_number_title", "citizenship_regulation_publication_url", "entity_regulation_publication_url", "entity_united_nation_id", "entity_subject_type",
+        "name_alias_name_language", "name_alias_gender", "birth_date_country_iso2_code", "identification_country_iso2_code", "citizenship_country_iso2_code",
+        "citizenship_regulation_programme", "identification_type_description", "citizenship_regulation_type",
+    )},
+    "birth_date_year": "cast(null as int)", "citizenship_regulation_publication_date": "cast(null as date)",
+}
+FSF_CALLED = {
+    "entity_eu_reference_number": "eu_reference_number", "entity_subject_type_classification_code": "subject_type", "name_alias_whole_name": "whole_name", "entity_regulation_programme": "programme",
+    "entity_regulation_type": "regulation_type", "entity_regulation_number_title": "regulation_title", "entity_regulation_publication_date": "publication_date", "entity_regulation_publication_url": "regulation_url",
+}
 
 
 #: In order; each may use the ones before and the derived inputs.
@@ -119,29 +156,28 @@ STEPS: dict[str, str] = {
         {first('lei', 'source_load_date desc, raw_id desc')}""",
     "entity_candidates": f"""select {md5("'gleif'", 'lei')} as entity_candidate_id, 'gleif' as candidate_source, lei as candidate_source_id, lei, legal_name, legal_name_normalized, entity_status,
         registration_status, legal_jurisdiction, legal_address_country, headquarters_address_country, {COUNTRY} as country, source_load_date from stage_lei where legal_name is not null""",
-    "stage_fsf": f"""select *, coalesce(cast(name_alias_logical_id as varchar), {md5('subject_key', 'name_normalized', slots=True)}) as name_key from (
-        select raw_id, entity_logical_id, 'fsf-' || cast(entity_logical_id as varchar) as subject_key, {norm('eu_reference_number', 'upper')} as eu_reference_number, lower({clean('subject_type')}) as subject_type,
-        name_alias_logical_id, {clean('whole_name')} as whole_name, {norm('whole_name')} as name_normalized, upper({clean('programme')}) as programme, {clean('regulation_type')} as regulation_type,
-        {clean('regulation_title')} as regulation_title, {iso('publication_date_raw')} as publication_date, address_logical_id, birth_date_logical_id from raw_fsf where entity_logical_id is not null)""",
+    "stage_fsf": f"""select *, coalesce(cast(name_alias_logical_id as varchar), {md5('eu_reference_number', 'cast(entity_logical_id as varchar)', 'name_normalized')}) as name_key from (
+        select *, coalesce(eu_reference_number, cast(entity_logical_id as varchar)) as subject_key, {norm('whole_name')} as name_normalized from (
+        select raw_id, source_load_date, {', '.join(f"{sql} as {FSF_CALLED.get(name, name)}" for name, sql in FSF_ROW.items())} from raw_fsf where entity_logical_id is not null))""",
     "fsf_subject_one": f"select * from stage_fsf {first('subject_key', FSF_ORDER)}",
     "fsf_name_one": f"select * from stage_fsf where name_normalized is not null {first('subject_key, name_key', FSF_ORDER)}",
-    "fsf_subject_rollup": rollup("subject_key") + " group by subject_key",
+    "fsf_subject_rollup": rollup("subject_key", "name_alias", "address", "birth_date", "identification", "citizenship") + " group by subject_key",
     "fsf_name_rollup": rollup("subject_key, name_key") + " where name_normalized is not null group by subject_key, name_key",
     "canonical_plus_rollup": "select * from fsf_subject_one left join fsf_subject_rollup using (subject_key)",
-    "stage_targets": "select raw_id, source_load_date, " + clean("id") + " as target_id, lower(" + clean("schema") + ") as schema, "
-    + ", ".join(f"{unquoted(clean(x))} as {x}" for x in ("caption", "aliases", "countries", "identifiers", "sanctions", "program_ids")) + f", {norm('caption')} as caption_normalized, "
-    + r"case when regexp_matches(last_change, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$') then try_cast(last_change as timestamp) end as last_change, "
-    + md5("caption", "aliases", "countries", "identifiers", "sanctions", "program_ids", slots=True) + " as row_hash from raw_targets where trim(id) <> ''",
-    "canonical_targets": f"select * from stage_targets {first('target_id', 'source_load_date desc, last_change desc nulls last, raw_id desc')}",
-    "os_aliases": rf"""select target_id, caption_normalized, pos, {clean("trim(alias, ' ' || chr(34))")} as name from (select target_id, caption_normalized,
+    "stage_targets": f"""select raw_id, source_load_date, {clean('id')} as target_id, {lower('schema')} as schema, {', '.join(f'{clean(x)} as {x}' for x in ('caption', 'aliases', 'birth_date', 'addresses', 'identifiers', 'phones'))},
+        {upper('countries')} as countries, {upper('program_ids')} as program_ids, {lower('emails')} as emails, {lower('datasets')} as datasets, {unquoted(clean('sanctions'))} as sanctions, {norm('caption')} as caption_normalized,
+        {norm('aliases')} as aliases_normalized, {norm('identifiers', 'upper')} as identifiers_normalized, {stamp('first_seen')}, {stamp('last_seen')}, {stamp('last_change')},
+        {md5(*[f'trim({x})' for x in TARGET_CONTENT], slots=True)} as row_hash from raw_targets where trim(id) <> ''""",
+    "canonical_targets": f"select * from stage_targets where caption is not null {first('target_id', 'source_load_date desc, last_change desc nulls last, raw_id desc')}",
+    "os_aliases": rf"""select target_id, caption_normalized, pos, {clean("replace(alias, chr(34), '')")} as name from (select target_id, caption_normalized,
         unnest(regexp_split_to_array(aliases, '\s*;\s*')) as alias, unnest(range(1, len(regexp_split_to_array(aliases, '\s*;\s*')) + 1)) as pos from canonical_targets where aliases is not null)""",
     "opensanctions_names": f"""select * from (select target_id, 'primary_name' as name_type, 0 as position, caption as name, caption_normalized as name_normalized from canonical_targets where caption_normalized is not null
         union all select target_id, 'alias_name', cast(pos as int), name, {norm('name')} from os_aliases where {norm('name')} is not null and {norm('name')} is distinct from caption_normalized)
         {first('target_id, name_type, name_normalized', 'position, name')}""",
     "unify_subjects": f"""select *, {md5('sanctions_source', 'source_subject_id')} as sanction_subject_id from (
-        select 'eu_fsf' as sanctions_source, subject_key as source_subject_id, subject_type as sanctions_entity_type, whole_name as primary_name, cast(null as varchar) as source_countries,
-        eu_reference_number as source_identifiers, programmes as source_programs, regulation_types as source_lists, regulation_titles as source_sanction_context, last_publication_date as source_date from canonical_plus_rollup
-        union all select 'opensanctions', target_id, schema, caption, countries, identifiers, program_ids, null, sanctions, source_load_date from canonical_targets)""",
+        select 'eu_fsf' as sanctions_source, subject_key as source_subject_id, subject_type as sanctions_entity_type, cast(null as varchar) as primary_name, cast(null as varchar) as source_countries,
+        eu_reference_number as source_identifiers, programmes as source_programs, regulation_types as source_lists, regulation_titles as source_sanction_context, source_load_date as source_date from canonical_plus_rollup
+        union all select 'opensanctions', target_id, schema, caption, countries, identifiers, program_ids, datasets, sanctions, source_load_date from canonical_targets)""",
     "unify_names": f"""select n.*, {key('sanctions_name')} as sanctions_name_match_key, regexp_matches(sanctions_name, '[^ -~]') as has_non_ascii,
         {md5('n.sanctions_source', 'n.source_subject_id', 'source_name_id')} as sanctions_name_id, s.sanction_subject_id, s.sanctions_entity_type from (
         select 'eu_fsf' as sanctions_source, subject_key as source_subject_id, 'name_alias' as source_name_type, false as is_primary_name, name_key as source_name_id, whole_name as sanctions_name from fsf_name_one
@@ -222,10 +258,11 @@ STEPS: dict[str, str] = {
         when s.review_required_match_count > 0 then 'review_required_sanctions_match' else 'no_known_sanctions_match' end as risk_reasons,
         'total_matches=' || coalesce(s.total_sanctions_match_count, 0) || '; high=' || coalesce(s.high_confidence_match_count, 0) || '; medium=' || coalesce(s.medium_confidence_match_count, 0) || '; review=' || coalesce(s.review_required_match_count, 0) as match_tier_summary,
         greatest(e.source_load_date, coalesce(s.sanctions_source_load_date, e.source_load_date)) as risk_load_date from entity_master e left join sanctions_summary s on s.entity_candidate_id = e.entity_candidate_id""",
-    "stage_observations": f"""select raw_id, source_load_date, {clean('dataset_code')} as dataset_code, {clean('series_key')} as series_key, {clean('indicator_name')} as indicator_name, {slug(clean('indicator_name'))} as indicator_code,
-        coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) as ref_area,
-        case coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) when 'U2' then 'Euro area' else coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) end as reference_area_name, {clean('time_period')} as time_period, {period('time_period')} as obs_date,
-        case when regexp_matches(trim(obs_value), '^-?\\d+(\\.\\d+)?$') then cast(trim(obs_value) as double) end as obs_value from raw_observations
+    "stage_observations": f"""select raw_id, source_load_date, flow as dataset_code, case when starts_with(full_key, flow || '.') then substr(full_key, length(flow) + 2) else own_key end as series_key, indicator_name,
+        {slug('indicator_name')} as indicator_code, frequency, unit, area as ref_area, case area when 'U2' then 'Euro area' else area end as reference_area_name, time_period, {period('time_period', 'frequency')} as obs_date,
+        case when regexp_matches(trim(obs_value), '^-?[0-9]+([.][0-9]+)?$') then cast(trim(obs_value) as double) end as obs_value from (select *, coalesce(said_area, case when flow = 'EST' then 'U2' end) as area from (
+        select raw_id, source_load_date, coalesce({upper('dataflow')}, {upper('dataset_code')}) as flow, {upper('ecb_key')} as full_key, {upper('series_key')} as own_key, {clean('indicator_name')} as indicator_name,
+        coalesce({upper('freq')}, {upper('frequency')}) as frequency, {upper('unit')} as unit, {upper('ref_area')} as said_area, {clean('time_period')} as time_period, obs_value from raw_observations))
         {first('dataset_code, series_key, time_period', 'source_load_date desc nulls last, raw_id desc')}""",
     "ts": f"""select *, obs_value - previous_obs_value as change_abs, case when previous_obs_value <> 0 then (obs_value - previous_obs_value) / abs(previous_obs_value) end as change_pct, recency_rank = 1 as is_latest_observation from (
         select *, lag(obs_value) over w as previous_obs_value, lag(obs_date) over w as previous_obs_date, avg(obs_value) over (w rows between 2 preceding and current row) as rolling_avg_3_obs,
@@ -257,39 +294,30 @@ STEPS: dict[str, str] = {
         case a.macro_context_applicability when 'applicable' then s.macro_pressure_summary
         when 'reduced' then 'ECB macro indicators are shown with reduced applicability for this entity because its jurisdiction is outside the euro area.'
         else 'ECB macro indicators are shown as general context because applicability could not be determined.' end as entity_macro_context_summary from macro_applicability a, macro_summary s""",
-    "latest_all": f"select * from runs {first('job_name, target_table', 'started_at desc nulls last, job_run_id desc')}",
-    "wanted_runs": "select distinct model, job_name, trim(t) as target_table from (select model, unnest(string_split(jobs, ',')) as job_name, targets from model_sources), unnest(string_split(targets, ',')) u(t)",
+    "latest_all": f"select * from runs {first('job_name, target_table', 'started_at desc nulls first, job_run_id desc')}",
+    "wanted_sources": "select distinct model, trim(u.t) as target_table from model_sources, unnest(string_split(targets, ',')) u(t)",
+    "done_runs": f"""select * from (select trim(u.t) as part, r.* from runs r, unnest(string_split(r.target_table, ',')) u(t) where r.status in {GOOD})
+        {first('part', 'finished_at desc nulls last, started_at desc nulls last, job_run_id desc')}""",
     "run_history": f"""select job_name, target_table, count(*) as total_run_count, count(*) filter (where status in {GOOD}) as success_run_count, count(*) filter (where status not in {GOOD}) as failed_or_incomplete_run_count,
-        max(started_at) filter (where status in {GOOD}) as last_success_at, max(started_at) filter (where status not in {GOOD}) as last_failure_at from runs group by job_name, target_table""",
-    "audit": f"""select l.job_run_id, l.job_name, l.target_table, l.status, l.started_at, l.finished_at, cast(round((epoch_us(l.finished_at) - epoch_us(l.started_at)) / 1000000.0) as int) as duration_seconds, l.freshness_status,
-        l.snapshot_age_days, h.total_run_count, h.success_run_count, h.failed_or_incomplete_run_count, h.last_success_at, h.last_failure_at, l.status in {GOOD} as is_successful_latest_run, l.status not in {GOOD} as is_failed_or_incomplete_latest_run,
+        max(finished_at) filter (where status in {GOOD}) as last_success_at, max(finished_at) filter (where status not in {GOOD}) as last_failure_at, max(started_at) as last_started_at, max(finished_at) as last_finished_at
+        from runs group by job_name, target_table""",
+    "audit": f"""select l.job_run_id, l.job_name, l.target_table, l.status, l.started_at, l.finished_at, cast(round((epoch_us(l.finished_at) - epoch_us(l.started_at)) / 1000000.0) as int) as duration_seconds, l.effective_load_date,
+        coalesce(l.freshness_status, 'unknown') as freshness_status, l.snapshot_age_days, coalesce(l.rows_read, 0) as rows_read, coalesce(l.rows_inserted, 0) as rows_inserted, l.error_message,
+        h.* exclude (job_name, target_table), h.last_success_at is not null as has_successful_run, l.status in {GOOD} as is_successful_latest_run, l.status not in {GOOD} as is_failed_or_incomplete_latest_run,
         case when l.status in {GOOD} then 'healthy' when h.last_success_at is not null then 'latest_failed_previous_success_available' else 'not_healthy' end as pipeline_health_status
         from latest_all l left join run_history h on h.job_name = l.job_name and h.target_table is not distinct from l.target_table""",
     "worst": f"select * from audit {first('target_table', SEVERITY + ', is_failed_or_incomplete_latest_run desc, started_at desc, job_run_id desc')}",
     "expected_tables_status": """select e.target_table, e.display_name, e.sort_order, w.job_name, w.status, coalesce(w.pipeline_health_status, 'missing_run') as pipeline_health_status, coalesce(w.freshness_status, 'unknown') as freshness_status,
         coalesce(w.total_run_count, 0) as total_run_count, coalesce(w.is_successful_latest_run, false) as is_successful_latest_run, coalesce(w.is_failed_or_incomplete_latest_run, false) as is_failed_or_incomplete_latest_run
         from expected_tables e left join worst w on w.target_table = e.target_table where e.is_active""",
-    "manifest_status": """select source, load_date, count(*) as file_count, count(*) filter (where status = 'success') as success_count, count(*) filter (where status = 'failed') as failed_count,
-        count(*) filter (where check_status = 'warning') as warning_count, count(*) filter (where check_status = 'error') as error_count, sum(downloaded_bytes) as downloaded_bytes,
-        case when count(*) filter (where status = 'success') = 0 then 'failed' when count(*) filter (where status = 'failed') > 0 or count(*) filter (where check_status in ('warning', 'error')) > 0 then 'success_with_warnings' else 'success' end as manifest_status
-        from manifest_files group by source, load_date""",
+    "quality_summary": """select file_id, count(*) filter (where status = 'passed') as passed_count, count(*) filter (where status <> 'passed' and coalesce(severity, '') = 'warning') as warning_count,
+        count(*) filter (where status <> 'passed' and coalesce(severity, '') <> 'warning') as error_count, count(*) as total_count from manifest_checks group by file_id""",
+    "manifest_status": """select *, case when failed_count + error_count > 0 then case when success_count > 0 then 'success_with_warnings' else 'failed' end when warning_count > 0 then 'success_with_warnings' else 'success' end as manifest_status from (
+        select source, load_date, count(*) as file_count, count(*) - count(*) filter (where status = 'failed') as success_count, count(*) filter (where status = 'failed') as failed_count,
+        cast(coalesce(sum(warning_count), 0) as bigint) as warning_count, cast(coalesce(sum(error_count), 0) as bigint) as error_count, cast(sum(downloaded_bytes) as bigint) as downloaded_bytes
+        from manifest_files left join quality_summary using (file_id) group by source, load_date)""",
 }
 
-#: The packed row's columns that the derived list fills, and those that it leaves empty.
-FSF_ROW = {
-    "entity_logical_id": "entity_logical_id", "entity_eu_reference_number": "upper(eu_reference_number)", "entity_subject_type_classification_code": "lower(subject_type)",
-    "name_alias_logical_id": "name_alias_logical_id", "name_alias_whole_name": "trim(whole_name)", "entity_regulation_programme": "upper(programme)", "entity_regulation_type": "lower(regulation_type)",
-    "entity_regulation_number_title": "regulation_title", "entity_regulation_publication_date": "try_cast(publication_date_raw as date)", "address_logical_id": "cast(address_logical_id as bigint)",
-    "birth_date_logical_id": "birth_date_logical_id",
-    **{x: "cast(null as varchar)" for x in (
-        "file_generation_date", "entity_designation_details", "entity_remark", "name_alias_first_name", "name_alias_middle_name", "name_alias_last_name", "name_alias_title", "name_alias_function",
-        "address_street", "address_city", "address_zip_code", "address_country_description", "birth_date_birth_date", "birth_date_city", "identification_number", "citizenship_country_description",
-        "citizenship_remark", "citizenship_regulation_number_title", "citizenship_regulation_publication_url", "entity_regulation_publication_url", "entity_united_nation_id", "entity_subject_type",
-        "name_alias_name_language", "name_alias_gender", "address_country_iso2_code", "birth_date_country_iso2_code", "identification_country_iso2_code", "citizenship_country_iso2_code",
-        "citizenship_regulation_programme", "identification_type_description", "citizenship_regulation_type",
-    )},
-    "identification_logical_id": "cast(null as bigint)", "citizenship_logical_id": "cast(null as bigint)", "birth_date_year": "cast(null as int)", "citizenship_regulation_publication_date": "cast(null as date)",
-}
 MATCH = "entity_candidate_id, sanction_subject_id, match_key"
 OBS = "indicator_code, ref_area, series_key, obs_date, obs_value"
 RISK = "entity_candidate_id, risk_score, risk_tier, risk_reasons, match_tier_summary, risk_load_date as source_load_date"
@@ -322,7 +350,7 @@ SELECTS: dict[str, str] = {
     "unify_name_subject": "select sanctions_name_id, sanction_subject_id, sanctions_entity_type from unify_names",
     "risk_join": f"select entity_candidate_id, {', '.join(COUNTS)}, max_match_quality_score from risk_all",
     "macro_context": "select * from entity_macro",
-    "audit_history_join": "select job_run_id, job_name, target_table, total_run_count, last_success_at from audit",
+    "audit_history_join": "select job_run_id, job_name, target_table, total_run_count, last_success_at, last_failure_at, last_started_at, last_finished_at from audit",
     "latest_loads": "select a.*, e.display_name, e.sort_order from audit a join expected_tables e on e.target_table = a.target_table and e.is_active",
     "entity_profile": "select entity_candidate_id, lei, legal_name, country, has_any_parent, risk_score, risk_tier, total_sanctions_match_count from risk_all",
     "descendants_of": "select p.ancestor_lei, p.root_lei, m.legal_name, m.country, p.depth, case when p.depth = 1 then 'direct_child' else 'indirect_descendant' end as relation from parent_paths p join entity_master m on m.lei = p.root_lei where p.ancestor_lei like '%7'",
@@ -336,9 +364,8 @@ SELECTS: dict[str, str] = {
     "pipeline_metrics": """select count(*) as monitored_tables, cast(coalesce(sum(total_run_count), 0) as bigint) as total_runs, count(*) filter (where pipeline_health_status = 'healthy') as healthy_tables,
         count(*) filter (where pipeline_health_status = 'latest_failed_previous_success_available') as warning_tables, count(*) filter (where pipeline_health_status = 'not_healthy') as not_healthy_tables,
         count(*) filter (where pipeline_health_status = 'missing_run') as missing_run_tables, count(*) filter (where is_failed_or_incomplete_latest_run) as tables_with_failed_latest_run from expected_tables_status""",
-    "inherited_freshness": """select w.model, case when count(*) filter (where l.freshness_status like 'stale%') > 0 then 'stale' when count(*) filter (where l.freshness_status is distinct from 'fresh' and coalesce(l.freshness_status, '') not like 'stale%') > 0 then 'unknown' else 'fresh' end as freshness_status,
-        max(l.snapshot_age_days) as snapshot_age_days, count(*) as source_count from wanted_runs w left join latest_all l on l.job_name = w.job_name and l.target_table = w.target_table group by w.model""",
-    "quality_summary": "select source, count(*) filter (where check_status = 'passed') as passed_count, count(*) filter (where check_status = 'warning') as warning_count, count(*) filter (where check_status = 'error') as error_count, count(*) as total_count from manifest_files group by source",
+    "inherited_freshness": """select w.model, case when bool_or(d.freshness_status is not distinct from 'stale') then 'stale' when bool_and(d.freshness_status is not distinct from 'fresh') then 'fresh' else 'unknown' end as freshness_status,
+        max(d.snapshot_age_days) as snapshot_age_days, count(*) as source_count from wanted_sources w left join done_runs d on d.part = w.target_table group by w.model""",
     "table_row_counts": "select 'candidates' as table_name, count(*) as row_count from entity_candidates union all select 'subjects', count(*) from unify_subjects union all select 'names', count(*) from unify_names union all select 'edges', count(*) from relationship_edges",
     "check_unique": "select legal_name as value, count(*) as n from raw_entities where legal_name is not null group by legal_name having count(*) > 1",
     "check_not_null": "select " + ", ".join(f"count(*) filter (where {x} is null) as null_{x}" for x in ("lei", "country", "direct_parent_lei", "direct_parent_name")) + " from entity_master",
@@ -360,9 +387,12 @@ SELECTS: dict[str, str] = {
     "latest_runs": "select job_run_id, job_name, target_table, status from latest_all",
     "worst_audit_per_table": "select target_table, job_name, pipeline_health_status from worst",
     "latest_manifest": f"select source, load_date, manifest_status from manifest_status where manifest_status in {GOOD} {first('source', 'load_date desc')}",
-    "top_risk_entities": "select lei, legal_name, country, risk_score, risk_tier, total_sanctions_match_count from risk_all where has_sanctions_match order by risk_score desc, total_sanctions_match_count desc, legal_name, lei limit 25",
-    "search_entities": """select entity_candidate_id, lei, legal_name, country, case when lower(lei) like 'small%' then 1 when legal_name_normalized like 'small%' then 2 when lower(legal_name) like 'small%' then 3 else 4 end as hit_rank, risk_score, risk_tier
-        from risk_all where lower(lei) like '%small%' or lower(legal_name) like '%small%' or legal_name_normalized like '%small%' order by hit_rank, risk_score desc, legal_name, lei limit 50""",
+    "top_risk_entities": """select lei, legal_name_normalized, country, entity_status, registration_status, risk_score, risk_tier, total_sanctions_match_count, high_confidence_match_count, medium_confidence_match_count,
+        review_required_match_count, source_entity_keys from risk_all where risk_tier <> 'low_or_no_known_match' order by risk_score desc, total_sanctions_match_count desc, legal_name_normalized, lei limit 25""",
+    "search_entities": """select entity_candidate_id, lei, legal_name_normalized, country, entity_status, registration_status, legal_jurisdiction,
+        case when lei ilike 'small%' then 1 when legal_name_normalized ilike 'small%' then 2 when legal_name ilike 'small%' then 3 else 4 end as hit_rank, risk_score, risk_tier,
+        total_sanctions_match_count, high_confidence_match_count, medium_confidence_match_count, review_required_match_count from risk_all
+        where lei ilike '%small%' or legal_name ilike '%small%' or legal_name_normalized ilike '%small%' order by hit_rank, risk_score desc, total_sanctions_match_count desc, legal_name_normalized, lei limit 50""",
     "entity_matches_ranked": """select entity_candidate_id, entity_sanctions_match_id, sanctions_source, sanctions_name, match_quality_score, match_quality_rank,
         cast(row_number() over (partition by entity_candidate_id order by match_quality_rank, match_quality_score desc, sanctions_source, sanctions_name, entity_sanctions_match_id) as int) as match_place from screening_view""",
     "pressure_indicators": "select pressure_indicator_id, indicator_code, ref_area, indicator_pressure_score, indicator_weight from indicator_pressure",
@@ -371,19 +401,19 @@ SELECTS: dict[str, str] = {
     "normalize_name": f"select doc_id, {norm('name')} as normalized from names_text",
     "normalize_identifier": f"select raw_id, {norm('identifiers', 'upper')} as identifier from raw_targets",
     "match_key": f"select raw_id, {key('legal_name')} as match_key from raw_entities",
-    "explode_aliases": rf"""select raw_id, cast(pos as int) as alias_position, name as alias_name, {norm('name')} as alias_normalized from (select raw_id, pos, {clean("trim(alias, ' ' || chr(34))")} as name from (select raw_id,
+    "explode_aliases": rf"""select raw_id, cast(pos as int) as alias_position, name as alias_name, {norm('name')} as alias_normalized from (select raw_id, pos, {clean("replace(alias, chr(34), '')")} as name from (select raw_id,
         unnest(regexp_split_to_array(aliases, '\s*;\s*')) as alias, unnest(range(1, len(regexp_split_to_array(aliases, '\s*;\s*')) + 1)) as pos from raw_targets)) where {norm('name')} is not null""",
     "quote_only_to_null": f"select raw_id, {unquoted('sanctions')} as sanctions from raw_targets",
     "has_non_ascii": "select doc_id, regexp_matches(name, '[^ -~]') as has_non_ascii from names_text",
     "iso_date_prefix": f"select raw_id, {iso('next_renewal_date_raw')} as next_renewal_date from raw_entities",
-    "flexible_date": r"""select raw_id, case when regexp_matches(p, '^\d{4}(-\d{2}(-\d{2})?)?$') then cast(left(p, 4) as int) end as year, case when regexp_matches(p, '^\d{4}$') then try_cast(p || '-01-01' as date)
-        when regexp_matches(p, '^\d{4}-\d{2}$') then try_cast(p || '-01' as date) when regexp_matches(p, '^\d{4}-\d{2}-\d{2}$') then try_cast(p as date) end as date from (select raw_id, trim(period) as p from raw_periods)""",
+    "flexible_date": r"""select raw_id, case when regexp_matches(period, '^[0-9]{4}') then cast(substr(period, 1, 4) as int) end as year, case when regexp_matches(period, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_cast(substr(period, 1, 10) as date)
+        when regexp_matches(period, '^[0-9]{4}-[0-9]{2}$') then try_cast(period || '-01' as date) when regexp_matches(period, '^[0-9]{4}$') then make_date(cast(period as int), 1, 1) end as date from raw_periods""",
     "safe_timestamp": r"select raw_id, case when regexp_matches(trim(period), '^\d{4}-\d{2}-\d{2}') then try_cast(trim(period) as timestamp) end as ts from raw_periods",
     "strict_iso_timestamp": r"select raw_id, case when regexp_matches(period, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$') then try_cast(period as timestamp) end as ts from raw_periods",
-    "period_to_date": f"select raw_id, {period('period')} as date from raw_periods",
+    "period_to_date": f"select raw_id, {period('period', 'frequency')} as date from raw_periods",
     "guarded_decimal": r"select raw_id, case when regexp_matches(trim(obs_value), '^-?\d+(\.\d+)?$') then cast(trim(obs_value) as double) end as obs_value from raw_observations",
-    "strip_series_prefix": "select raw_id, series_key from raw_observations",
-    "effective_ref_area": f"select raw_id, coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) as ref_area, case coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) when 'U2' then 'Euro area' else coalesce({clean('ref_area')}, case when dataflow = 'EST' then 'U2' end) end as reference_area_name from raw_observations",
+    "strip_series_prefix": "select raw_id, case when upper(ecb_key) like upper(dataflow) || '.%' then substr(upper(ecb_key), length(dataflow) + 2) else upper(series_key) end as series_key from raw_observations",
+    "effective_ref_area": f"select raw_id, area as ref_area, case area when 'U2' then 'Euro area' else area end as reference_area_name from (select raw_id, coalesce({upper('ref_area')}, case when upper(dataflow) = 'EST' then 'U2' end) as area from raw_observations)",
     "indicator_slug": f"select raw_id, {slug('trim(indicator_name)')} as indicator_code from raw_observations",
     "country_fallback": f"select raw_id, {COUNTRY} as country from raw_entities",
     "country_overlap": f"select {MATCH}, country_overlap_status, has_country_overlap from graded",
@@ -415,7 +445,7 @@ SELECTS["job_sanctions_screening"] = (
 )
 for _name in ("stage_fsf", "stage_targets", "entity_candidates", "screening_view", "macro_applicability", "match_names", "canonical_plus_rollup", "parent_summary", "entity_master", "relationship_context",
               "expected_tables_status", "fsf_subject_rollup", "fsf_name_rollup", "sanctions_summary", "child_counts", "descendant_counts", "sibling_group_size", "path_summary", "weighted_macro_score", "macro_summary",
-              "run_history", "manifest_status", "stage_lei", "stage_relationships", "stage_observations", "canonical_targets", "unify_subjects", "unify_names", "opensanctions_names", "relationship_edges",
+              "run_history", "manifest_status", "quality_summary", "stage_lei", "stage_relationships", "stage_observations", "canonical_targets", "unify_subjects", "unify_names", "opensanctions_names", "relationship_edges",
               "indicator_pressure", "macro_level", "parent_paths"):
     SELECTS[_name] = f"select * from {_name}"
 

@@ -1,6 +1,8 @@
 """Rules that the tables can't reach, on rows made by hand."""
 
 import datetime
+import hashlib
+import json
 
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from riskloom.functions import text as X
 from riskloom.operators import audit as A
 from riskloom.operators import hierarchy as H
 from riskloom.operators import macro as M
+from riskloom.operators import reports as P
 from riskloom.operators import rows as R
 from riskloom.operators import sanctions as S
 from riskloom.sources import files as I
@@ -66,18 +69,112 @@ def test_series_edges(spark):
 def test_text_and_dates(spark):
     df = spark.createDataFrame([(" ;; a ; \"b\" ;", "2024-02-30", "2024-Q3", '""', "ÀéŁ", "1e5")], "aliases string, d string, p string, q string, n string, num string")
     assert [(r["alias_position"], r["alias_name"]) for r in S.explode_aliases(df).collect()] == [(3, "a"), (4, "b")]
-    r = df.select(D.iso_date_prefix(F.col("d")).alias("d"), D.period_to_date(F.col("p")).alias("p"), X.quote_only_to_null(F.col("q")).alias("q"), X.latin_display(F.col("n")).alias("n"), D.guarded_decimal(F.col("num")).alias("num")).first()
+    r = df.select(D.iso_date_prefix(F.col("d")).alias("d"), D.period_to_date(F.col("p"), F.lit("Q")).alias("p"), X.quote_only_to_null(F.col("q")).alias("q"), X.latin_display(F.col("n")).alias("n"), D.guarded_decimal(F.col("num")).alias("num")).first()
     assert (r["d"], r["p"], r["q"], r["n"], r["num"]) == (None, datetime.date(2024, 7, 1), None, "AeŁ", None)
 
 
-def test_health_and_freshness(spark):
+def test_health(spark):
     t = datetime.datetime(2024, 1, 1)
     rows = [(1, "j", None, "failed", t, None, "fresh", 1), (2, "j", "t", "success", t, t, "fresh", 1), (3, "j", "t", "failed", t.replace(day=2), None, "stale_warning", 5), (4, "k", "t2", "running", t, None, None, None)]
-    runs = spark.createDataFrame(rows, "job_run_id int, job_name string, target_table string, status string, started_at timestamp, finished_at timestamp, freshness_status string, snapshot_age_days int")
+    runs = spark.createDataFrame(rows, "job_run_id int, job_name string, target_table string, status string, started_at timestamp, finished_at timestamp, freshness_status string, snapshot_age_days int").withColumns({
+        "rows_read": F.lit(1), "rows_inserted": F.lit(1), "effective_load_date": F.lit(None).cast("date"), "error_message": F.lit("")})
     health = {(r["job_name"], r["target_table"]): r["pipeline_health_status"] for r in A.audit_status(runs).collect()}
     assert health == {("j", None): "not_healthy", ("j", "t"): "latest_failed_previous_success_available", ("k", "t2"): "not_healthy"}
-    models = spark.createDataFrame([("m1", "j", "t"), ("m2", "j", "nowhere, t2"), ("m3", "k", "t2")], "model string, jobs string, targets string")
-    assert {r["model"]: r["freshness_status"] for r in A.inherited_freshness(models, runs).collect()} == {"m1": "stale", "m2": "unknown", "m3": "unknown"}
+
+
+def test_history_goes_by_ends(spark):
+    """A success that never ended is none that was; failures likewise; the last begin and end are of any run."""
+    t = lambda d: datetime.datetime(2024, 1, d)
+    rows = [(1, "j", "t", "success", t(1), None), (2, "j", "t", "failed", t(2), t(3)), (3, "j", "u", "success_with_warnings", t(1), t(2)), (4, "j", "u", "running", t(5), None)]
+    runs = spark.createDataFrame(rows, "job_run_id int, job_name string, target_table string, status string, started_at timestamp, finished_at timestamp").withColumns({
+        "freshness_status": F.lit(None).cast("string"), "snapshot_age_days": F.lit(None).cast("int"), "rows_read": F.lit(None).cast("long"), "rows_inserted": F.lit(7), "effective_load_date": F.lit(None).cast("date"), "error_message": F.lit("x")})
+    got = {r["target_table"]: r for r in A.audit_status(runs).collect()}
+    assert got["t"]["last_success_at"] is None and got["t"]["last_failure_at"] == t(3) and got["t"]["pipeline_health_status"] == "not_healthy" and not got["t"]["has_successful_run"]
+    assert got["u"]["last_success_at"] == t(2) and got["u"]["last_failure_at"] is None and got["u"]["pipeline_health_status"] == "latest_failed_previous_success_available"
+    assert (got["u"]["last_started_at"], got["u"]["last_finished_at"], got["u"]["freshness_status"], got["u"]["rows_read"], got["u"]["rows_inserted"]) == (t(5), t(2), "unknown", 0, 7)
+
+
+def test_freshness_of_sources(spark):
+    """Successful runs only, the one that ended last, of whatever job; a run of several targets counts for each."""
+    t = lambda d: datetime.datetime(2024, 1, d)
+    rows = [(1, "a", "t1 , t2", "success", t(1), t(2), "fresh", 1), (2, "b", "t1", "failed", t(3), t(4), "stale", 9), (3, "b", "t3", "success", t(1), t(9), "stale", 4), (4, "c", "t3", "success", t(5), t(6), "fresh", 0),
+            (5, "a", "t4", "success_with_warnings", t(1), None, "stale_warning", 3), (6, "a", None, "success", t(1), t(2), "stale", 8), (7, "a", "t5", "success", t(1), t(2), None, 2)]
+    runs = spark.createDataFrame(rows, "job_run_id int, job_name string, target_table string, status string, started_at timestamp, finished_at timestamp, freshness_status string, snapshot_age_days int")
+    models = spark.createDataFrame([("both", "t1,t2"), ("stale", "t2, t3"), ("warned", "t1,t4"), ("missing", "t1,nowhere"), ("null", "t5")], "model string, targets string")
+    got = {r["model"]: (r["freshness_status"], r["snapshot_age_days"], r["source_count"]) for r in A.inherited_freshness(models, runs).collect()}
+    assert got == {"both": ("fresh", 1, 2), "stale": ("stale", 4, 2), "warned": ("unknown", 3, 2), "missing": ("unknown", 1, 2), "null": ("unknown", 2, 1)}
+
+
+def test_manifests_and_their_checks(spark):
+    checks = spark.createDataFrame([(1, "passed", "error"), (1, "failed", "warning"), (1, "failed", None), (2, "passed", "warning")], "file_id int, status string, severity string")
+    assert {tuple(r) for r in A.quality_summary(checks).collect()} == {(1, 1, 1, 1, 3), (2, 1, 0, 0, 1)}
+    day = datetime.date(2024, 1, 1)
+    rows = [("ok", "skipped", None, None), ("warn", "success", 2, 0), ("error", "success", 0, 1), ("all failed", "failed", 0, 0), ("some failed", "failed", 1, 0), ("some failed", "success", 0, 0)]
+    files = spark.createDataFrame([(s, day, *x, 10) for s, *x in rows], "source string, load_date date, status string, warning_count int, error_count int, downloaded_bytes long")
+    manifests = spark.createDataFrame([("no files", day), ("ok", day)], "source string, load_date date")
+    got = {r["source"]: (r["manifest_status"], r["success_count"], r["failed_count"], r["warning_count"]) for r in A.manifest_status(files, manifests).collect()}
+    assert got == {"ok": ("success", 1, 0, 0), "warn": ("success_with_warnings", 1, 0, 2), "error": ("success_with_warnings", 1, 0, 0), "all failed": ("failed", 0, 1, 0), "some failed": ("success_with_warnings", 1, 1, 1), "no files": ("success", 0, 0, 0)}
+    assert A.manifest_status(files).count() == 5
+
+
+def test_subjects_of_the_eu_list(spark):
+    """A reference holds several numbers together; the newest load comes before the newest publication; counts are of the list's own ids."""
+    row = lambda **x: json.dumps({"Entity_LogicalId": "1", "NameAlias_WholeName": " A  b", **x})
+    rows = [
+        (1, "2024-05-01", row(Entity_EU_ReferenceNumber="eu.1", Entity_Regulation_PublicationDate="2024-04-01", Identification_LogicalId="7", Entity_Regulation_Type="AMENDMENT")),
+        (2, "2024-05-02", row(Entity_EU_ReferenceNumber="EU.1 ", Entity_LogicalId="2", Entity_Regulation_PublicationDate="2020-01-01", Citizenship_LogicalId="5", NameAlias_LogicalId="9", Address_City=" Bonn ")),
+        (3, "2024-05-02", row(Entity_EU_ReferenceNumber="")), (4, "2024-05-02", row(Entity_LogicalId="")),
+    ]
+    raw = spark.createDataFrame(rows, "raw_id int, source_load_date string, raw_row string").withColumn("source_load_date", F.to_date("source_load_date"))
+    fsf = S.stage_fsf(raw)
+    got = {r["raw_id"]: r for r in fsf.collect()}
+    assert {i: r["subject_key"] for i, r in got.items()} == {1: "EU.1", 2: "EU.1", 3: "1"} and got[1]["regulation_type"] == "amendment" and got[2]["address_city"] == "Bonn" and len(fsf.columns) == 51
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert {i: r["name_key"] for i, r in got.items()} == {1: md5("EU.1|1|a b"), 2: "9", 3: md5("1|a b")}
+    subjects = {r["subject_key"]: r for r in S.canonical_plus_rollup(S.canonical_fsf_subject(fsf), S.fsf_subject_rollup(fsf), ["subject_key"]).collect()}
+    one = subjects["EU.1"]
+    assert (one["raw_id"], one["source_row_count"], *[one[f"{c}_count"] for c in ("name_alias", "address", "birth_date", "identification", "citizenship")]) == (2, 2, 1, 0, 0, 1, 1)
+
+
+def test_targets_of_the_second_list(spark):
+    """Upper-case countries meet an entity's country; rows without caption go; all quotes leave an alias; quotes alone are no sanction but stay elsewhere."""
+    rows = [(1, "A", "Acme", 'The ""Acme""; "Ac"me Co" ;;', " ru;ua", '""', "prog;x", "EU_L"), (2, "B", " ", "x", "RU", "y", '""', None), (3, "C", '"', None, None, None, None, None)]
+    raw = spark.createDataFrame(rows, "raw_id int, id string, caption string, aliases string, countries string, sanctions string, program_ids string, datasets string").withColumns({
+        "source_load_date": F.lit("2024-05-01").cast("date"), **{c: F.lit(None).cast("string") for c in ("schema", "birth_date", "addresses", "identifiers", "phones", "emails", "first_seen", "last_seen", "last_change")}})
+    targets = S.canonical_targets(S.stage_targets(raw))
+    got = {r["target_id"]: r for r in targets.collect()}
+    assert set(got) == {"A", "C"} and (got["A"]["countries"], got["A"]["sanctions"], got["A"]["program_ids"], got["A"]["datasets"]) == ("RU;UA", None, "PROG;X", "eu_l") and got["C"]["caption"] == '"'
+    assert sorted((r["alias_position"], r["alias_name"]) for r in S.explode_aliases(targets).collect()) == [(1, "The Acme"), (2, "Acme Co")]
+    status = targets.select("target_id", X.country_status(F.lit("RU"), F.col("countries")).alias("s")).collect()
+    assert {r["target_id"]: r["s"] for r in status} == {"A": "country_overlap", "C": "sanctions_country_missing"}
+
+
+def test_observations_by_frequency(spark):
+    rows = [(1, "mir.m.u2", "x", "mir", None, "m", None, "2024-03"), (2, "other.k", "own.k", "mir", "u2", "D", None, "2024-03"), (3, None, "own.a", None, "de", None, "A", "2024"), (4, "EST.B", "own.b", "est", None, "M", None, "2024"), (5, None, "q", "mir", None, "D", None, "2024-Q4")]
+    raw = spark.createDataFrame(rows, "raw_id int, ecb_key string, series_key string, dataflow string, ref_area string, freq string, frequency string, time_period string").withColumns({
+        "dataset_code": F.lit(" ds "), "unit": F.lit("pct"), "indicator_name": F.lit("n"), "obs_value": F.lit("1.5"), "source_load_date": F.lit("2024-05-01").cast("date")})
+    got = {r["raw_id"]: (r["dataset_code"], r["series_key"], r["ref_area"], r["frequency"], r["obs_date"]) for r in M.stage_observations(raw).collect()}
+    day = datetime.date
+    assert got == {1: ("MIR", "M.U2", None, "M", day(2024, 3, 1)), 2: ("MIR", "OWN.K", "U2", "D", None), 3: ("DS", "OWN.A", "DE", "A", day(2024, 1, 1)), 4: ("EST", "B", "U2", "M", None), 5: ("MIR", "Q", None, "D", day(2024, 10, 1))}
+
+
+def test_flexible_dates(spark):
+    said = ["2020-01-05T00:00:00", "2020abc", "2020", "2020-02", "2020-02-30", " 2020", "20", None]
+    got = [(r["y"], r["d"]) for r in spark.createDataFrame(list(enumerate(said)), "i int, s string").select("i", D.flexible_date(F.col("s"))[0].alias("y"), D.flexible_date(F.col("s"))[1].alias("d")).orderBy("i").collect()]
+    day = datetime.date
+    assert got == [(2020, day(2020, 1, 5)), (2020, None), (2020, day(2020, 1, 1)), (2020, day(2020, 2, 1)), (2020, None), (None, None), (None, None), (None, None)]
+
+
+def test_top_and_search_orders(spark):
+    """Equal scores by matches, then by the normalized name, in which capitals don't count."""
+    rows = [("e1", "l1", "beta", "Beta", 60, 2), ("e2", "l2", "alpha", "alpha", 60, 2), ("e3", "l3", "gamma", "Gamma", 60, 3), ("e4", "l4", "delta", "a delta", 0, 0)]
+    risk = spark.createDataFrame(rows, "entity_candidate_id string, lei string, legal_name_normalized string, legal_name string, risk_score int, total_sanctions_match_count long").withColumns({
+        "risk_tier": F.when(F.col("risk_score") > 0, "medium").otherwise("low_or_no_known_match"), **{c: F.lit("x") for c in ("country", "entity_status", "registration_status", "source_entity_keys", "legal_jurisdiction")},
+        **{f"{c}_match_count": F.lit(1) for c in ("high_confidence", "medium_confidence", "review_required")}})
+    assert [r["lei"] for r in P.top_risk_entities(risk).collect()] == ["l3", "l2", "l1"]
+    found = [(r["lei"], r["hit_rank"]) for r in P.search_entities(risk.drop("risk_score", "risk_tier"), risk, "a").collect()]
+    assert found == []
+    assert [(r["lei"], r["hit_rank"]) for r in P.search_entities(risk, risk, "TA").collect()] == [("l1", 4), ("l4", 4)]
 
 
 def test_checks_and_files(spark, tmp_path):
