@@ -22,6 +22,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -419,7 +420,9 @@ def _counts(classes: DataFrame, labels: DataFrame, threshold: float) -> DataFram
     rows = settle(classes.select("node", "copies", "unit").join(labels.withColumnRenamed("label", "component"), "node"))
     middle = _middles(rows)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    angled = rows.join(middle, "component").withColumn("angle", F.acos(F.least(F.lit(1.0), dot("unit", "middle") / F.sqrt(dot("middle", "middle")))))
+    long = F.sqrt(dot("middle", "middle"))
+    angle = F.when(long > 1e-6, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("unit", "middle") / long)))).otherwise(math.pi)  # around no centre
+    angled = rows.join(middle, "component").withColumn("angle", angle)
     sizes = settle(angled.groupBy("component").agg(F.max("angle").alias("widest"), F.sum("copies").alias("all"), F.count("*").alias("n")))
     within = F.col("widest") < math.acos(threshold) / 2 - 1e-9
     tight = rows.join(sizes.where(within), "component").select("node", (F.col("all") - F.col("copies")).alias("links"))
@@ -441,8 +444,21 @@ def _counts(classes: DataFrame, labels: DataFrame, threshold: float) -> DataFram
     return tight.unionByName(multiplied)
 
 
-def _joined(classes: DataFrame, threshold: float) -> tuple[DataFrame, int, float]:
-    """(node, label) of the linked classes, the smallest node of their component; true links audited; the share of them that was found.
+class Audit(NamedTuple):
+    """What the last audit saw: true links of its sample, those within components, and whether all components were compared exactly afterwards."""
+
+    seen: int
+    within: int
+    exact: bool
+
+    @property
+    def recall(self) -> float | None:
+        """The share of true links within components, as measured before any exact comparison; None if too few were seen to say."""
+        return self.within / self.seen if self.seen >= ENOUGH_LINKS else None
+
+
+def _joined(classes: DataFrame, threshold: float) -> tuple[DataFrame, Audit]:
+    """(node, label) of the linked classes, the smallest node of their component; and the last audit.
 
     Links that an audit finds missing are added, whatever follows.
     """
@@ -456,41 +472,49 @@ def _joined(classes: DataFrame, threshold: float) -> tuple[DataFrame, int, float
         labels = components(links)
         seen, within, missed = _audit(classes, labels, threshold, generation)
         if seen == within:
-            return labels, seen, 1.0
+            return labels, Audit(seen, within, False)
         links = links.unionByName(missed)
         labels = components(links)
     bridges = _bridges(classes, labels, threshold)
-    return components(links.unionByName(bridges)), seen, 1.0  # compared exactly
+    return components(links.unionByName(bridges)), Audit(seen, within, True)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """Links vectors of one label whose cosine is at least ``threshold``; a row for each row of ``vectors``.
 
     Returns vec_id, n_links (other vectors linked directly), component_id (the smallest vec_id that links
-    reach, its own included), kept (vec_id = component_id); how many true links the last audit saw, and which share of them
-    the result holds, is logged.  Vectors that are null, empty, zero or hold null or non-finite components, and rows
-    without label, link with nothing; vectors of different widths don't either.  Repeated rows count as vectors of their own; a null vec_id takes part, its own kept is false.
+    reach, its own included), kept (vec_id = component_id).  Ids are of any type that can be ordered.  Vectors that are null, empty, zero or
+    hold null or non-finite components, and rows without label, link with nothing; vectors of different widths don't either.  Repeated rows count
+    as vectors of their own; a null vec_id takes part, its own kept is false.  No vectors give no rows.
+
+    Labels of up to ``MOST_CELL`` different vectors are one cell, that is, compared in whole; larger ones by the descent.
     """
+    return audited_vectors(vectors, threshold, vec_id, vector, label)[0]
+
+
+def audited_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> tuple[DataFrame, Audit]:
+    """``near_vectors``, and what the last audit of it saw."""
     rows = settle(_valid(vectors, vec_id, vector, label))
     good = rows.where("key is not null")
     classes = good.groupBy("label", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
     named = classes.select("label", "key", "node", "id", "copies")
-    seen, recall = 0, 1.0
+    audit = Audit(0, 0, True)
     if classes.isEmpty():
         named = named.withColumn("component_id", F.col("id")).withColumn("links", F.lit(0))
     else:
-        labels, seen, recall = _joined(classes, threshold)
+        labels, audit = _joined(classes, threshold)
         named = named.join(labels.withColumnRenamed("label", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = named.groupBy("root").agg(F.min("id").alias("component_id"))
         named = named.join(least, "root").join(_counts(classes, labels, threshold), "node", "left")
     named = named.select(F.col("label").alias("_l"), F.col("key").alias("_k"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     linked = good.join(named, (F.col("label") == F.col("_l")) & (F.col("key") == F.col("_k")))
     alone = rows.where("key is null").withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("vec_id"))
-    cols = ["vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id")]
+    cols = ["vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id"]
     out = linked.select(*cols).unionByName(alone.select(*cols)).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-    log.info("audit: %d true links seen, %.4f of them in the result", seen, recall)
-    return out
+    said = "not measured" if audit.recall is None else f"{audit.recall:.4f} within components"
+    log.info("audit: %d true links seen, %s%s", audit.seen, said, ", then all compared" if audit.exact else "")
+    return out, audit
 
 
 #: The same for DuckDB, by comparing all pairs of a label.

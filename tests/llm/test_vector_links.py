@@ -73,6 +73,28 @@ def test_many_links_near_the_threshold(spark):
     assert all(out[k][0] <= want[k][0] for k in lost)
 
 
+def test_a_ring_around_nothing(spark):
+    """A component whose mean vector is exactly zero has no centre: all its members are compared."""
+    rows, signs = [], np.ones(64)
+    for i in range(128):
+        rows.append((i, "ring", signs.tolist()))
+        signs = signs.copy()
+        signs[i % 64] *= -1
+    assert not np.array([r[2] for r in rows]).sum(0).any()
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) == 1 and all(n >= 2 for n, _ in want.values())
+    assert got(spark, rows) == want
+
+
+def test_ids_of_text_and_the_audit(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(f"v{i:03d}", "x", (np.eye(8)[i % 8] + rnd.standard_normal(8) * 0.02).tolist()) for i in range(160)]
+    out, audit = embeddings.audited_vectors(spark.createDataFrame(rows, "vec_id string, label string, embedding array<double>"))
+    assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out.collect()} == {(v, 19, f"v{int(v[1:]) % 8:03d}", int(v[1:]) < 8) for v, *_ in rows}
+    assert audit.seen == audit.within >= embeddings.ENOUGH_LINKS and audit.recall == 1.0
+    assert embeddings.Audit(5, 5, False).recall is None
+
+
 def test_edges_of_vectors(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(None, "x", v), (None, "x", v), (1, "x", v), (1, "x", v), (2, "x", None), (3, None, v), (4, "x", []), (5, "y", v), (6, "x", [1.0, 2.0])]
