@@ -76,38 +76,45 @@ def relationship_edges(master: DataFrame) -> DataFrame:
     return rows.withColumn("relationship_edge_id", X.md5_key(_c("child_lei"), _c("relationship_type"), _c("parent_lei"), null_slot=True))
 
 
+def ancestors(master: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(node, way): each entity that has a parent, and its ancestors in order, ``max_depth`` at most, by doubling.
+
+    Ways of 1, 2, 4, 8 steps are joined with the ways of their last nodes, so the joins grow with the logarithm of the depth.  The map is broadcast
+    if it is proven small; beyond that adaptive execution splits a common ancestor's rows.  Ways may run around a cycle.
+    """
+    reach = master.where("direct_parent_lei is not null").select(_c("lei").alias("node"), F.array("direct_parent_lei").alias("way"))
+    few, steps = reach.count() <= SMALL_ROWS, 1
+    while steps < max_depth:
+        more = reach.select(_c("node").alias("_end"), _c("way").alias("_more"))
+        met = reach.join(F.broadcast(more) if few else more, F.element_at("way", -1) == _c("_end"), "left")
+        reach = met.select("node", F.slice(F.concat("way", F.coalesce("_more", F.array().cast("array<string>"))), 1, max_depth).alias("way"))
+        steps *= 2
+        reach = settle(reach) if steps < max_depth else reach
+    return reach
+
+
 def parent_paths(master: DataFrame, max_depth: int = 10) -> DataFrame:
     """Every ancestor of every entity up to ``max_depth`` steps: one row each, with the way as text.
 
-    A way ends at an unknown parent, at itself, or where it would return to a node it has passed.  Each step
-    is one equi-join of a frontier that only shrinks, written before the next, of a ``master`` that should be a written table; the map of parents is broadcast
-    if proven small, and skewed ancestors are split by adaptive execution beyond that.
+    A way ends at an unknown parent, at itself, or where it would return to a node it has passed: as each node has one parent, what follows the
+    first return holds nothing new, so the different nodes of a way are the way up to there.  ``master`` should be a written table.
     """
-    roots = ["legal_name", "legal_name_normalized", "country", "source_load_date"]
-    known = master.where("direct_parent_lei is not null").select("entity_candidate_id", "lei", "direct_parent_lei", "direct_parent_name", *roots)
-    steps = known.select(_c("lei").alias("at"), _c("direct_parent_lei").alias("up"), _c("direct_parent_name").alias("up_name"))
-    steps = F.broadcast(steps) if steps.count() <= SMALL_ROWS else steps
-    frontier = known.where("direct_parent_lei != lei").select(
-        "entity_candidate_id", _c("lei").alias("root_lei"), _c("direct_parent_lei").alias("ancestor_lei"), _c("direct_parent_name").alias("ancestor_name"), F.lit(1).alias("depth"), F.array("lei", "direct_parent_lei").alias("way"),
+    known = master.where("direct_parent_lei is not null")
+    roots = known.select(
+        _c("lei").alias("node"), "entity_candidate_id", _c("legal_name").alias("root_legal_name"), _c("legal_name_normalized").alias("root_legal_name_normalized"), _c("country").alias("root_country"), "source_load_date",
     )
-    out = frontier
-    for depth in range(2, max_depth + 1):
-        step = frontier.join(steps, frontier["ancestor_lei"] == steps["at"]).where(~F.array_contains("way", _c("up")))
-        frontier = settle(step.select("entity_candidate_id", "root_lei", _c("up").alias("ancestor_lei"), _c("up_name").alias("ancestor_name"), F.lit(depth).alias("depth"), F.array_append("way", _c("up")).alias("way")))
-        if frontier.isEmpty():
-            break
-        out = out.unionByName(frontier)
-    named = known.select("entity_candidate_id", _c("legal_name").alias("root_legal_name"), _c("legal_name_normalized").alias("root_legal_name_normalized"), _c("country").alias("root_country"), "source_load_date")
-    path_id = F.md5(F.concat(F.coalesce("root_lei", F.lit("")), F.lit("|path|"), F.coalesce("ancestor_lei", F.lit("")), F.lit("|"), _c("depth").cast("string")))
-    return furthest_ancestor(out).join(named, "entity_candidate_id").select(
-        path_id.alias("relationship_path_id"), "entity_candidate_id", "root_lei", "root_legal_name", "root_legal_name_normalized", "root_country", "ancestor_lei", "ancestor_name", "depth",
-        F.array_join("way", " > ").alias("path"), "is_furthest_ancestor", "source_load_date",
+    ways = ancestors(master, max_depth).select("node", F.array_distinct(F.concat(F.array("node"), "way")).alias("way"))
+    each = ways.where("size(way) > 1").withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("way") - 1)))
+    steps = each.select(
+        "node", "depth", F.get("way", _c("depth") - 1).alias("_below"), F.get("way", _c("depth")).alias("ancestor_lei"), F.array_join(F.slice("way", F.lit(1), _c("depth") + 1), " > ").alias("path"),
+        (_c("depth") == F.size("way") - 1).alias("is_furthest_ancestor"),
+    )
+    names = known.select(_c("lei").alias("_below"), _c("direct_parent_name").alias("ancestor_name"))
+    path_id = F.md5(F.concat(F.coalesce("node", F.lit("")), F.lit("|path|"), F.coalesce("ancestor_lei", F.lit("")), F.lit("|"), _c("depth").cast("string")))
+    return steps.join(names, "_below").join(roots, "node").select(
+        path_id.alias("relationship_path_id"), "entity_candidate_id", _c("node").alias("root_lei"), "root_legal_name", "root_legal_name_normalized", "root_country", "ancestor_lei", "ancestor_name", "depth",
+        "path", "is_furthest_ancestor", "source_load_date",
     )
-
-
-def furthest_ancestor(paths: DataFrame) -> DataFrame:
-    """Marks the paths that go furthest up from their entity."""
-    return paths.withColumn("is_furthest_ancestor", _c("depth") == F.max("depth").over(Window.partitionBy("entity_candidate_id")))
 
 
 def child_counts(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import dates as D
 from riskloom.functions import text as X
 from riskloom.operators.rows import latest_by_key
+from riskloom.sources.shared import settle
 
 #: Members of the euro area.
 EURO_AREA = ("AT", "BE", "HR", "CY", "EE", "FI", "FR", "DE", "GR", "IE", "IT", "LV", "LT", "LU", "MT", "NL", "PT", "SK", "SI", "ES")
@@ -151,8 +152,8 @@ def macro_level(score: DataFrame) -> DataFrame:
 
 def pressure(observations: DataFrame) -> DataFrame:
     """Indicator rows, each with the one overall score."""
-    ts = timeseries(observations)
-    indicators = indicator_pressure(level_momentum_percentile(ts), trend_slope(ts))
+    ts = settle(timeseries(observations))  # read five times
+    indicators = settle(indicator_pressure(level_momentum_percentile(ts), trend_slope(ts)))  # read for the rows and for the score
     return indicators.crossJoin(F.broadcast(_one_row(macro_level(weighted_macro_score(indicators)))))
 
 

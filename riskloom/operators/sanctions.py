@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import dates as D
 from riskloom.functions import text as X
 from riskloom.operators.rows import latest_by_key, require_keys, string_agg_distinct
+from riskloom.sources.shared import settle
 
 #: Fixed values.
 ORGANIZATION_TYPES = ("enterprise", "organization", "company", "legalentity")
@@ -329,6 +330,57 @@ def sanctions_summary(screening: DataFrame) -> DataFrame:
     )
 
 
+def _tiers() -> list[Column]:
+    """The tiers that matches of counts ``high_confidence``, ``medium_confidence`` and ``review_required`` fall into, in order."""
+    return [F.when(_c(f"{t}_match_count") > 0, F.lit(t)) for t in ("high_confidence", "medium_confidence", "review_required")]
+
+
+def sanctions_summary_below(entities: DataFrame, names: DataFrame, subjects: DataFrame) -> DataFrame:
+    """``sanctions_summary`` of all graded matches, without forming them: what is counted is summed below the join.
+
+    All names of a key meet all entities of this key.  So programmes, lists, subjects and dates are gathered once a key; grades depend on the key, the
+    name's kind and the countries of both sides, so subjects are counted by these, and met once for each country that entities of the key are of.
+    Only matches by an identifier are of single entities: these pairs are looked for (in texts long enough to hold one), and moved to
+    the highest tier.
+    """
+    best = best_names(organization_names(names)).select(_c("sanctions_name_match_key").alias("match_key"), "sanction_subject_id", "sanctions_source", "source_subject_id", "source_name_type")
+    context = subjects.select("sanction_subject_id", "source_countries", "source_identifiers", "source_programs", "source_lists", "source_date")
+    sides = settle(best.where(F.length("match_key") >= 2).join(context, "sanction_subject_id", "left"))
+    ours = entities.select("entity_candidate_id", X.match_key(_c("legal_name")).alias("match_key"), "country", "lei", "candidate_source_id", _c("source_load_date").alias("entity_load_date"))
+    ours = settle(ours.join(sides.select("match_key").distinct(), "match_key", "left_semi"))
+
+    by_key = sides.groupBy("match_key").agg(
+        F.count("*").alias("total_sanctions_match_count"), F.size(F.collect_set("sanctions_source")).cast("long").alias("sanctions_source_count"), string_agg_distinct(_c("sanctions_source")).alias("sanctions_sources"),
+        string_agg_distinct(X.clean_text(_c("source_programs"))).alias("sanctions_programs"), string_agg_distinct(X.clean_text(F.left(_c("source_lists"), F.lit(1000)))).alias("sanctions_lists"),
+        string_agg_distinct(_c("source_subject_id")).alias("source_entity_keys"), F.max("source_date").alias("_newest"),
+    )
+
+    kinds = ["match_key", "source_countries", "sanctions_source", "source_name_type"]
+    groups = sides.groupBy(*kinds).agg(F.count("*").alias("_n"))
+    none = {c: F.lit(None).cast("string") for c in ("lei", "candidate_source_id", "source_identifiers")}
+    met = match_quality(match_flags(ours.select("match_key", "country").distinct().join(groups, "match_key").withColumns(none)))
+    of = lambda t: F.coalesce(F.sum(F.when(_c("match_quality_tier") == t, _c("_n"))), F.lit(0))
+    by_country = met.groupBy("match_key", _c("country").alias("_country")).agg(*[of(t).alias(f"{t}_match_count") for t in ("high_confidence", "medium_confidence", "review_required")], F.max("match_quality_score").alias("max_match_quality_score"))
+
+    shortest = entities.agg(F.least(F.min(F.length("lei")), F.min(F.length("candidate_source_id"))).alias("_least"))
+    told = sides.join(F.broadcast(shortest), F.length("source_identifiers") >= _c("_least")).select(*kinds, "source_identifiers")  # one row is broadcast
+    held = X.identifier_overlap(_c("lei"), _c("source_identifiers"), _c("candidate_source_id"))
+    named = match_quality(match_flags(ours.join(told, "match_key").where(held).withColumn("source_identifiers", none["source_identifiers"])))
+    moved = named.groupBy("entity_candidate_id").agg(F.count("*").alias("_moved"), *[F.count_if(_c("match_quality_tier") == t).alias(f"_from_{t}") for t in ("high_confidence", "medium_confidence", "review_required")])
+
+    met = ours.join(by_key, "match_key").join(by_country.withColumnRenamed("match_key", "_key"), (_c("match_key") == _c("_key")) & _c("country").eqNullSafe(_c("_country"))).join(moved, "entity_candidate_id", "left")
+    less = lambda t: F.coalesce(_c(f"_from_{t}"), F.lit(0))
+    more = F.coalesce(_c("_moved"), F.lit(0))
+    met = met.withColumns({f"{t}_match_count": _c(f"{t}_match_count") - less(t) + (more if t == "high_confidence" else F.lit(0)) for t in ("high_confidence", "medium_confidence", "review_required")})
+    counts = ["total_sanctions_match_count", *[f"{t}_match_count" for t in ("high_confidence", "medium_confidence", "review_required")], "sanctions_source_count"]
+    rank = F.when(_c("high_confidence_match_count") > 0, 1).when(_c("medium_confidence_match_count") > 0, 2).otherwise(3)
+    return met.select(
+        "entity_candidate_id", *counts, _c("total_sanctions_match_count").alias("distinct_sanction_subject_count"), "sanctions_sources", F.concat_ws(";", *_tiers()).alias("match_quality_tiers"), "sanctions_programs",
+        "sanctions_lists", "source_entity_keys", F.when(more > 0, 100).otherwise(_c("max_match_quality_score")).alias("max_match_quality_score"), rank.alias("best_match_quality_rank"),
+        F.greatest("_newest", "entity_load_date").alias("sanctions_source_load_date"),
+    )
+
+
 COUNTS = ("total_sanctions_match_count", "high_confidence_match_count", "medium_confidence_match_count", "review_required_match_count", "sanctions_source_count", "distinct_sanction_subject_count")
 
 

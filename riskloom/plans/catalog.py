@@ -50,9 +50,13 @@ class Inputs:
     def candidates(self) -> DataFrame:
         return S.entity_candidates(self.lei)
 
+    @cached_property
+    def fsf_once(self) -> DataFrame:
+        return S.stage_fsf(_packed(self))  # for a single reader
+
     @cached_property
     def fsf(self) -> DataFrame:
-        return settle(S.stage_fsf(_packed(self)))  # parsed once, read by the picks and rollups of subjects and of names
+        return settle(self.fsf_once)  # parsed once, read by the picks and rollups of subjects and of names
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -88,7 +92,7 @@ class Inputs:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return S.sanctions_summary(self.screening)
+        return S.sanctions_summary_below(self.candidates, self.names, self.subjects)
 
     @cached_property
     def rr(self) -> DataFrame:
@@ -228,7 +232,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "clean_text": lambda i: _entity(i, X.clean_text(c("legal_name")).alias("plain"), X.clean_text(c("entity_status"), "upper").alias("upper"), X.clean_text(c("entity_status"), "lower").alias("lower")),
     "normalize_status": lambda i: _entity(i, X.normalize_status(c("entity_status")).alias("entity_status"), X.normalize_status(c("registration_status")).alias("registration_status")),
     "require_keys": lambda i: R.require_keys(i.raw("raw_fsf"), ["whole_name", "eu_reference_number"]).select("raw_id", "eu_reference_number"),
-    "stage_fsf": lambda i: i.fsf,
+    "stage_fsf": lambda i: i.fsf_once,
     "stage_targets": lambda i: S.stage_targets(i.raw("raw_targets")),
     "snapshot_filter": lambda i: R.snapshot_filter(i.raw("raw_entities"), "source_load_date").select("raw_id", "lei", "source_load_date"),
     "active_relationships": lambda i: H.active_relationships(i.rr, H.DIRECT).select("relationship_key", "start_node_id", "end_node_id"),
@@ -256,9 +260,9 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "same_parent_entities": lambda i: H.same_parent_entities(i.master),
     "check_relationships": lambda i: R.check_relationships(i.rr, "end_node_id", R.snapshot_filter(i.raw("raw_entities"), "source_load_date"), "lei"),
     # aggregations
-    "fsf_subject_rollup": lambda i: S.fsf_subject_rollup(i.fsf),
-    "fsf_name_rollup": lambda i: S.fsf_name_rollup(i.fsf),
-    "string_agg_distinct": lambda i: i.fsf.groupBy("subject_key").agg(R.string_agg_distinct(c("whole_name")).alias("names"), R.string_agg_distinct(c("regulation_title"), ",").alias("titles")),
+    "fsf_subject_rollup": lambda i: S.fsf_subject_rollup(i.fsf_once),
+    "fsf_name_rollup": lambda i: S.fsf_name_rollup(i.fsf_once),
+    "string_agg_distinct": lambda i: i.fsf_once.groupBy("subject_key").agg(R.string_agg_distinct(c("whole_name")).alias("names"), R.string_agg_distinct(c("regulation_title"), ",").alias("titles")),
     "sanctions_summary": lambda i: i.summary,
     "risk_overview": lambda i: P.risk_overview(i.risk),
     "risk_tier_distribution": lambda i: P.risk_tier_distribution(i.risk),
@@ -284,8 +288,8 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "stage_relationships": lambda i: i.rr,
     "stage_observations": lambda i: i.observations,
     "stage_pages": lambda i: A.stage_pages(R.snapshot_filter(i.raw("raw_pages"), "source_load_date")).select("page_id", "source_object_key", "candidate_id"),
-    "canonical_fsf_subject": lambda i: S.canonical_fsf_subject(i.fsf).select("subject_key", "raw_id", "whole_name"),
-    "canonical_fsf_name": lambda i: S.canonical_fsf_name(i.fsf).select("subject_key", "name_key", "raw_id"),
+    "canonical_fsf_subject": lambda i: S.canonical_fsf_subject(i.fsf_once).select("subject_key", "raw_id", "whole_name"),
+    "canonical_fsf_name": lambda i: S.canonical_fsf_name(i.fsf_once).select("subject_key", "name_key", "raw_id"),
     "canonical_targets": lambda i: i.targets,
     "pick_parent": lambda i: H.pick_parent(i.rr, H.DIRECT),
     "dedupe_names": lambda i: i.os_names.select("target_id", "name_type", "name_normalized", "position", "name"),
@@ -341,7 +345,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "md5_key": lambda i: _entity(i, X.md5_key(c("lei"), c("legal_address_country"), c("headquarters_address_country")).alias("skipping"), X.md5_key(c("lei"), c("legal_address_country"), c("headquarters_address_country"), null_slot=True).alias("slotted")),
     "row_hash_md5": lambda i: i.raw("raw_fsf").select("raw_id", X.row_hash_md5(*map(F.col, FSF_CONTENT), c("eu_reference_number")).alias("row_hash")),
     "extract_json_row": lambda i: _fsf_columns(i),
-    "fallback_name_key": lambda i: i.fsf.select("raw_id", "name_key"),
+    "fallback_name_key": lambda i: i.fsf_once.select("raw_id", "name_key"),
     "latin_display": lambda i: _names_text(i, X.latin_display(c("name")).alias("display_name")),
     "object_key_safe": lambda i: i.raw("raw_pages").select("page_id", X.object_key_safe(c("source_object_key")).alias("object_key")),
     "snapshot_freshness": lambda i: i.raw("raw_pages").select("page_id", D.snapshot_age(c("source_load_date"), F.lit("2024-05-04").cast("date")).alias("age_days"), D.snapshot_freshness(c("source_load_date"), F.lit("2024-05-04").cast("date"), 2).alias("freshness_status")),
