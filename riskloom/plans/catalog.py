@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import dates as D
 from riskloom.functions import text as X
+from riskloom.functions.display import latin_display
 from riskloom.operators import audit as A
 from riskloom.operators import hierarchy as H
 from riskloom.operators import macro as M
@@ -346,7 +347,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "row_hash_md5": lambda i: i.raw("raw_fsf").select("raw_id", X.row_hash_md5(*map(F.col, FSF_CONTENT), c("eu_reference_number")).alias("row_hash")),
     "extract_json_row": lambda i: _fsf_columns(i),
     "fallback_name_key": lambda i: i.fsf_once.select("raw_id", "name_key"),
-    "latin_display": lambda i: _names_text(i, X.latin_display(c("name")).alias("display_name")),
+    "latin_display": lambda i: _names_text(i, latin_display(c("name")).alias("display_name")),
     "object_key_safe": lambda i: i.raw("raw_pages").select("page_id", X.object_key_safe(c("source_object_key")).alias("object_key")),
     "snapshot_freshness": lambda i: i.raw("raw_pages").select("page_id", D.snapshot_age(c("source_load_date"), F.lit("2024-05-04").cast("date")).alias("age_days"), D.snapshot_freshness(c("source_load_date"), F.lit("2024-05-04").cast("date"), 2).alias("freshness_status")),
     "run_duration": lambda i: i.runs.select("job_run_id", D.run_duration(c("started_at"), c("finished_at")).alias("duration_seconds")),

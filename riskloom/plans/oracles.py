@@ -334,7 +334,7 @@ SELECTS: dict[str, str] = {
     "with_lineage": "select page_id, candidate_id, raw_id, 'pages/' || candidate_id as source_object_key, date '2024-05-01' as source_load_date, cast(row_number() over (partition by candidate_id order by page_id) as int) as row_number from raw_pages",
     "row_to_json": "select raw_id, cast(to_json({entity_logical_id: entity_logical_id, eu_reference_number: eu_reference_number, whole_name: whole_name}) as varchar) as raw_row from raw_fsf",
     "row_hash_sha256": "select raw_id, sha256(cast(to_json({entity_logical_id: entity_logical_id, eu_reference_number: eu_reference_number, whole_name: whole_name}) as varchar)) as row_hash from raw_fsf",
-    "latin_display": "select doc_id, strip_accents(name) as display_name from names_text",
+    "latin_display": "select doc_id, replace(strip_accents(trim(name)), 'ß', 'ss') as display_name from names_text",
     "replace_by_object": "select page_id, source_object_key, 'new' as version from raw_pages where page_id % 3 = 0 union all select page_id, source_object_key, 'old' from raw_pages where source_object_key not in (select source_object_key from raw_pages where page_id % 3 = 0)",
     "read_manifests": "select source, cast(load_date as varchar) as path_load_date, cast(file_id as varchar) as source_name, downloaded_bytes, status as file_status from manifest_files",
     "write_mart": "select * from entity_candidates",
