@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from riskloom.functions import dates as D
 from riskloom.functions import text as X
 from riskloom.operators.rows import latest_by_key, require_keys
-from riskloom.sources.shared import settle
+from riskloom.sources.shared import SMALL_ROWS, settle
 
 DIRECT, ULTIMATE = "IS_DIRECTLY_CONSOLIDATED_BY", "IS_ULTIMATELY_CONSOLIDATED_BY"
-#: A (child, parent) table of at most so many rows is broadcast in the walk.
-SMALL_ROWS = 100_000
 
 
 def _c(name: str) -> Column:

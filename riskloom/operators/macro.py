@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import dates as D
 from riskloom.functions import text as X
-from riskloom.operators.rows import latest_by_key
+from riskloom.operators.rows import latest_by_key, running_sum
 from riskloom.sources.shared import settle
 
 #: Members of the euro area.
@@ -86,18 +86,26 @@ def timeseries(observations: DataFrame) -> DataFrame:
     return series_rank_latest(rolling_averages(series_change(series_lag(observations))))
 
 
-def _cume(ts: DataFrame, value: Column, out: str) -> DataFrame:
+def _cume(ts: DataFrame, value: Column, out: str, spread: bool) -> DataFrame:
     """Cumulative share per value of a group, from counts of distinct values, so that few large groups sort only these."""
     counts = ts.groupBy(*GROUP, value.alias("_v")).agg(F.count("*").alias("_n"))
+    if spread:
+        whole = counts.groupBy(*[_c(g).alias(f"_all_{g}") for g in GROUP]).agg(F.sum("_n").alias("_all"))
+        same = (_c("indicator_code") == _c("_all_indicator_code")) & _c("ref_area").eqNullSafe(_c("_all_ref_area"))
+        return running_sum(counts, GROUP, ["_v"], _c("_n"), "_up").join(whole, same).select(*GROUP, "_v", (_c("_up") / _c("_all")).alias(out))
     whole = Window.partitionBy(*GROUP)
     return counts.select(*GROUP, "_v", (F.sum("_n").over(whole.orderBy("_v").rangeBetween(Window.unboundedPreceding, 0)) / F.sum("_n").over(whole)).alias(out))
 
 
-def level_momentum_percentile(ts: DataFrame) -> DataFrame:
-    """Cumulative distribution of the value, and of its change (0 where there is none), per indicator and area."""
+def level_momentum_percentile(ts: DataFrame, spread: bool = False) -> DataFrame:
+    """Cumulative distribution of the value, and of its change (0 where there is none), per indicator and area.
+
+    With ``spread`` no group is sorted by one task: its different values are dealt in ranges and summed by prefixes, for groups of
+    many millions of values; otherwise a group's different values are one window.
+    """
     out = ts
     for value, name in ((_c("obs_value"), "current_level_percentile"), (F.coalesce("change_abs", F.lit(0.0)), "momentum_percentile")):
-        shares = _cume(ts, value, name).select(*[_c(g).alias(f"_{g}") for g in GROUP], "_v", name)
+        shares = _cume(ts, value, name, spread).select(*[_c(g).alias(f"_{g}") for g in GROUP], "_v", name)
         on = (_c("indicator_code") == _c("_indicator_code")) & _c("ref_area").eqNullSafe(_c("_ref_area")) & (value == _c("_v"))
         out = out.join(shares, on).drop("_v", *[f"_{g}" for g in GROUP])
     return out

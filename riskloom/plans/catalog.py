@@ -181,6 +181,20 @@ def _replace_by_object(i: Inputs) -> DataFrame:
     return I.replace_by_object(pages, pages.where("page_id % 3 = 0").withColumn("version", F.lit("new")))
 
 
+def _load_objects(i: Inputs) -> DataFrame:
+    path = _landed(i, "objects")
+    pages = i.raw("raw_pages").select("page_id", "source_object_key", "candidate_id", F.lit("old").alias("version"))
+    again = pages.where("candidate_id % 3 = 0 and page_id % 2 = 0").withColumn("version", F.lit("new"))
+    for rows in (pages, again, again):
+        I.load_objects(rows, path, "candidate_id")
+    return i.spark.read.parquet(path).withColumn("candidate_id", c("candidate_id").cast("bigint"))
+
+
+def _write_mart_checks(i: Inputs) -> DataFrame:
+    counted = I.write_mart(i.candidates, _landed(i, "mart"), not_null=["lei", "country"], accepted={"entity_status": ["active", "inactive"]})
+    return i.spark.createDataFrame(sorted(counted.items()), "check_name string, n bigint")
+
+
 #: Which columns of the derived list are packed under which key.
 PACKED = {
     "Entity_LogicalId": "entity_logical_id", "Entity_EU_ReferenceNumber": "eu_reference_number", "Entity_SubjectType_ClassificationCode": "subject_type", "NameAlias_LogicalId": "name_alias_logical_id",
@@ -222,12 +236,14 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     # sources and sinks
     "read_csv_snapshot": _read_csv_snapshot,
     "map_source_columns": lambda i: I.map_source_columns(i.raw("raw_targets").withColumnRenamed("caption", "a.name").withColumn("name", F.lit("")), {"target_id": ["ID", "id"], "caption": ["name", "a.name"], "none": ["missing"]}, empty_too=True),
-    "with_lineage": lambda i: I.with_lineage(i.raw("raw_pages").drop("source_object_key", "source_load_date", "content"), F.concat(F.lit("pages/"), c("candidate_id").cast("string")), F.lit("2024-05-01"), [c("page_id").asc()]),
+    "with_lineage": lambda i: I.with_lineage(i.raw("raw_pages").drop("source_object_key", "source_load_date", "content"), F.concat(F.lit("pages/"), c("candidate_id").cast("string")), F.lit("2024-05-01"), ["page_id"]),
     "row_hash_sha256": lambda i: i.raw("raw_fsf").select("raw_id", I.row_hash_sha256("entity_logical_id", "whole_name", "eu_reference_number").alias("row_hash")),
     "row_to_json": lambda i: i.raw("raw_fsf").select("raw_id", I.row_to_json("entity_logical_id", "eu_reference_number", "whole_name").alias("raw_row")),
     "replace_by_object": _replace_by_object,
     "read_manifests": _read_manifests,
     "write_mart": _write_mart,
+    "load_objects": _load_objects,
+    "write_mart_checks": _write_mart_checks,
     "page_content_hash": lambda i: I.page_content_hash(i.raw("raw_pages").select("page_id", "content"), keep_body=False),
     # projections and filters
     "clean_text": lambda i: _entity(i, X.clean_text(c("legal_name")).alias("plain"), X.clean_text(c("entity_status"), "upper").alias("upper"), X.clean_text(c("entity_status"), "lower").alias("lower")),
@@ -300,6 +316,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "rolling_averages": lambda i: M.rolling_averages(M.series_lag(i.observations)).select(*OBSERVED, *[F.round(f"rolling_avg_{n}_obs", 6).alias(f"rolling_avg_{n}_obs") for n in (3, 6, 12)]),
     "series_rank_latest": lambda i: i.ts.select(*OBSERVED, "recency_rank", "observation_count", "is_latest_observation"),
     "level_momentum_percentile": lambda i: M.level_momentum_percentile(i.ts).select(*OBSERVED, F.round("current_level_percentile", 6).alias("current_level_percentile"), F.round("momentum_percentile", 6).alias("momentum_percentile")),
+    "level_momentum_spread": lambda i: M.level_momentum_percentile(settle(i.ts), spread=True).select(*OBSERVED, F.round("current_level_percentile", 6).alias("current_level_percentile"), F.round("momentum_percentile", 6).alias("momentum_percentile")),
     "furthest_ancestor": lambda i: i.paths.where("is_furthest_ancestor").select("root_lei", "ancestor_lei", "depth"),
     "latest_runs": lambda i: A.latest_runs(i.runs).select("job_run_id", "job_name", "target_table", "status"),
     "worst_audit_per_table": lambda i: A.worst_audit_per_table(i.audit).select("target_table", "job_name", "pipeline_health_status"),

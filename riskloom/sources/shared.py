@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables of so few narrow rows, as counted, may be broadcast.
+SMALL_ROWS = 100_000
 _own_folder: list[str] = []
 #: Where this process writes, in the shared folder.
 _RUN = f"riskloom-{uuid.uuid4().hex}"
