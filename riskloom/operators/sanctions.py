@@ -47,14 +47,14 @@ def extract_json_row(raw: DataFrame, json: str = "raw_row", keys: dict[str, tupl
     Empty texts, missing keys, and numbers or dates that can't be read are null.
     """
     others = [c for c in raw.columns if c != json]
-    schema = ", ".join(f"`{k}` string" for names in keys.values() for k in names)
-    row = lambda k: _c(f"_row.`{k}`")
+    names = [k for of in keys.values() for k in of]
     read = {
         "text": X.clean_text, "upper": lambda c: X.clean_text(c, "upper"), "lower": lambda c: X.clean_text(c, "lower"),
         **{kind: lambda c, kind=kind: X.clean_text(c).try_cast(kind) for kind in ("bigint", "int", "date")},
     }
-    out = [read[kind](row(k)).alias(_snake(k)) for kind, names in keys.items() for k in names]
-    return raw.withColumn("_row", F.from_json(json, schema)).select(*others, *out)
+    # A generator, as Spark would parse the text once for each field of a struct.
+    parsed = raw.select(*others, F.json_tuple(json, *names).alias(*[f"_{k}" for k in names]))
+    return parsed.select(*others, *[read[kind](_c(f"_{k}")).alias(_snake(k)) for kind, of in keys.items() for k in of])
 
 
 def stage_lei(raw: DataFrame) -> DataFrame:
@@ -93,12 +93,19 @@ FSF_NAMES = {
 }
 
 
-def stage_fsf(raw: DataFrame, json: str = "raw_row") -> DataFrame:
+#: The keys that subjects, names and their rollups are made from.
+FSF_NEEDED = {
+    "text": ("NameAlias_WholeName", "Entity_Regulation_NumberTitle"), "upper": ("Entity_EU_ReferenceNumber", "Entity_Regulation_Programme"), "lower": ("Entity_SubjectType_ClassificationCode", "Entity_Regulation_Type"),
+    "bigint": FSF_KEYS["bigint"], "date": ("Entity_Regulation_PublicationDate",),
+}
+
+
+def stage_fsf(raw: DataFrame, json: str = "raw_row", keys: dict[str, tuple[str, ...]] = FSF_KEYS) -> DataFrame:
     """Typed columns of the EU list's packed rows; a subject has as many rows as it has names, addresses and so on.
 
-    A subject is known by its EU reference, else by its number.
+    A subject is known by its EU reference, else by its number.  ``FSF_NEEDED`` are the keys that later steps need.
     """
-    rows = extract_json_row(raw, json).withColumnsRenamed(FSF_NAMES).where("entity_logical_id is not null")
+    rows = extract_json_row(raw, json, keys).withColumnsRenamed(FSF_NAMES).where("entity_logical_id is not null")
     reference, entity, normalized = _c("eu_reference_number"), _c("entity_logical_id").cast("string"), X.normalize_name(_c("whole_name"))
     return rows.withColumns({"subject_key": F.coalesce(reference, entity), "name_normalized": normalized, "name_key": fallback_name_key(_c("name_alias_logical_id"), reference, entity, normalized)})
 

@@ -336,7 +336,7 @@ SELECTS: dict[str, str] = {
     "row_hash_sha256": "select raw_id, sha256(cast(to_json({entity_logical_id: entity_logical_id, eu_reference_number: eu_reference_number, whole_name: whole_name}) as varchar)) as row_hash from raw_fsf",
     "latin_display": "select doc_id, replace(strip_accents(trim(name)), 'ß', 'ss') as display_name from names_text",
     "replace_by_object": "select page_id, source_object_key, 'new' as version from raw_pages where page_id % 3 = 0 union all select page_id, source_object_key, 'old' from raw_pages where source_object_key not in (select source_object_key from raw_pages where page_id % 3 = 0)",
-    "load_objects": "select page_id, source_object_key, candidate_id, case when candidate_id % 3 = 0 then 'new' else 'old' end as version from raw_pages where candidate_id % 3 <> 0 or page_id % 2 = 0",
+    "load_objects": "select page_id, source_object_key, candidate_id, case when candidate_id % 3 = 0 then 'new' else 'old' end as version from raw_pages where candidate_id % 3 <> 0 or page_id % 80 < 40",
     "write_mart_checks": """select 'rows' as check_name, count(*) as n from entity_candidates union all select 'null_lei', count(*) filter (where lei is null) from entity_candidates union all
         select 'null_country', count(*) filter (where country is null) from entity_candidates union all select 'unexpected_entity_status', count(*) filter (where entity_status not in ('active', 'inactive')) from entity_candidates""",
     "read_manifests": "select source, cast(load_date as varchar) as path_load_date, cast(file_id as varchar) as source_name, downloaded_bytes, status as file_status from manifest_files",
