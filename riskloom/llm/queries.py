@@ -15,10 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and how alike they are."""
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and what they decode to, as digests."""
     import public_tokenizers
 
     docs = _table(spark, sf_dir, "documents")
@@ -26,35 +28,43 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the lists, else of the patterns, for every page's url."""
     return urls.filter_urls(_table(spark, sf_dir, "pages"), urls.LISTED + urls.PATTERNS)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: the patterns' spans and those that the field adds."""
     docs = _table(spark, sf_dir, "documents")
     return pii.counted(pii.find_spans(docs, pii.learn(docs)))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's uses in a mixture of sources, each repeated up to four times."""
     return mixing.mixed(_table(spark, sf_dir, "documents"), repeats=4.0)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: the patterns' spans and strings that look random."""
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: three words, a likeness of 0.85."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, similarity=0.85)
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near vectors of a label, by a cosine of 0.93."""
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents, learnt from labelled ones outside of the held-out fold."""
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all documents, learnt from labelled ones outside of the held-out fold."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
 
 
