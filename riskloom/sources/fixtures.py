@@ -85,7 +85,7 @@ FIXTURES: dict[str, str] = {
     "expected_tables": " union all ".join(f"select '{t}' as target_table, 'Table {t}' as display_name, {str(t != 't9').lower()} as is_active, {i} as sort_order" for i, t in enumerate([f"t{k}" for k in range(10)] + ["never_runs"])),
     "manifest_files": """
         select 'src_' || event_type as source, cast(ts as date) as load_date, event_id as file_id,
-            case when event_id % 211 = 0 or event_type = 'view' and day(cast(ts as date)) = 7 then 'failed' when event_id % 13 = 0 then 'skipped' else 'success' end as status,
+            case when event_type = 'click' and day(cast(ts as date)) = 8 then 'success' when event_id % 211 = 0 or event_type = 'view' and day(cast(ts as date)) = 7 then 'failed' when event_id % 13 = 0 then 'skipped' else 'success' end as status,
             event_id % 5000 as downloaded_bytes from events""",
     "manifest_checks": """
         select event_id as file_id, k.n as check_number, case when event_type = 'click' and day(cast(ts as date)) = 8 then 'passed' when (event_id + k.n) % 37 = 0 or (event_id + k.n) % 401 = 0 then 'failed' else 'passed' end as status,
