@@ -88,6 +88,27 @@ def test_pii(spark, edge):
     assert pii.learn(edge.limit(0)).decode("call +1 (017) 555-7713") == []
 
 
+def test_token_pairs_told_by_edges():
+    """Whether two tokens may stand side by side, against merging their bytes: real ranks, and ranks in no order."""
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        real = bpe.ByteBpe(bpe.read_ranks(f.read()), public_tokenizers.PATTERN)
+    rnd = random.Random(8)
+    tokens = list(real.ranks)
+    short = [t for t in tokens if len(t) < 4]
+    for _ in range(20_000):
+        left, right = rnd.choice(rnd.choice([tokens, short])), rnd.choice(rnd.choice([tokens, short]))
+        assert real.meets(left, right) == (real.merge(left + right) == [left, right])
+    told = 0
+    for _ in range(300):
+        words = {"".join(rnd.choice("ab") for _ in range(rnd.randrange(2, 6))) for _ in range(12)} | {"a", "b"}
+        made = bpe.ByteBpe({w.encode(): i for i, w in enumerate(rnd.sample(sorted(words), len(words)))}, public_tokenizers.PATTERN)
+        for left in words:
+            for right in words:
+                told += made.meets(left, right)
+                assert made.meets(left, right) == (made.merge(left + right) == [left, right]), (made.ranks, left, right)
+    assert told > 1000
+
+
 def test_bpe_is_tiktoken(spark, edge):
     with open(VOCABULARY, "rb") as f:
         ranks = bpe.read_ranks(f.read())
