@@ -101,7 +101,7 @@ def candidates(text: str, start: int, end: int) -> tuple[int, list[tuple[int, in
     for a, b in tokens:
         c, word = text[a], text[a:b]
         said = word in _SIGNS and text[a - 1 : a] in ("(", "[") and text[b : b + 1] in (")", "]")
-        kinds.append(_SIGNS[word] if said else "9" if c in "0123456789" else "a" if c.isalpha() else "_" if c.isspace() else c)
+        kinds.append(_SIGNS[word] if said else "9" if c in "0123456789" else "a" if c.isalpha() else "_" if c.isspace() else "-" if c == "_" else c)
     out = []
     word = ""
     for i in range(n):
@@ -123,7 +123,7 @@ def candidates(text: str, start: int, end: int) -> tuple[int, list[tuple[int, in
                     after = kinds[j + 1] if j + 1 < n else "$"
                     loose = re.sub(r"(.)\1+", r"\1", shape.replace("_", "").replace("-", "").replace(".9", "9")) if not ats else re.sub(r"[a9]+(?:[.+%_-][a9]+)*", "x", shape)
                     said = [
-                        f"s{shape}", f"l{loose[:12]}", f"d{size}", f"@{ats}{shape.count('.') if ats else ''}{'_' in shape}", f"b{before}{first}", f"a{after}",
+                        f"s{shape}", f"l{loose[:12]}", f"d{size}", f"@{ats}{ats and '.' in shape[shape.index('@'):]}{'_' in shape}", f"b{before}{first}", f"a{after}",
                         f"w{word}", f"c{12 <= size <= 19 and luhn(digits)}{12 <= size <= 19}", f"n{j - i}",
                         f"q{shape == '9.9.9.9' and longest <= 3}", f"g{longest}", "1",
                     ]
@@ -170,11 +170,18 @@ class SpanField:
         return out
 
 
+def _address(rnd: random.Random) -> str:
+    """An address of other parts than the sample's."""
+    word = lambda: "".join(rnd.choices("abcdefghiklmnoprstu", k=rnd.randrange(2, 9)))
+    name = rnd.choice(["", ".", ".", "_", "-"]).join(word() for _ in range(rnd.randrange(1, 4))) + str(rnd.randrange(100)) * (rnd.random() < 0.2)
+    return name + "@" + ".".join(word() for _ in range(rnd.randrange(2, 4)))
+
+
 def _rewritten(kind: str, said: str, rnd: random.Random) -> str:
     """A span's text in a form that the plain patterns don't find, or not whole."""
     digits = "".join(_DIGITS(said))
     if kind == "email":
-        name, _, host = said.partition("@")
+        name, _, host = (said if rnd.random() < 0.5 else _address(rnd)).partition("@")
         left, right = rnd.choice(["[]", "()"])
         gap, name = rnd.choice(["", " "]), name.replace(".", rnd.choice([".", "", "-"]))
         return f"{name}{gap}{left}at{right}{gap}" + host.replace(".", f"{gap}{left}dot{right}{gap}" if rnd.random() < 0.7 else ".")
@@ -186,6 +193,9 @@ def _rewritten(kind: str, said: str, rnd: random.Random) -> str:
     area, rest = digits[-10:-7], digits[-7:]
     if not area:
         return "0" + digits
+    if rnd.random() < 0.4:  # area and number as within the country, of other lengths
+        size, more = rnd.randrange(2, 5), rnd.randrange(6, 9)
+        return f"0{digits[-size:]}" + rnd.choice([" ", "-", "/", " / ", " - "]) + (rest + area)[:more]
     form = rnd.choice(["({0}) {1}-{2}", "({0}){1}-{2}", "{0}-{1}-{2}", "{0} {1} {2}", "{0}.{1}.{2}", "0{0}/{1}{2}", "00{3} {0} {1} {2}", "({0}) {1} {2}"])
     return form.format(area, rest[:3], rest[3:], digits[:-10] or "1")
 
@@ -196,8 +206,10 @@ def _ordinary(rnd: random.Random) -> str:
     said = [
         f"on {1900 + n(130)}-{n(13):02}-{n(32):02} at {n(24):02}:{n(60):02}", f"of {n(100)}.{n(1000)} to {n(10)}", f"version {n(10)}.{n(30)}.{n(10)} here", f"the {n(32)}.{n(13)}.{1900 + n(130)} or {n(13)}/{n(32)}/{1900 + n(130)}",
         f"page {n(900)} in {1900 + n(130)}", f"for {n(900)},{n(1000):03}.{n(100):02} in all", f"at {n(100)}%, a@b or {n(10)} @ {n(10)}", f"no. {n(100000)} and {n(10**8)}", f"chapter {n(30)}:{n(30)}-{n(30)}",
+        f"room 0{n(1000)} or 0{n(1000)}/{n(100)}", f"on {1900 + n(130)}-{n(13):02}-{n(32):02}", f"pages {n(900)}-{n(900)} / {n(900)}", f"see (at) {n(100)} and [at] once",
+        f"order {n(10**6)} {n(10**6)} and {n(10**5)}-{n(10**4)}", f"isbn 978-{n(10)}-{n(100)}-{n(10**6):06}-{n(10)}", f"sizes {n(100)}-{n(100)} of {n(100)} {n(1000):03} {n(1000):03}",
     ]
-    return " ".join(rnd.sample(said, 3))
+    return " ".join(rnd.sample(said, 5))
 
 
 def rewritten(text: str, gold: list[Span], seed: int = 0) -> tuple[str, list[Span]]:
@@ -206,9 +218,11 @@ def rewritten(text: str, gold: list[Span], seed: int = 0) -> tuple[str, list[Spa
     parts, spans, at, size = [], [], 0, 0
     for kind, start, end in gold:
         if start >= at:
-            new = _rewritten(kind, text[start:end], rnd)
+            new, before = _rewritten(kind, text[start:end], rnd), text[at:start]
+            if before.endswith(" ") and rnd.random() < 0.2:  # at the beginning of a line
+                before = before[:-1] + "\n"
             size += start - at
-            parts += [text[at:start], new]
+            parts += [before, new]
             spans.append((kind, size, size + len(new)))
             size, at = size + len(new), end
     return "".join([*parts, text[at:], "\n", _ordinary(rnd)]), spans

@@ -225,3 +225,24 @@ def test_toxicity_step_and_windows():
     for text in (["a"], ["idiot", "a"], ["a", "house", "idiot", "river", "a"]):
         means = [sum(value[w] for w in text[i : i + 3]) / 3 for i in range(max(1, len(text) - 2))]
         assert model.score(" ".join(text)) == pytest.approx(1 / (1 + math.exp(-(2.0 * (max(means) + 0.1) - 0.3))), abs=1e-6)
+
+
+def test_span_field_on_forms_written_by_hand():
+    """Forms and numbers that no rewriter made, in lines of their own; the field is fitted on ordinary spans only."""
+    rnd = random.Random(11)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    said = lambda: rnd.choice([f"jo{digits(2)}@mail.example.com", f"+1 ({rnd.randrange(200, 999)}) 555-{digits(4)}", f"{rnd.randrange(256)}.{rnd.randrange(256)}.7.1", "4111111111111111"])
+    texts = [" ".join([*rnd.choices(WORDS, k=rnd.randrange(3, 9)), said(), *rnd.choices(WORDS, k=rnd.randrange(9))]) for _ in range(300)]
+    model = pii.fit(texts)
+    theirs = [
+        ("email", "bob [at] example [dot] com"), ("email", "jane.doe(at)mail.example.org"), ("phone", "0171 2345678"), ("phone", "0221-4567890"), ("phone", "555-123-4567"),
+        ("phone", "(743) 555-0123"), ("card", "4111.1111.1111.1111"), ("card", "4111 / 1111 / 1111 / 1111"), ("ip", "192[.]168[.]1[.]20"),
+    ]
+    found = 0
+    for kind, form in theirs:
+        for line in ("call {} now", "{}", "we see {}"):
+            text, at = line.format(form), line.index("{")
+            found += (kind, at, at + len(form)) in pii.all_spans(text, model)[1]
+    assert found >= 24, found  # of 27
+    for text in ("meet [at] noon with 3", "on 2020-01-05 at 12:30", "pages 100-200 of 345", "for 1,234,567.89 in all", "no. 12345678", "room 0171", "isbn 978-3-16-148410-0", "order 100200 300400"):
+        assert pii.all_spans(text, model)[1] == []
