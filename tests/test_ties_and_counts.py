@@ -31,3 +31,16 @@ def test_counts_per_name(spark):
             s.update({r[f"{c}_logical_id"]} - {None})
     got = {(r["subject_key"], r["name_key"]): [r["name_count"], r["address_count"], r["birth_date_count"], r["identification_count"], r["citizenship_count"]] for r in QUERIES["fsf_name_rollup"](spark, SF).collect()}
     assert got == {k: [1, *map(len, sets)] for k, sets in want.items()} and any(n > 1 for v in got.values() for n in v[1:])
+
+
+def test_wide_rows_are_compiled(spark):
+    """Rows of 45 parsed columns are not one generated method beyond what the JVM compiles; a lower setting stays."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        for said, want in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(key, said)
+            QUERIES["extract_json_row"](spark, SF)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
