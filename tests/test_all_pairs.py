@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.001"
 PLAIN = {
     "match_names": lambda i: i.matches,
     "screening_view": lambda i: i.screening,
+    "sanctions_summary": lambda i: S.sanctions_summary(i.screening),
 }
 
 
