@@ -12,6 +12,7 @@ from riskloom.sources.shared import settle
 SF = "/root/testdata/sf0.001"
 PLAIN = {
     "match_names": lambda i: i.matches,
+    "dedupe_matches": lambda i: S.dedupe_matches(i.matches),
     "screening_view": lambda i: i.screening,
     "sanctions_summary": lambda i: S.sanctions_summary(i.screening),
 }
