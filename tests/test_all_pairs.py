@@ -13,6 +13,10 @@ SF = "/root/testdata/sf0.001"
 PLAIN = {
     "match_names": lambda i: i.matches,
     "dedupe_matches": lambda i: S.dedupe_matches(i.matches),
+    "country_overlap": lambda i: i.graded,
+    "identifier_overlap": lambda i: i.graded,
+    "match_quality": lambda i: i.graded,
+    "match_reasons": lambda i: i.graded,
     "screening_view": lambda i: i.screening,
     "entity_matches_ranked": lambda i: P.entity_matches_ranked(i.screening),
     "sanctions_summary": lambda i: S.sanctions_summary(i.screening),
