@@ -34,6 +34,14 @@ def test_queries_are_the_plain_operators(spark, name):
     assert rows(got, got.columns) == rows(want, got.columns) and got.count() > 10
 
 
+def test_the_job_lists_the_subjects_of_every_entity(spark):
+    want = {r["entity_candidate_id"]: r["source_entity_keys"] for r in S.sanctions_summary(Inputs(spark, SF).screening).collect()}
+    got = QUERIES["job_sanctions_screening"](spark, SF)
+    assert "match_class" not in got.columns
+    lists = {r["entity_candidate_id"]: r["source_entity_keys"] for r in got.collect()}
+    assert {k: v for k, v in lists.items() if v is not None} == want and len(lists) > len(want) > 10
+
+
 @pytest.mark.parametrize("most", [1, 7, 1000])
 @pytest.mark.parametrize("few", [0, 100_000])
 def test_a_key_dealt_in_parts_has_the_same_pairs(spark, monkeypatch, most, few):
